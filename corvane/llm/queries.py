@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, mixing, sharding
+from corvane.llm import bpe, mixing, quality, sharding
+from corvane.llm.common import document_crc
 
 #: The vocabulary of op9; a parameter of the operator, never copied here.
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +38,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), digests=True)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = document_crc() % 4 == 2
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k,
@@ -72,5 +81,5 @@ e AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM e
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
