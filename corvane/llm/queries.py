@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, mixing, quality, sharding
+from corvane.llm import bpe, mixing, quality, sharding, toxicity
 from corvane.llm.common import document_crc
 
 #: The vocabulary of op9; a parameter of the operator, never copied here.
@@ -29,6 +29,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    held_out = document_crc() % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "cosines")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
@@ -81,5 +89,5 @@ e AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM e
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
