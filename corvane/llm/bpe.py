@@ -4,8 +4,8 @@ The automaton has a state for each token: the set of tokens that may follow it i
 as one state with a loop for each byte, and each merge (u, v) adds a gadget: the new token starts as a copy of
 v's state, may stand wherever u may stand, and u loses its arc to v. Arcs are found when first asked for, by
 walking the gadgets back from the newest, and kept in the transition table; the whole table would have tokens
-squared entries. A word has exactly one path that spells it; it is found in one pass over the word, keeping for
-each prefix the last arc of that prefix's path.
+squared entries. A word has exactly one path that spells it; it is found by taking
+the longest arc that leads on and going back from dead ends, each of which is met once.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker, and the longest that is; others are encoded each time they occur.
 KEEP_WORDS, KEEP_BYTES = 300_000, 64
+#: Transitions remembered by a worker, looked at when the words are forgotten.
+KEEP_ARCS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,7 +61,9 @@ class TokenAutomaton:
                 self.gadget[w] = (k, u, v)
                 self.by_bytes[self.label[w]] = w
         # A token that its own merges don't rebuild has no arcs; such entries can't be produced.
-        self.longest = max(map(len, self.by_bytes), default=1)
+        self.reach: dict[bytes, int] = {}  # the longest token for each two first bytes
+        for b in self.by_bytes:
+            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.split = regex.compile(PRE_SPLIT)
@@ -70,28 +74,39 @@ class TokenAutomaton:
         key = (x, y)
         if (known := self.arcs.get(key)) is not None:
             return known
-        out = self.arcs[key] = self.stood(x, y, 1 << 60)
+        out = self.arcs[key] = self.sound(y) and self.stood(x, y, 1 << 60)
         return out
 
     def path(self, word: bytes) -> list[int]:
-        """The tokens of a pre-split word."""
-        if (whole := self.by_bytes.get(word)) is not None and len(word) == 1:
-            return [whole]
-        last = [-1] * (len(word) + 1)
-        size = [0] * (len(word) + 1)
-        by_bytes, follows = self.by_bytes, self.follows
-        for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                t = by_bytes.get(word[begin:end])
-                if t is not None and (begin == 0 and self.sound(t) or begin and self.sound(t) and follows(last[begin], t)):
-                    last[end], size[end] = t, end - begin
-                    break
-        out = []
-        end = len(word)
-        while end:
-            out.append(last[end])
-            end -= size[end]
-        return out[::-1]
+        """The tokens of a pre-split word: from each prefix, the longest arc that leads on, going back from dead ends.
+
+        A prefix has one correct path, so a position without a way on stays dead and is left only once."""
+        n, pos, out, sizes, dead = len(word), 0, [], [], set()
+        by_bytes, reach, arcs = self.by_bytes, self.reach, self.arcs
+        size = min(n, reach.get(word[:2], 1))
+        while pos < n:
+            last = out[-1] if out else -1
+            while size:
+                t = by_bytes.get(word[pos : pos + size])
+                if t is not None and pos + size not in dead:
+                    ok = arcs.get((last, t))
+                    if ok is None:
+                        ok = self.sound(t) if last < 0 else self.follows(last, t)
+                    if ok:
+                        break
+                size -= 1
+            if size:
+                out.append(t)
+                sizes.append(size)
+                pos += size
+                size = min(n - pos, reach.get(word[pos : pos + 2], 1))
+            else:
+                dead.add(pos)
+                out.pop()
+                size = sizes.pop()
+                pos -= size
+                size -= 1
+        return out
 
     def sound(self, t: int) -> bool:
         """Whether t is the encoding of its own bytes: its parts are, and no earlier arc joins them otherwise."""
@@ -126,6 +141,8 @@ class TokenAutomaton:
             if len(raw) <= KEEP_BYTES:
                 if len(self.words) >= KEEP_WORDS:
                     self.words.clear()
+                    if len(self.arcs) > KEEP_ARCS:
+                        self.arcs.clear()
                 self.words[word] = got
         return got
 
