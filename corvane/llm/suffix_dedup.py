@@ -31,7 +31,7 @@ MOST, RANGE = 4000, 16
 #: Segments that are sorted at once.
 CHUNK = 12_000
 #: Bytes of a document that are searched for anchors at once.
-PIECE = 4_000_000
+PIECE = 1_000_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -266,6 +266,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("_rk")).where(F.octet_length("text") >= length)
     found = written(keyed.mapInArrow(_find(length), "_rk long, gram long, digest long, start int, more int, rel int"), "segments")
     twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Written, so that both sides of the join are plain shuffles, whose crowded partitions Spark can split.
+    twice = written(twice, "twice")
     found = written(found.join(twice, "gram", "left_semi"), "candidates")
     unique = found.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_rk", "start", "more", "rel")).alias("x"))
     unique = written(unique.select("gram", "digest", "times", "x.*"), "unique")
