@@ -139,21 +139,21 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, remainder: int, modulus: int, most: int) -> DataFrame:
-    """(doc_id, text, _y) of at most `most` labelled documents whose crc32 of the id isn't `remainder` mod
+def labelled(docs: DataFrame, labels: DataFrame, label: str, remainder: int, modulus: int, most: int, columns: dict[str, Column]) -> DataFrame:
+    """(doc_id, _y, columns computed from text) of at most `most` labelled documents whose crc32 of the id isn't `remainder` mod
     `modulus`: those with the smallest hashes. Rows without a label, id or match are left out."""
     fold = document_crc() % modulus != remainder
     order = F.md5(F.col("doc_id").cast("string"))
     few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & fold).groupBy("doc_id").agg(F.max(label).alias("_y"))
     few = few.orderBy(order, "doc_id").limit(most)
     # Bounded by `most` rows, so it may be broadcast; the second limit bounds repeated ids.
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(order, "doc_id", F.md5("text")).limit(most)
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("_o", order).withColumn("_t", F.md5("text"))
+    return found.select("doc_id", "_y", *[c.alias(n) for n, c in columns.items()], "_o", "_t").orderBy("_o", "doc_id", "_t").limit(most).drop("_o", "_t")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", remainder: int = 2, modulus: int = 4, most: int = FIT_ROWS) -> RuleEnsemble:
     """The ensemble for labels outside one fold. With no labelled rows or one class it is the constant rate."""
-    rows = labelled(docs, labels, label, remainder, modulus, most)
-    got = rows.select("_y", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).toPandas()
+    got = labelled(docs, labels, label, remainder, modulus, most, statistics(F.col("text"))).drop("doc_id").toPandas()
     y = got.pop("_y").to_numpy(float)
     x = {n: got[n].to_numpy(float) for n in got}
     if len(y) == 0 or y.min() == y.max():

@@ -166,7 +166,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", remainder: int = 1, modulus: int = 3, most: int = FIT_ROWS) -> NearestExamples:
     """The index of the labelled documents outside one fold. It learns nothing but their words and labels.
     No labelled rows: every score is 0; labels of one class: their rate."""
-    got = labelled(docs, labels, label, remainder, modulus, most).toArrow()
+    got = labelled(docs, labels, label, remainder, modulus, most, {"text": F.col("text")}).toArrow()
     texts = got.column("text").combine_chunks()
     doc, term = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for i, _, data, offs in slices(texts):
