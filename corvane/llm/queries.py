@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, bpe, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from corvane.llm import ann, bpe, fingerprint, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 from corvane.llm.common import document_crc
 
 #: The vocabulary of op9; a parameter of the operator, never copied here.
@@ -37,6 +37,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", "cosines")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "links", "copies", "n_shingles")
@@ -103,5 +107,5 @@ e AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM e
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
