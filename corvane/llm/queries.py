@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, bpe, fingerprint, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from corvane.llm import ann, bpe, fingerprint, language_model, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 from corvane.llm.common import document_crc
 
 #: The vocabulary of op9; a parameter of the operator, never copied here.
@@ -51,6 +51,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
@@ -107,5 +112,5 @@ e AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM e
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_model": op6_language_model, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLE_SQL = {"op8_mixing": OP8_SQL}
