@@ -43,7 +43,7 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, most: flo
     return t.select("_source", "source_size", "target", rate.alias("_rate"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11, key: str | None = None) -> DataFrame:
     """Copies that each row of docs (doc_id, text, source) gets in the mix.
 
     Within a source, rows stand in order of size class and md5(id); a row's expected copies are its source's
@@ -53,12 +53,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     are counted before the shuffle and then stand next to each other; empty tables give no rows; other
     columns are ignored. Reruns agree, as every draw is a hash.
 
-    Returns doc_id, source, size, source_size, target, copies.
+    Returns doc_id, source, size, source_size, target, copies, and the column `key` of docs if one is named, which
+    then tells rows apart that are otherwise alike.
     """
     # 's' + name sorts by code point, and before the 'z' of null.
-    key = F.when(F.col("source").isNull(), "z").otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = docs.select("doc_id", key.alias("_source"), word_count(F.col("text")).alias("size"))
-    once = rows.groupBy("doc_id", "_source", "size").agg(F.count(F.lit(1)).alias("_n"))
+    own = [key] if key else []
+    name = F.when(F.col("source").isNull(), "z").otherwise(F.concat(F.lit("s"), F.col("source")))
+    rows = docs.select("doc_id", *own, name.alias("_source"), word_count(F.col("text")).alias("size"))
+    once = rows.groupBy("doc_id", *own, "_source", "size").agg(F.count(F.lit(1)).alias("_n"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     once = once.select("*", size_class(F.col("size")).alias("_class"), digest.alias("_h"), (F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % PARTS).alias("_part"))
     counts = once.groupBy("_source", "_class", "_part").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("size")).alias("_words"))
@@ -68,12 +70,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     upto = (Window.unboundedPreceding, -1)
     class_start = classes.select("_source", "_class", F.coalesce(F.sum("_k").over(Window.partitionBy("_source").orderBy("_class").rowsBetween(*upto)), F.lit(0)).alias("_c0"))
     part_start = counts.select("_source", "_class", "_part", F.coalesce(F.sum("_m").over(Window.partitionBy("_source", "_class").orderBy("_part").rowsBetween(*upto)), F.lit(0)).alias("_p0"))
-    inside = Window.partitionBy("_source", "_class", "_part").orderBy("_h", "doc_id", "size").rowsBetween(*upto)
+    inside = Window.partitionBy("_source", "_class", "_part").orderBy("_h", "doc_id", "size", *own).rowsBetween(*upto)
     # The joined tables hold counts: at most classes x PARTS rows a source, one row a key.
     starts = part_start.join(class_start, ["_source", "_class"]).join(plan, "_source")
     ranked = once.withColumn("_base", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["_source", "_class", "_part"])
     each = ranked.select(
-        "doc_id", "_source", "size", "source_size", "target", "_rate", (F.col("_c0") + F.col("_p0") + F.col("_base")).alias("_first"),
+        "doc_id", *own, "_source", "size", "source_size", "target", "_rate", (F.col("_c0") + F.col("_p0") + F.col("_base")).alias("_first"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"),
     )
     offset = unit(F.concat_ws(":", F.lit(str(seed)), F.col("_source")))
@@ -81,5 +83,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     copies = F.floor((rank + 1) * F.col("_rate") + offset) - F.floor(rank * F.col("_rate") + offset)
     return each.select(
         "doc_id", F.when(F.col("_source") != "z", F.substring(F.col("_source"), 2, 2147483647)).alias("source"), "size", "source_size",
-        "target", F.least(copies, F.lit(int(most)).cast("long")).cast("long").alias("copies"),
+        "target", F.least(copies, F.lit(int(most)).cast("long")).cast("long").alias("copies"), *own,
     )
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """The mix itself: every row of docs as often as mix() takes it, with all its columns, whatever their names."""
+    keyed = docs.withColumn("_cv_rk", F.xxhash64("doc_id", "source", "text"))
+    counted = mix(keyed.select("doc_id", "source", "text", "_cv_rk"), weights, share, most, seed, "_cv_rk")
+    copies = counted.groupBy("_cv_rk").agg(F.sum("copies").alias("_cv_copies"), F.count(F.lit(1)).alias("_cv_rows")).where("_cv_copies > 0")
+    # Rows alike in id, source and text count as one with all their copies.
+    joined = keyed.join(copies, "_cv_rk")
+    alike = joined.where("_cv_rows > 1").dropDuplicates(["_cv_rk"])
+    chosen = joined.where("_cv_rows = 1").unionByName(alike)
+    return chosen.withColumn("_cv_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cv_copies")))).drop("_cv_rk", "_cv_copies", "_cv_rows", "_cv_i")

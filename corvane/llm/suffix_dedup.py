@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import prefix_hash, range_hash, slices, written
 
@@ -233,9 +234,9 @@ def _sort(length: int):
 def _remove(length: int, texts: bool):
     def run(batches):
         for batch in batches:
-            found = batch.column("cuts")
+            found = batch.column("_cv_cuts")
             out: list[list] = [[], [], [], [], []]
-            for text, cuts in zip(batch.column("text").cast(pa.binary()).to_pylist(), found, strict=True):
+            for text, cuts in zip(batch.column("_cv_text").cast(pa.binary()).to_pylist(), found, strict=True):
                 text = text or b""
                 kept, at, gone, n = [], 0, 0, 0
                 if cuts.is_valid and len(cuts):
@@ -254,8 +255,9 @@ def _remove(length: int, texts: bool):
                 for col, v in zip(out, (len(text), gone, n, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if texts else None), strict=True):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "cuts")]
-            names = [c for c in batch.schema.names if c not in ("text", "cuts")] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+            names = [c for c in batch.schema.names if c not in ("_cv_text", "_cv_cuts")]
+            rest = [batch.column(c) for c in names]
+            names = names + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
             yield pa.RecordBatch.from_arrays(rest + [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
     return run
@@ -291,10 +293,21 @@ def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFra
     than `length` stay whole, repeated rows are copies of each other. kept_text puts the rest together; where a
     cut splits a character its bytes become U+FFFD. texts=False leaves kept_text null.
     """
-    cuts = written(repeats(docs, length), "cuts")
-    keyed = docs.withColumn("_rk", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(cuts, "_rk", "left").drop("_rk")
-    joined = joined.select(*[c for c in docs.columns if c != "text"], F.col("text"), "cuts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "cuts"))
-    extra = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_remove(length, texts), f"{schema}, {extra}" if schema else extra)
+    cuts = written(repeats(docs, length), "cuts").select(F.col("_rk").alias("_cv_rk"), F.col("cuts").alias("_cv_cuts"))
+    joined = docs.withColumn("_cv_rk", F.xxhash64("doc_id", "text")).join(cuts, "_cv_rk", "left")
+    rest = [c for c in docs.columns if c != "text"]
+    joined = joined.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("_cv_text"), "_cv_cuts")
+    extra = [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))]
+    return joined.mapInArrow(_remove(length, texts), T.StructType([f for f in joined.schema if f.name not in ("_cv_text", "_cv_cuts")] + extra))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with every text freed of its repeated bytes; all columns stay, whatever their names, and n_chars, if
+    there, follows the text. A row that had words and has none left goes; rows that lose nothing stay as they are."""
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_cv_row"))
+    cut = remove(packed, length)
+    blank = F.regexp_count(F.col("kept_text"), F.lit(r"[^\x20\x09-\x0D]")) == 0
+    cut = cut.where(~((F.col("n_removed") > 0) & blank))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_cv_row.text"))
+    out = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("_cv_row.n_chars").cast("long")) if "n_chars" in docs.columns else None}
+    return cut.select(*[out[c].alias(c) if c in out else F.col(f"_cv_row.`{c}`").alias(c) for c in docs.columns])
