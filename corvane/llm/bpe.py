@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from corvane.llm.common import pieces
+
 #: The pre-split pattern of byte-level BPE vocabularies (a fixed value of the tokenizer format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker, and the longest that is; others are encoded each time they occur.
@@ -178,7 +180,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, digests: bool = False)
 
     def run(batches):
         machine = TokenAutomaton(vocabulary.value)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             coded = [machine.encode(t) if t else b"" for t in texts]
             back = [machine.decode(c) if c else "" for c in coded]

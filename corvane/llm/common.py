@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # Shuffle files that nothing refers to any more go when the driver's JVM next collects its garbage.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -72,6 +73,18 @@ def slices(arr: pa.Array, most: int = SLICE_BYTES):
         i = j
 
 
+def pieces(batches, text: str = "text", most: int = SLICE_BYTES):
+    """The batches in parts of about `most` bytes of text, so that what a task makes of them stays small."""
+    for batch in batches:
+        n = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n, dtype=np.int64)
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words of every text."""
     solid = ~_LUT[data]

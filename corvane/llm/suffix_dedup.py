@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import prefix_hash, range_hash, slices, written
+from corvane.llm.common import pieces, prefix_hash, range_hash, slices, written
 
 LENGTH, GRAM = 200, 32
 #: Different segments of one gram that a task compares together; more are split by shared cores of RANGE columns.
@@ -98,7 +98,7 @@ def _cut(length: int):
     """The bytes of the segments asked of each text; those of crowded grams in ranges of columns, keyed by their cores."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             segs = batch.column("segs")
             if isinstance(segs, pa.ChunkedArray):
                 segs = segs.combine_chunks()
@@ -233,7 +233,7 @@ def _sort(length: int):
 
 def _remove(length: int, texts: bool):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "_cv_text"):
             found = batch.column("_cv_cuts")
             out: list[list] = [[], [], [], [], []]
             for text, cuts in zip(batch.column("_cv_text").cast(pa.binary()).to_pylist(), found, strict=True):

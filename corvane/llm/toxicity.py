@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lowered, prefix_hash, range_hash, slices
+from corvane.llm.common import lowered, pieces, prefix_hash, range_hash, slices
 from corvane.llm.quality import labelled
 
 #: Examples that the index takes at most: those with the smallest hashes of their ids.
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: NearestExamples) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             got = sent.value.score_texts(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
