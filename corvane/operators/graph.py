@@ -52,27 +52,33 @@ def resolve_global(calls: DataFrame, defs: DataFrame) -> DataFrame:
     return calls.withColumn("_family", family(extension(F.col("file")))).join(first, ["callee", "_family"], "left").drop("_family")
 
 
-def resolve(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool = False) -> DataFrame:
-    """Same file, then imports, then (unless strict) anywhere in the family; later steps see only what earlier ones left."""
-    key = ["file", "pos", "callee", "qualifier"]
-    names = calls.select("file", "callee").distinct().select("file", F.lit(0).cast("long").alias("pos"), "callee", F.lit(None).cast("string").alias("qualifier"))
+def resolve_names(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool = False) -> DataFrame:
+    """(file, callee, target_file) of the names that calls (file, callee) use and that resolve: same file, then imports,
+    then (unless strict) anywhere in the family. Resolution depends on these two alone, so each pair is resolved once,
+    and later steps see only what earlier ones left."""
+    none = F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("qualifier")
+    names = calls.select("file", "callee").distinct().select("file", none[0], "callee", none[1])
     here = resolve_same_file(names, defs)
     found = here.where("target_file is not null").select("file", "callee", "target_file")
-    left = here.where("target_file is null").select(*key)
+    left = here.where("target_file is null").select("file", "pos", "callee", "qualifier")
     by_import = resolve_imports(left, imports, defs).select("file", "callee", "target_file")
     found = found.union(by_import)
     if not strict:
-        rest = left.join(by_import, ["file", "callee"], "left_anti").select(*key)
+        rest = left.join(by_import, ["file", "callee"], "left_anti")
         found = found.union(resolve_global(rest, defs).where("target_file is not null").select("file", "callee", "target_file"))
-    # Resolution depends on (file, callee) alone, so it is done once for each.
-    return calls.join(found, ["file", "callee"], "left").select(*key, "target_file")
+    return found
+
+
+def resolve(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool = False) -> DataFrame:
+    """calls with target_file, null where nothing resolves."""
+    found = resolve_names(calls, imports, defs, strict)
+    return calls.join(found, ["file", "callee"], "left").select("file", "pos", "callee", "qualifier", "target_file")
 
 
 def call_edges(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool = False) -> DataFrame:
     """src and dst nodes 'file:name' of resolved calls inside definitions; no loops, no repeats."""
-    called = enclosing_definition(calls, defs).where("caller is not null")
-    resolved = resolve(called.select("file", "pos", "callee", "qualifier").distinct(), imports, defs, strict)
-    both = called.join(resolved.where("target_file is not null").select("file", "callee", "target_file").distinct(), ["file", "callee"])
+    called = enclosing_definition(calls, defs).where("caller is not null").select("file", "caller", "callee").distinct()
+    both = called.join(resolve_names(calls, imports, defs, strict), ["file", "callee"])
     edges = both.select(F.concat_ws(":", "file", "caller").alias("src"), F.concat_ws(":", "target_file", "callee").alias("dst"))
     return edges.where("src <> dst").distinct()
 
