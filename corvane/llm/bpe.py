@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import pieces
+from corvane.llm.common import pieces, release
 
 #: The pre-split pattern of byte-level BPE vocabularies (a fixed value of the tokenizer format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,6 +179,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, digests: bool = False)
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
+        release()
         machine = TokenAutomaton(vocabulary.value)
         for batch in pieces(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lowered, mixed, prefix_hash, range_hash, slices, spans, written
+from corvane.llm.common import lowered, mixed, prefix_hash, range_hash, release, slices, spans, written
 from corvane.llm.graph import components
 
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -88,6 +88,7 @@ def min_hashes(grams: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(batches):
+        release()
         for batch in batches:
             sets = shingle_sets(batch.column("text"), width)
             some = [len(s) > 0 for s in sets]
@@ -140,6 +141,7 @@ def _prune(least: list[int]):
     """Candidate pairs of each bucket tile that survive, as a spanning forest (a, b)."""
 
     def run(batches):
+        release()
         for t in _groups(batches, ["band", "key", "ti", "tj"]):
             node, mine, band = (t.column(c).to_numpy() for c in ("node", "mine", "band"))
             ti, tj = t.column("ti").to_numpy(), t.column("tj").to_numpy()
@@ -212,6 +214,7 @@ def _verify(threshold: float, width: int):
     """Links of each node within a group tile, and the root of its part of the spanning forest."""
 
     def run(batches):
+        release()
         for t in _groups(batches, ["comp", "ti", "tj"]):
             comp, ti, tj = (t.column(c).to_numpy() for c in ("comp", "ti", "tj"))
             edge = np.concatenate(([0], np.flatnonzero((comp[1:] != comp[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])) + 1, [t.num_rows]))

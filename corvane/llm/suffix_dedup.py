@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import pieces, prefix_hash, range_hash, slices, written
+from corvane.llm.common import pieces, prefix_hash, range_hash, release, slices, written
 
 LENGTH, GRAM = 200, 32
 #: Different segments of one gram that a task compares together; more are split by shared cores of RANGE columns.
@@ -74,6 +74,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM):
 
 def _find(length: int):
     def run(batches):
+        release()
         for batch in batches:
             rk = batch.column("_rk").to_numpy()
             for i, _, data, offs in slices(batch.column("text"), PIECE):
@@ -98,6 +99,7 @@ def _cut(length: int):
     """The bytes of the segments asked of each text; those of crowded grams in ranges of columns, keyed by their cores."""
 
     def run(batches):
+        release()
         for batch in pieces(batches):
             segs = batch.column("segs")
             if isinstance(segs, pa.ChunkedArray):
@@ -207,6 +209,7 @@ def _sort(length: int):
         )
 
     def run(batches):
+        release()
         held, n = [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -233,6 +236,7 @@ def _sort(length: int):
 
 def _remove(length: int, texts: bool):
     def run(batches):
+        release()
         for batch in pieces(batches, "_cv_text"):
             found = batch.column("_cv_cuts")
             out: list[list] = [[], [], [], [], []]
