@@ -77,6 +77,56 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+OP1_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS v FROM (SELECT i, list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, length(h) // 2 + 1 AS size, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || array_slice(h, 2 * i + 1, 2 * i + 2) AS BIGINT)) AS bytes FROM d),
+c AS (SELECT doc_id, CAST(size AS BIGINT) AS size,
+        xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, y: xor(c >> 8, t.v[xor(c & 255, y) + 1])), 4294967295) AS text_crc32 FROM x, t),
+u AS (SELECT *, list_transform(range(0, 9), lambda i: -1.0::DOUBLE / ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)) AS sc,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS h FROM c),
+p AS (SELECT *, CAST(list_position(sc[1:8], list_max(sc[1:8])) - 1 AS INT) AS shard, CAST(list_position(sc, list_max(sc)) - 1 AS INT) AS grown_shard FROM u)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(h, 1, 4) AS INT) % 1024, h, doc_id, size) - 1 AS BIGINT) AS slot, grown_shard
+FROM p
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))))
+    WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END AS s FROM w),
+d AS MATERIALIZED (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN hash(s) END AS node, s FROM s),
+nodes AS MATERIALIZED (SELECT node, any_value(n) AS n, count(*) AS copies, min(doc_id) AS least, any_value(s) AS s FROM d WHERE node IS NOT NULL GROUP BY node),
+g AS MATERIALIZED (SELECT node, n, unnest(s) AS gram FROM nodes),
+pairs AS MATERIALIZED (
+  SELECT a.node AS x, b.node AS y FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+cls AS (SELECT node, least(least, coalesce((SELECT min(m.least) FROM reach r JOIN nodes m ON m.node = r.y WHERE r.x = nodes.node), least)) AS class_id FROM nodes),
+links AS (SELECT p.x AS node, CAST(sum(m.copies) AS BIGINT) AS links FROM pairs p JOIN nodes m ON m.node = p.y GROUP BY p.x)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(l.links, 0) + coalesce(m.copies, 1) - 1 AS BIGINT) AS links,
+       CAST(coalesce(m.copies, 1) AS BIGINT) AS copies, CAST(d.n AS BIGINT) AS n_shingles
+FROM d LEFT JOIN nodes m ON m.node = d.node LEFT JOIN cls c ON c.node = d.node LEFT JOIN links l ON l.node = d.node
+"""
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS MATERIALIZED (SELECT doc_id, p, hash(array_slice(b, p, p + 199)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS p FROM n WHERE n >= 200)),
+r AS (SELECT doc_id, p FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+      FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+c AS (SELECT doc_id, min(p) AS lo, max(p) + 200 AS hi FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS since FROM c),
+j AS (SELECT k.doc_id, string_agg(hex(array_slice(b, since, lo - 1)), '' ORDER BY lo) AS head, max(hi) AS tail, sum(hi - lo) AS gone, count(*) AS spans FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(array_slice(b, CAST(coalesce(tail, 1) AS BIGINT), n)))) AS kept_sha256
+FROM n LEFT JOIN j USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k,
@@ -113,4 +163,4 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies
 """
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_model": op6_language_model, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
-ORACLE_SQL = {"op8_mixing": OP8_SQL}
+ORACLE_SQL = {"op1_sharding": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
