@@ -159,8 +159,38 @@ def import_matches(module: Column, callee: Column, ext: Column) -> Column:
     )
 
 
+def relative(path: Column, base: Column) -> Column:
+    """path below base; paths elsewhere stay as they are."""
+    return F.when(path.startswith(F.concat(base, F.lit("/"))), F.substring(path, F.length(base) + 2, F.length(path))).otherwise(path)
+
+
+def hover_type(hover: Column) -> Column:
+    """The declared type of the first line that is no function: between colon and equals sign of a let or const, else the
+    whole line; the first line if all are functions, null for a blank text."""
+    strip = lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    lines = F.transform(F.split(strip(hover), "\n"), strip)
+    line = F.coalesce(F.get(F.filter(lines, lambda x: ~x.rlike("^(fn|def) ")), F.lit(0)), F.get(lines, F.lit(0)))
+    declared = strip(F.regexp_extract(line, r"^(?:let|const) [^:]*:([^=]*)", 1))
+    return F.when(strip(hover) != "", F.when(line.rlike("^(let|const) [^:]*:"), declared).otherwise(line))
+
+
+def terminal_color(code: Column) -> Column:
+    """The 256-colour number nearest a hexadecimal colour: the grey ramp for greys, else the 6 x 6 x 6 cube; null unless six digits."""
+    digits = F.regexp_extract(code, "^#*([0-9A-Fa-f]{6})$", 1)
+    r, g, b = (F.conv(F.substring(digits, i, 2), 16, 10).cast("int") for i in (1, 3, 5))
+    grey = F.when(r < 8, 16).when(r > 248, 231).otherwise(F.floor((r - 8) / 247 * 24) + 232)
+    step = lambda x: F.round(x / 51)
+    return F.when(digits != "", F.when((r == g) & (g == b), grey).otherwise(16 + 36 * step(r) + 6 * step(g) + step(b)).cast("int"))
+
+
 def signature(hover: Column) -> Column:
     """First line that starts a function or has an arrow, else the first line."""
     lines = F.transform(F.split(hover, "\n"), lambda x: F.trim(x))
     found = F.filter(lines, lambda x: x.rlike(r"^(pub )?(async )?fn |^(def|function|func) |->|=>"))
     return F.when(hover != "", F.coalesce(F.get(found, F.lit(0)), F.get(lines, F.lit(0))))
+
+
+def call_column(line: Column, callee: str) -> Column:
+    """Bytes before the first occurrence of callee in its line; 0 if there is none."""
+    at = F.instr(line, callee)
+    return F.when(at > 0, F.octet_length(F.substring(line, F.lit(1), at - 1))).otherwise(0).cast("int")

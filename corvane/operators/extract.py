@@ -8,9 +8,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.paths import clean_import
+
 SCHEMA = "path string, what string, name string, kind string, qualifier string, start_byte long, end_byte long, start_line int, end_line int"
 _KEYWORDS = {"if", "for", "while", "switch", "return", "match", "catch", "sizeof", "func", "fn", "function", "def", "class", "new", "await", "elif", "not", "and", "or", "in", "super", "fun", "unless", "when", "do", "else", "guard", "using", "lock", "foreach"}
 #: Language by extension, with patterns for definitions (kind, pattern) and imports, and whether blocks are braced.
@@ -128,6 +130,31 @@ def definitions(files: DataFrame) -> DataFrame:
     return facts(files).where("what = 'definition'").select("path", "name", "kind", "start_line", "end_line")
 
 
+def calls(files_or_facts: DataFrame) -> DataFrame:
+    """file, pos (of the name), callee, qualifier."""
+    return _facts(files_or_facts).where("what = 'call'").select(F.col("path").alias("file"), F.col("start_byte").alias("pos"), F.col("name").alias("callee"), "qualifier")
+
+
+def imports(files_or_facts: DataFrame) -> DataFrame:
+    """file, import_pos, module_path without quotes; of imports found at the same place the first by name counts."""
+    found = _facts(files_or_facts).where("what = 'import'").groupBy("path", "start_byte", "end_byte").agg(F.min("name").alias("name"))
+    return found.select(F.col("path").alias("file"), F.col("start_byte").alias("import_pos"), clean_import(F.col("name")).alias("module_path"))
+
+
+def spans(files_or_facts: DataFrame) -> DataFrame:
+    """Definitions as the call graph takes them: file, name, kind, start_byte, end_byte, start_line, end_line."""
+    return _facts(files_or_facts).where("what = 'definition'").select(F.col("path").alias("file"), "name", "kind", "start_byte", "end_byte", "start_line", "end_line")
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    return df if "what" in df.columns else facts(df)
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(ext, language) of what can be extracted: a few dozen rows, fixed, so lookups may broadcast it."""
+    return spark.createDataFrame([("py", "python"), *[(e, name) for e, (name, _) in _BY_EXTENSION.items()]], "ext string, language string")
+
+
 def sample_sources(part: DataFrame) -> DataFrame:
     """A small file for each row of part, in turns of four languages."""
     k = F.col("p_partkey")

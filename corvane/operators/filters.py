@@ -71,3 +71,8 @@ def should_process(path: Column, size: Column, content: Column | None = None, *,
         raise ValueError("include and only_include exclude each other")
     chosen = matches_any(path, only_include) if only_include else is_source(path, content) | matches_any(path, include)
     return (size <= max_size) & chosen & ~matches_any(path, exclude)
+
+
+def indexable(path: Column) -> Column:
+    """What the code index takes: source files with an extension, of any size and depth."""
+    return (extension(path) != "") & is_source(path)

@@ -165,3 +165,25 @@ def by_name(defs: DataFrame) -> DataFrame:
     """The first definition of each bare name."""
     w = Window.partitionBy("name").orderBy("file", "start_byte")
     return defs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("name", "file", "start_byte")
+
+
+def find_nodes(targets: DataFrame, defs: DataFrame) -> DataFrame:
+    """targets (file, func) with node: the definition in that file or, without a file, the first of that name; null if there is none."""
+    exact = nodes_by(defs).select("file", F.col("name").alias("func"), F.concat_ws(":", "file", "name").alias("node"))
+    first = by_name(defs).select(F.col("name").alias("func"), F.concat_ws(":", "file", "name").alias("node"))
+    with_file = targets.where("file is not null").join(exact, ["file", "func"], "left")
+    without = targets.where("file is null").join(first, "func", "left").select("file", "func", "node")
+    return with_file.select("file", "func", "node").union(without)
+
+
+def nodes_by(defs: DataFrame) -> DataFrame:
+    """The first definition of each (file, name), with its other columns."""
+    others = [c for c in defs.columns if c not in ("file", "name")]
+    order = ["start_byte", "end_byte", *[c for c in others if c not in ("start_byte", "end_byte")]]
+    return defs.groupBy("file", "name").agg(F.min(F.struct(*order)).alias("_d")).select("file", "name", *[F.col("_d")[c].alias(c) for c in others])
+
+
+def definitions_to_depth(edges: DataFrame, start: DataFrame, defs: DataFrame, most: int, reverse: bool = False) -> DataFrame:
+    """The first definition of every node at most `most` steps away, with its node and depth."""
+    there = to_depth(edges, start, most, reverse)
+    return there.join(nodes_by(defs).withColumn("node", F.concat_ws(":", "file", "name")), "node")

@@ -26,9 +26,24 @@ def remove(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def save(index: dict[str, DataFrame], path: str) -> None:
-    """Every table as Parquet under path, each row with the format's version."""
+    """Every table as Parquet under path, each row with the format's version. All are written beside it first and
+    then take its place, so an index may be saved over the one that it was read from."""
+    spark = next(iter(index.values())).sparkSession
+    new = f"{path}.new"
     for name, df in index.items():
-        df.withColumn("_version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/{name}")
+        df.withColumn("_version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{new}/{name}")
+    clear(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    if not _system(spark, path).rename(place(new), place(path)):
+        raise OSError(f"cannot rename {new} to {path}")
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    _system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def load(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import paths as P
+from corvane.operators import extract as E
 from corvane.operators import filters as S
 from corvane.operators import graph as G
 from corvane.operators import index as I
@@ -215,7 +216,7 @@ def file_blocks(spark, sf_dir):
 
 @query("packed_document")
 def packed_document(spark, sf_dir):
-    return K.document(files(spark, sf_dir).where(F.col("size") < 3000))
+    return K.document(files(spark, sf_dir))
 
 
 @query("summary", f"SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM {V_FILES} WHERE size <= 10485760 AND {SOURCE_SQL}")
@@ -391,26 +392,34 @@ def first_by_name(spark, sf_dir):
     return G.by_name(view(spark, sf_dir, "defs"))
 
 
-_SCAN = f"(SELECT path, doc_id % 97 AS mtime, size FROM {V_FILES})"
-_OLD = f"(SELECT path, doc_id % 97 + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS mtime, size + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size FROM {V_FILES} WHERE doc_id % 11 <> 0)"
+# The index as it was: the labelled files, those with toxic = 1 at another time, those with quality = 0 of another size.
+_SCAN = f"(SELECT path, size % 97 AS mtime, size FROM {V_FILES})"
+_OLD = f"(SELECT path, f.size % 97 + coalesce(l.toxic, 0) AS mtime, f.size + 1 - coalesce(l.quality, 1) AS size FROM {V_FILES} f JOIN labels l USING (doc_id))"
+_STALE = f"(SELECT n.path, n.mtime, n.size FROM {_SCAN} n LEFT JOIN {_OLD} o USING (path) WHERE o.path IS NULL OR o.mtime <> n.mtime OR o.size <> n.size)"
 
 
 def snapshots(spark, sf_dir):
     f = files(spark, sf_dir)
-    now = f.selectExpr("path", "doc_id % 97 AS mtime", "size")
-    old = f.where("doc_id % 11 <> 0").selectExpr("path", "doc_id % 97 + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS mtime", "size + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size")
+    now = f.selectExpr("path", "size % 97 AS mtime", "size")
+    old = f.join(table(spark, sf_dir, "labels"), "doc_id").selectExpr("path", "size % 97 + coalesce(toxic, 0) AS mtime", "size + 1 - coalesce(quality, 1) AS size")
     return now, old
 
 
-@query("stale_files", f"SELECT n.path FROM {_SCAN} n LEFT JOIN {_OLD} o USING (path) WHERE o.path IS NULL OR o.mtime <> n.mtime OR o.size <> n.size")
+@query("stale_files", f"SELECT path FROM {_STALE}")
 def stale_files(spark, sf_dir):
     return I.stale(*snapshots(spark, sf_dir)).select("path")
 
 
-@query("index_upsert", f"SELECT path, mtime, size FROM {_OLD} WHERE path NOT IN (SELECT path FROM {_SCAN} WHERE path LIKE 'en/%') UNION ALL SELECT path, mtime, size FROM {_SCAN} WHERE path LIKE 'en/%'")
+@query("index_upsert", f"SELECT path, mtime, size FROM {_OLD} WHERE path NOT IN (SELECT path FROM {_STALE}) UNION ALL SELECT path, mtime, size FROM {_STALE}")
 def index_upsert(spark, sf_dir):
     now, old = snapshots(spark, sf_dir)
-    return I.upsert(old, now.where("path LIKE 'en/%'"), "path")
+    return I.upsert(old, I.stale(now, old), "path")
+
+
+@query("index_remove", f"SELECT path, mtime, size FROM {_SCAN} WHERE path NOT IN (SELECT path FROM {_OLD})")
+def index_remove(spark, sf_dir):
+    now, old = snapshots(spark, sf_dir)
+    return I.remove(now, old, "path")
 
 
 @query("index_status", f"SELECT (SELECT count(DISTINCT file) FROM {V_DEFS}) AS n_files, (SELECT count(*) FROM {V_DEFS}) AS n_definitions, (SELECT count(*) FROM {V_CALLS}) AS n_calls, (SELECT count(target_file) FROM {_resolved(False)}) AS n_resolved, (SELECT count(*) FROM {V_IMPORTS}) AS n_imports")
@@ -459,10 +468,11 @@ def definition_source(spark, sf_dir):
     return d.select("doc_id", K.definition_block(F.col("file"), F.col("name"), F.col("content"), F.col("start_line"), F.col("end_line")).alias("block"))
 
 
-@query("picked_paths", f"SELECT path, size FROM {V_FILES} WHERE path IN (SELECT path FROM {V_FILES} WHERE doc_id % 9 = 0)")
+@query("picked_paths", f"SELECT path, size FROM {V_FILES} WHERE doc_id IN (SELECT doc_id FROM labels)")
 def picked_paths(spark, sf_dir):
     f = files(spark, sf_dir)
-    return f.join(f.where("doc_id % 9 = 0").select("path"), "path", "left_semi").select("path", "size")
+    picked = f.join(table(spark, sf_dir, "labels"), "doc_id").select("path")
+    return f.join(picked, "path", "left_semi").select("path", "size")
 
 
 @query("picker_order", f"SELECT name, is_dir, row_number() OVER (ORDER BY is_dir DESC, name) AS pos FROM (SELECT DISTINCT string_split(path, '/')[2] AS name, len(string_split(path, '/')) > 2 AS is_dir FROM {V_FILES} WHERE path LIKE 'en/%')")
@@ -473,10 +483,10 @@ def picker_order(spark, sf_dir):
     return names.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("is_dir"), "name")).cast("long"))
 
 
-@query("call_column", f"SELECT doc_id, CAST(greatest(instr(string_split(text, chr(10))[1], 'th') - 1, 0) AS INT) AS col FROM documents WHERE lang = 'en'")
+@query("call_column", "SELECT doc_id, CAST(CASE WHEN instr(l, 'th') > 0 THEN strlen(substr(l, 1, instr(l, 'th') - 1)) ELSE 0 END AS INT) AS col FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents)")
 def call_column(spark, sf_dir):
     line = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.greatest(F.instr(line, "th") - 1, F.lit(0)).cast("int").alias("col"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.call_column(line, "th").alias("col"))
 
 
 @query("thousands", f"SELECT path, format('{{:,}}', size) AS shown FROM {V_FILES}")
@@ -490,11 +500,45 @@ def hover_signature(spark, sf_dir):
     return d.select("doc_id", P.signature(F.col("h")).alias("signature"))
 
 
-@query("extract_definitions")
+_SAMPLE = """(SELECT 'src/f' || p_partkey || (CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.go' ELSE '.js' END) AS file, p_partkey % 4 AS t, CAST(p_partkey AS VARCHAR) AS k FROM part)"""
+
+
+def _per_language(*rows: str) -> str:
+    """SQL: each sample file with the structs that its language's list holds."""
+    return f"(SELECT file, unnest(CASE t WHEN 0 THEN [{rows[0]}] WHEN 1 THEN [{rows[1]}] WHEN 2 THEN [{rows[2]}] ELSE [{rows[3]}] END) AS u FROM {_SAMPLE})"
+
+
+def _rows(fields: str, *each: str) -> str:
+    return ", ".join("{" + ", ".join(f"'{f}': {v}" for f, v in zip(fields.split(), e.split(";"), strict=True)) + "}" for e in each)
+
+
+_D = "name kind a b"
+_SAMPLE_DEFS = _per_language(
+    _rows(_D, "'a' || k;'function';3;4", "'C' || k;'class';6;8", "'m';'function';7;8"), _rows(_D, "'a' || k;'function';3;5"),
+    _rows(_D, "'a' || k;'function';5;7"), _rows(_D, "'b' || k;'function';1;1", "'a' || k;'function';2;2"),
+)
+_SAMPLE_CALLS = _per_language(
+    _rows("c q", "'b' || k;NULL", "'getcwd';'os'", "'a' || k;NULL"), _rows("c q", "'b' || k;NULL"), _rows("c q", "'Println';'fmt'", "'b' || k;NULL"), _rows("c q", "'b' || k;NULL")
+)
+
+
+def sample(spark, sf_dir):
+    return E.sample_sources(table(spark, sf_dir, "part"))
+
+
+@query("extract_definitions", f"SELECT file AS path, u.name AS name, u.kind AS kind, CAST(u.a AS INT) AS start_line, CAST(u.b AS INT) AS end_line FROM {_SAMPLE_DEFS}")
 def extract_definitions(spark, sf_dir):
-    from corvane.operators import extract
+    return E.definitions(sample(spark, sf_dir))
+
+
+@query("extract_calls", f"SELECT file, u.c AS callee, u.q AS qualifier FROM {_SAMPLE_CALLS}")
+def extract_calls(spark, sf_dir):
+    return E.calls(sample(spark, sf_dir)).select("file", "callee", "qualifier")
 
-    return extract.definitions(extract.sample_sources(table(spark, sf_dir, "part")))
+
+@query("extract_imports", f"SELECT file, CASE t WHEN 0 THEN 'os' WHEN 1 THEN 'crate::x::y' ELSE 'fmt' END AS module_path FROM {_SAMPLE} WHERE t < 3")
+def extract_imports(spark, sf_dir):
+    return E.imports(sample(spark, sf_dir)).select("file", "module_path")
 
 
 @query("token_counts")
@@ -502,3 +546,112 @@ def token_counts(spark, sf_dir):
     from corvane.operators import tokens
 
     return tokens.count(files(spark, sf_dir).select("path", "content"), tokens.words)
+
+
+@query("code_index_files", f"SELECT path, size FROM {V_FILES} WHERE {SOURCE_SQL} AND {EXT_SQL} <> ''")
+def code_index_files(spark, sf_dir):
+    return files(spark, sf_dir).where(S.indexable(F.col("path"))).select("path", "size")
+
+
+@query("relative_path", f"SELECT path, CASE WHEN starts_with(path, 'en/') THEN substr(path, 4) ELSE path END AS rel FROM {V_FILES}")
+def relative_path(spark, sf_dir):
+    return files(spark, sf_dir).select("path", P.relative(F.col("path"), F.lit("en")).alias("rel"))
+
+
+_HOVER = "SELECT doc_id, text, lang, CASE WHEN lang = 'en' THEN concat('let v: ', text) ELSE concat('fn f()', chr(10), text) END AS h FROM documents"
+_STRIP = "regexp_replace({}, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')"
+
+
+@query("hover_type", f"""WITH h AS (SELECT doc_id, lang, string_split({_STRIP.format('h')}, chr(10)) AS l FROM ({_HOVER}))
+SELECT doc_id, CASE WHEN lang = 'en' THEN {_STRIP.format("string_split(substr(l[1], 7), '=')[1]")} ELSE {_STRIP.format('coalesce(l[2], l[1])')} END AS type FROM h""")
+def hover_type(spark, sf_dir):
+    d = spark.sql(_HOVER.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return d.select("doc_id", P.hover_type(F.col("h")).alias("type"))
+
+
+_COLORS = "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN (p_partkey * 7919) % 16777216 ELSE (p_partkey % 256) * 65793 END AS v FROM part"
+
+
+@query("terminal_colors", f"""SELECT k, CAST(CASE WHEN r = g AND g = b THEN CASE WHEN r < 8 THEN 16 WHEN r > 248 THEN 231 ELSE floor((r - 8) / 247.0 * 24) + 232 END
+ ELSE 16 + 36 * round(r / 51.0) + 6 * round(g / 51.0) + round(b / 51.0) END AS INT) AS color FROM (SELECT k, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b FROM ({_COLORS}))""")
+def terminal_colors(spark, sf_dir):
+    c = spark.sql(_COLORS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return c.select("k", P.terminal_color(F.concat(F.lit("#"), F.lpad(F.hex(F.col("v").cast("long")), 6, "0"))).alias("color"))
+
+
+@query("unresolved_calls", f"SELECT count(*) - count(target_file) AS n_unresolved, count(target_file) > 0 AS any_resolved FROM {_resolved(False)}")
+def unresolved_calls(spark, sf_dir):
+    r = G.resolve(*graph_inputs(spark, sf_dir))
+    return r.agg(F.count_if(F.col("target_file").isNull()).alias("n_unresolved"), F.coalesce(F.bool_or(F.col("target_file").isNotNull()), F.lit(False)).alias("any_resolved"))
+
+
+@query("call_edges_strict", f"SELECT src, dst FROM {_EDGES.replace(_resolved(False), _resolved(True))}")
+def call_edges_strict(spark, sf_dir):
+    return G.call_edges(*graph_inputs(spark, sf_dir), strict=True)
+
+
+@query("definitions_to_depth", f"""SELECT w.node, w.depth, d.file, d.name, d.start_byte, d.end_byte FROM ({_bounded("src", "dst", "min(src)")}) w
+JOIN (SELECT file, name, min(start_byte) AS start_byte, arg_min(end_byte, (start_byte, end_byte)) AS end_byte FROM {V_DEFS} GROUP BY file, name) d ON w.node = d.file || ':' || d.name""")
+def definitions_to_depth(spark, sf_dir):
+    e = G.checkpointed(edges(spark, sf_dir))
+    found = G.definitions_to_depth(e, start(e), view(spark, sf_dir, "defs"), 3)
+    return found.select("node", "depth", "file", "name", "start_byte", "end_byte")
+
+
+_TARGETS = "SELECT DISTINCT CASE WHEN qualifier IS NULL THEN NULL ELSE file END AS file, callee AS func FROM {calls}"
+
+
+@query("target_lookup", f"""SELECT t.file, t.func, CASE WHEN t.file IS NULL THEN n.file || ':' || t.func ELSE e.file || ':' || t.func END AS node FROM ({_TARGETS.replace("{calls}", V_CALLS)}) t
+LEFT JOIN {_DEF1} e ON e.file = t.file AND e.name = t.func LEFT JOIN (SELECT name, min(file) AS file FROM {V_DEFS} GROUP BY name) n ON n.name = t.func""")
+def target_lookup(spark, sf_dir):
+    calls, _, defs = graph_inputs(spark, sf_dir)
+    return G.find_nodes(spark.sql(_TARGETS, calls=calls), defs)
+
+
+@query("picker_select_all", f"SELECT path FROM {V_FILES} WHERE doc_id IN (SELECT doc_id FROM labels) UNION SELECT path FROM {V_FILES} WHERE path LIKE 'en/%'")
+def picker_select_all(spark, sf_dir):
+    return picked_paths(spark, sf_dir).select("path").union(files(spark, sf_dir).where("path LIKE 'en/%'").select("path")).distinct()
+
+
+@query("picker_unpick", f"SELECT path FROM {V_FILES} WHERE doc_id IN (SELECT doc_id FROM labels) AND path NOT LIKE 'en/%'")
+def picker_unpick(spark, sf_dir):
+    return picked_paths(spark, sf_dir).select("path").exceptAll(files(spark, sf_dir).where("path LIKE 'en/%'").select("path"))
+
+
+@query("name_index", f"SELECT name, count(*) AS n_files, string_agg(file, ',' ORDER BY file) AS files FROM {_DEF1} GROUP BY name")
+def name_index(spark, sf_dir):
+    d = view(spark, sf_dir, "defs").select("file", "name").distinct().groupBy("name")
+    return d.agg(F.count(F.lit(1)).alias("n_files"), F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
+
+
+@query("compatible_extensions", f"""WITH e AS (SELECT DISTINCT {_EXT.format('file')} AS ext FROM {V_DEFS}), f AS (SELECT ext, {_FAM.format('ext')} AS fam FROM e)
+SELECT a.ext, b.ext AS other FROM f a JOIN f b USING (fam)""")
+def compatible_extensions(spark, sf_dir):
+    e = view(spark, sf_dir, "defs").select(P.extension(F.col("file")).alias("ext")).distinct().withColumn("fam", P.family(F.col("ext")))
+    return e.join(e.select(F.col("ext").alias("other"), "fam"), "fam").select("ext", "other")
+
+
+@query("file_languages", f"SELECT file, CASE {_EXT.format('file')} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' END AS language FROM (SELECT DISTINCT file FROM {V_DEFS})")
+def file_languages(spark, sf_dir):
+    f = view(spark, sf_dir, "defs").select("file").distinct().withColumn("ext", P.extension(F.col("file")))
+    return f.join(E.registry(spark), "ext", "left").select("file", "language")
+
+
+@query("import_matches", f"SELECT import_pos, callee, CASE WHEN {_EXT.format('file')} IN ('rs', 'py') THEN regexp_extract(module_path, '(\\w+)$', 1) = callee ELSE true END AS matches FROM (SELECT *, 'u' || (import_pos % 40) AS callee FROM {V_IMPORTS})")
+def import_matches(spark, sf_dir):
+    i = view(spark, sf_dir, "imports").withColumn("callee", F.concat(F.lit("u"), (F.col("import_pos") % 40).cast("string")))
+    return i.select("import_pos", "callee", P.import_matches(F.col("module_path"), F.col("callee"), P.extension(F.col("file"))).alias("matches"))
+
+
+@query("tree_lines_strict", f"""WITH s AS (SELECT path, c, lag(c) OVER (ORDER BY c) AS prev FROM {_SORTED}),
+e AS (SELECT path, c, prev, unnest(range(1, len(c) + 1)) AS i FROM s),
+u AS (SELECT i, count(DISTINCT c[i]) AS n FROM e GROUP BY i)
+SELECT path, CAST(e.i - 1 AS INT) AS level, repeat('  ', CAST(e.i - 1 AS INT)) || CASE WHEN e.i = len(c) THEN '└── ' || c[e.i] WHEN u.n = 1 THEN '└── ' || c[e.i] || '/' ELSE '├── ' || c[e.i] || '/' END AS line
+FROM e JOIN u USING (i) WHERE prev IS NULL OR c[1:e.i] <> prev[1:e.i]""")
+def tree_lines_strict(spark, sf_dir):
+    return K.tree_lines(files(spark, sf_dir), faithful=False)
+
+
+@query("packed_xml")
+def packed_xml(spark, sf_dir):
+    return K.document(files(spark, sf_dir), project="corpus")

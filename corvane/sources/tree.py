@@ -6,11 +6,13 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.operators.filters import MAX_DEPTH, glob_regex
 
+#: Characters of file contents that a task holds before it passes them on; bounds memory, never a file.
+MOST_CHARS = 8_000_000
 MANIFEST = "path string, full string, size long, mtime long"
 #: Written by the tool itself, never scanned. Fixed value for the index folder's kind.
 OWN_FILES = {".corvane", "CORVANE.md"}
@@ -66,9 +68,31 @@ def manifest(spark: SparkSession, roots: list[str], hidden: bool = False, ignore
     return spark.createDataFrame([r for root in roots for r in walk(root, hidden, ignore, max_depth)], MANIFEST)
 
 
-def contents(files: DataFrame, root: str) -> DataFrame:
-    """files with content, read by Spark from the tree; those that aren't UTF-8 are left out."""
-    spark = files.sparkSession
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    raw = raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("full"), F.col("content").cast("string").alias("content"))
-    return files.join(raw.where(F.is_valid_utf8("content")), "full").drop("full")
+def contents(files: DataFrame) -> DataFrame:
+    """files with content instead of full: only these files are read, a few megabytes at a time, hidden ones too; those
+    that can't be read or aren't UTF-8 are left out. The tree must be mounted wherever tasks run."""
+    columns = [c for c in files.columns if c != "full"]
+    schema = ", ".join([*[f"`{c}` {files.schema[c].dataType.simpleString()}" for c in columns], "content string"])
+
+    def run(batches):
+        for b in batches:
+            rows, texts, held = [], [], 0
+            for i, full in enumerate(b.column("full").to_pylist()):
+                try:
+                    with open(full, "rb") as f:
+                        texts.append(f.read().decode())
+                except (OSError, UnicodeDecodeError):
+                    continue
+                rows.append(i)
+                held += len(texts[-1])
+                if held > MOST_CHARS:
+                    yield _rows(b, rows, texts, columns)
+                    rows, texts, held = [], [], 0
+            yield _rows(b, rows, texts, columns)
+
+    return files.mapInArrow(run, schema)
+
+
+def _rows(batch: pa.RecordBatch, rows: list[int], texts: list[str], columns: list[str]) -> pa.RecordBatch:
+    some = batch.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*[some.column(c) for c in columns], pa.array(texts, pa.string())], names=[*columns, "content"])

@@ -95,7 +95,7 @@ def test_scan(spark, tmp_path):
         f.write_bytes(t if isinstance(t, bytes) else t.encode())
     m = tree.manifest(spark, [str(tmp_path)])
     assert sorted(r["path"] for r in m.collect()) == ["a.py", "bad.txt", "target/o.rs"]
-    assert sorted(r["path"] for r in tree.contents(m, str(tmp_path)).collect()) == ["a.py", "target/o.rs"]
+    assert sorted(r["path"] for r in tree.contents(m).collect()) == ["a.py", "target/o.rs"]
     assert {r[0] for r in tree.walk(str(tmp_path), max_depth=1)} == {"a.py", "bad.txt"}
 
 
