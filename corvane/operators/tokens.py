@@ -1,9 +1,9 @@
-"""Token counts in Arrow batches; the tokenizer is built once a worker."""
+"""Token counts in Arrow batches; the tokenizer is built once a task."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -52,21 +52,13 @@ def count(files: DataFrame, counter: Callable[[], Counter]) -> DataFrame:
     """path and tokens; a text that can't be tokenized fails the query, a null text has none."""
 
     @F.pandas_udf("long")
-    def tokens(batches: pd.Series) -> pd.Series:
-        one = _made(counter)
-        return batches.map(lambda t: one(t) if isinstance(t, str) else 0)
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = counter()
+        for texts in batches:
+            yield texts.map(lambda t: one(t) if isinstance(t, str) else 0)
 
     return files.select("path", tokens("content").alias("tokens"))
 
 
-_made_by: dict[int, Counter] = {}
-
-
-def _made(counter):
-    if id(counter) not in _made_by:
-        _made_by[id(counter)] = counter()
-    return _made_by[id(counter)]
-
-
 def total(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("files"))

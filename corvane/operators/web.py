@@ -153,3 +153,18 @@ def crawl(pages: DataFrame, most: int) -> DataFrame:
     known = pages.select("url", F.lit(True).alias("_in")).distinct()
     met = seen.distinct().join(known, "url", "left")
     return met.groupBy("start").agg(F.count(F.lit(1)).alias("n_urls"), F.count("_in").alias("n_fetched"))
+
+
+def crawl_order(pages: DataFrame, most: int) -> DataFrame:
+    """start, steps, url: every page met by following at most `most` links from each page, in the order of a depth-first walk.
+
+    steps are the places of the links followed; ordered by start and steps they give the walk. Of a page's links to
+    one URL the first counts; pages reached on several ways come again, URLs that aren't in the table are passed over."""
+    links = page_links(pages).groupBy(F.col("url").alias("_from"), "link").agg(F.min("pos").alias("_pos"))
+    links = links.join(pages.select(F.col("url").alias("link")).distinct(), "link", "left_semi")
+    step = pages.select(F.col("page_id").alias("start"), F.array().cast("array<int>").alias("steps"), "url")
+    out = step
+    for _ in range(most):
+        step = step.join(links, F.col("url") == F.col("_from")).select("start", F.concat("steps", F.array("_pos")).alias("steps"), F.col("link").alias("url"))
+        out = out.union(step)
+    return out

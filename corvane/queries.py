@@ -192,6 +192,15 @@ def crawl(spark, sf_dir):
     return W.crawl(table(spark, sf_dir, "pages"), 2)
 
 
+@query("crawl_order", f"""WITH RECURSIVE links AS (SELECT page_id, link, min(pos) AS pos FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS link, pos FROM ({_LINKS})) GROUP BY page_id, link),
+walk AS (SELECT page_id AS start, url, '' AS steps, 0 AS depth FROM pages UNION ALL SELECT w.start, l.link, w.steps || '/' || l.pos, w.depth + 1 FROM walk w JOIN pages p ON p.url = w.url JOIN links l ON l.page_id = p.page_id
+ WHERE w.depth < 2 AND l.link IN (SELECT url FROM pages))
+SELECT start, steps, url FROM walk""")
+def crawl_order(spark, sf_dir):
+    steps = F.array_join(F.transform("steps", lambda x: F.concat(F.lit("/"), x.cast("string"))), "")
+    return W.crawl_order(table(spark, sf_dir, "pages"), 2).select("start", steps.alias("steps"), "url")
+
+
 @query("html_markdown")
 def html_markdown(spark, sf_dir):
     return W.markdown(table(spark, sf_dir, "pages"))

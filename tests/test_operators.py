@@ -2,9 +2,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import cli
+from corvane.functions import paths
 from corvane.operators import extract, graph, index, pack, tokens, web
 from corvane.queries import ORACLE_SQL, QUERIES
-from corvane.sources import config, tree
+from corvane.sources import config, pdf, tree
 from corvane.streaming.reindex import reindex
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +117,67 @@ def test_streaming_reindex(spark, tmp_path):
     stream = spark.readStream.schema("path string, content string").parquet(str(tmp_path / "in"))
     reindex(stream, str(tmp_path / "facts"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "facts" / "v=0")).where("name = 'f'").count() == 1
+
+
+@pytest.fixture
+def project(tmp_path, monkeypatch):
+    for name in ("XDG_DATA_HOME", "XDG_CONFIG_HOME"):
+        monkeypatch.setenv(name, str(tmp_path / name))
+    root = tmp_path / "project"
+    for p, t in {"a.py": "import b\ndef f():\n    return g()\n", "b.py": "def g():\n    return 1\n", "run": "#!/bin/sh\necho\n", "notes": "plain\n", ".h.py": "x\n"}.items():
+        (root / p).parent.mkdir(exist_ok=True)
+        (root / p).write_text(t)
+    return root
+
+
+def test_command_scan(spark, project, capsys):
+    assert cli.main([str(project), "-o", "files"], spark) == 0
+    shown = capsys.readouterr()
+    assert [x for x in shown.out.split("\n") if x.startswith("File: ")] == ["File: a.py", "File: b.py", "File: run"]
+    assert "Total files: 3" in shown.out and "Total tokens:" in shown.err
+    assert cli.main([str(project), "-H", "-x", "--no-tokens", "-f", str(project / "out.txt"), "--only-include", "*.py"], spark) == 0
+    text = (project / "out.txt").read_text()
+    assert text.startswith('<context name="project">') and '<file path=".h.py">' in text and "run" not in text
+    assert cli.main([str(project), "-i", "*.x", "--only-include", "*.y"], spark) == 1
+    assert cli.main([str(project / "none")], spark) == 1
+
+
+def test_command_code_and_index(spark, project, capsys):
+    assert cli.main(["index", "status", str(project)], spark) == 0
+    assert "No index" in capsys.readouterr().out
+    assert cli.main(["code", "a.py:f", "--root", str(project)], spark) == 0
+    out = capsys.readouterr().out
+    assert out.index("## a.py:f") < out.index("## b.py:g") and "def g():\n    return 1" in out
+    assert cli.main(["code", "g", "--callers", "--root", str(project)], spark) == 0
+    assert "## a.py:f" in capsys.readouterr().out
+    assert cli.main(["code", "nobody", "--root", str(project)], spark) == 1
+    (project / "b.py").write_text("def h():\n    return 22\n")
+    (project / "c.py").write_text("def i(): pass\n")
+    (project / "a.py").unlink()
+    assert cli.main(["index", "build", str(project)], spark) == 0
+    out = capsys.readouterr().out
+    assert "Files:       2" in out and "Definitions: 2" in out and "Calls:       0" in out
+    assert cli.main(["index", "clear", str(project)], spark) == 0
+    assert cli.counts(spark, cli.index_place(str(project)))["Files"] == 0
+
+
+def test_pdf(tmp_path):
+    assert pdf.write([f"line ({i})" for i in range(100)] + ["x" * 250], tmp_path / "a.pdf") == 2
+    data = (tmp_path / "a.pdf").read_bytes()
+    assert data.startswith(b"%PDF") and rb"(line \(99\)) '" in data and data.count(b"x") >= 250
+    start = int(data.split(b"startxref\n")[1].split()[0])
+    assert data[start:].startswith(b"xref")
+
+
+@pytest.mark.parametrize(
+    "hover, kind", [("let x: i32 = 1", "i32"), ("fn f()\nconst y: &str", "&str"), ("fn f()", "fn f()"), (" \n", None), ("def g\nlet z", "let z"), (None, None)]
+)
+def test_hover_type(spark, hover, kind):
+    df = spark.createDataFrame([(hover,)], "h string")
+    assert df.select(paths.hover_type(F.col("h"))).first()[0] == kind
+
+
+def test_find_nodes(spark):
+    defs = spark.createDataFrame([("b", "f", 0, 1), ("a", "f", 5, 6)], "file string, name string, start_byte long, end_byte long")
+    targets = spark.createDataFrame([("b", "f"), (None, "f"), ("b", "g"), (None, "g")], "file string, func string")
+    assert {(r["file"], r["func"]): r["node"] for r in graph.find_nodes(targets, defs).collect()} == {("b", "f"): "b:f", (None, "f"): "a:f", ("b", "g"): None, (None, "g"): None}
