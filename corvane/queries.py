@@ -223,7 +223,20 @@ def file_blocks(spark, sf_dir):
     return files(spark, sf_dir).select("path", K.file_block(F.col("path"), F.col("content")).alias("block"))
 
 
-@query("packed_document")
+def _packed(fixed: dict[int, str], block: str, head: str, tail: str) -> str:
+    """SQL: the fixed lines by section, the tree, the files' blocks and the summary between head and tail."""
+    values = ", ".join(f"({section}, '{line}')" for section, line in fixed.items())
+    return f"""SELECT CAST(section AS INT) AS section, '' AS path, CAST(0 AS INT) AS ord, replace(line, '~', chr(10)) AS line FROM (VALUES {values}) v(section, line)
+UNION ALL SELECT 2, path, level, line FROM ({ORACLE_SQL["tree_lines"]})
+UNION ALL SELECT 5, path, 0, {block} FROM {V_FILES}
+UNION ALL SELECT 7, '', 0, '{head}' || chr(10) || 'Total files: ' || count(*) || chr(10) || 'Total size: ' || CAST(coalesce(sum(size), 0) AS BIGINT) || ' bytes' || chr(10) || replace('{tail}', '~', chr(10)) FROM {V_FILES}"""
+
+
+_PLAIN_BLOCK = "chr(10) || 'File: ' || path || chr(10) || repeat('=', 48) || chr(10) || content || chr(10)"
+_TAGGED_BLOCK = "'<file path=\"' || path || '\">' || chr(10) || repeat('=', 48) || chr(10) || content || chr(10) || '</file>' || chr(10)"
+
+
+@query("packed_document", _packed({1: "Directory Structure:", 3: "", 4: "File Contents:", 6: ""}, _PLAIN_BLOCK, "Summary:", ""))
 def packed_document(spark, sf_dir):
     return K.document(files(spark, sf_dir))
 
@@ -550,7 +563,7 @@ def extract_imports(spark, sf_dir):
     return E.imports(sample(spark, sf_dir)).select("file", "module_path")
 
 
-@query("token_counts")
+@query("token_counts", f"SELECT path, CAST(coalesce(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM {V_FILES}")
 def token_counts(spark, sf_dir):
     from corvane.operators import tokens
 
@@ -661,6 +674,6 @@ def tree_lines_strict(spark, sf_dir):
     return K.tree_lines(files(spark, sf_dir), faithful=False)
 
 
-@query("packed_xml")
+@query("packed_xml", _packed({0: '<context name="corpus">', 1: "<tree>", 3: "</tree>~", 4: "<files>", 6: "</files>"}, _TAGGED_BLOCK, "<summary>", "</summary>~</context>"))
 def packed_xml(spark, sf_dir):
     return K.document(files(spark, sf_dir), project="corpus")
