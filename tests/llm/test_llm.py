@@ -11,6 +11,7 @@ from conftest_llm import ODD, words
 from pyspark.sql import functions as F
 
 from corvane.llm import ann, bpe, fingerprint, graph, language_model, mixing, ngram_join, quality, queries, sharding, suffix_dedup, toxicity
+from corvane.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -258,6 +259,32 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+def test_language_model_tells_words_of_one_ending_apart(spark, documents):
+    texts = ["sunab one moonab two " * 20] * 40
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts[held[0]], texts[held[1]] = "sunab one moonab two", "sunab two moonab one"
+    got = {r["doc_id"]: r["score"] for r in language_model.score(documents(*texts)).collect()}
+    assert got[held[0]] > got[held[1]] + 2
+
+
+def test_context_tables_return_to_every_bucket(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_model, "written", lambda df, name: seen.append((name, w := written(df, name))) or w)
+    language_model.score(documents("a b a c", "a b", "x a", ids=[0, 1, 3])).collect()
+    words = [language_model.Bucket(r[0], r[1:]) for r in next(w for n, w in seen if n == "words").select("bucket", *language_model._PARTS).collect()]
+    want, types = Counter(), Counter()
+    for b in words:
+        for c, n in zip(b.context.tolist(), b.count.tolist(), strict=True):
+            want[c] += n
+            types[c] += n > 0
+    by = {b.number: b for b in words}
+    told = [w.collect() for n, w in seen if n == "told"]
+    for r in told[0]:
+        by[r["bucket"]].tell(r["turn"], r["part"], 16, r["a"])
+    for b in words:
+        assert [want[c] for c in b.contexts.tolist()] == b.told[0].tolist() and [types[c] for c in b.contexts.tolist()] == b.told[1].tolist()
+
+
 def test_spelling_probabilities_sum_to_one():
     data = np.frombuffer(b"abacadabra", np.uint8)
     _, sym, ctx = language_model.letters(data, np.array([0, 3, 10]))
