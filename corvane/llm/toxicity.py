@@ -1,10 +1,10 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine of whole texts.
 
-The examples' term weights lie in an inverted index whose postings are cut into blocks of examples; each term
-keeps the largest weight of each block. For a document, the blocks' bounds come from those maxima, blocks are
-opened in falling order of their bound, and the search ends when no closed block can reach the k-th best
-cosine, so the neighbours are exactly the nearest. Their votes, weighted by distance, are calibrated on the
-examples themselves, each left out of its own search.
+All terms of the examples lie in an inverted index; the weights of common terms also in a matrix, so that a group of
+documents meets them in one product. Every example that shares a term with a document is scored, so the neighbours are
+exactly the nearest. A term that no example holds counts for a document's norm with the idf of no example. The
+neighbours vote, weighted by distance; so do those found by the terms that tell the labels apart alone. Both votes are
+calibrated together on the examples themselves, each left out of its own search.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lowered, pieces, prefix_hash, range_hash, slices
+from corvane.llm.common import lowered, pieces, prefix_hash, range_hash, release, slices
 from corvane.llm.quality import labelled
 
 #: Examples that the index takes at most: those with the smallest hashes of their ids.
 FIT_ROWS = 8_000
-NEAREST, BLOCK, OPEN_FIRST = 24, 64, 4
-#: A term is indexed if at least MIN_DF examples hold it and its G statistic against the label reaches MIN_G.
+NEAREST, GROUP = 24, 128
+#: Terms that at least this share of the examples holds are common.
+COMMON = 0.1
+#: A term tells the labels apart if at least MIN_DF examples hold it and its G statistic against the label reaches MIN_G.
 MIN_DF, MIN_G, MAX_TERMS = 4, 15.0, 4096
 
 _SOLID = np.zeros(256, bool)
@@ -38,40 +40,89 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return range_hash(prefix_hash(lowered(data)), starts, ends), np.searchsorted(offs, starts, "right") - 1
 
 
-class NearestExamples:
-    """The fitted index; small (bounded by FIT_ROWS and MAX_TERMS), so it goes to every task."""
+class Index:
+    """Examples by the TF-IDF weights of their terms: of all (`whole`, norms over known and unknown terms) or of some."""
+
+    def __init__(self, n: int, vocabulary: np.ndarray, df: np.ndarray, d: np.ndarray, t: np.ndarray, tf: np.ndarray, whole: bool):
+        self.vocabulary, self.blocks, self.whole = vocabulary, 1, whole
+        self.idf, self.unknown = np.log((1 + n) / (1 + df)) + 1, float(np.log(1 + n)) + 1
+        w = (1 + np.log(tf)) * self.idf[t]
+        w = w / np.sqrt(np.bincount(d, w * w, n))[d]
+        order = np.lexsort((d, t))
+        self.post_doc, self.post_w = d[order].astype(np.int32), w[order]
+        self.begin = np.searchsorted(t[order], np.arange(len(vocabulary) + 1))
+        common = np.flatnonzero(df >= max(2, COMMON * n))
+        self.slot = np.full(len(vocabulary), -1)
+        self.slot[common] = np.arange(len(common))
+        at = self.slot[t]
+        self.common = np.zeros((len(common), n))
+        self.common[at[at >= 0], d[at >= 0]] = w[at >= 0]
+
+    def _common(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.common))
+        at = self.slot[t]
+        out[at[at >= 0]] = w[at >= 0]
+        return out
+
+    def search(self, t: np.ndarray, w: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the nearest examples, nearest first, ties to smaller rows. The whole query has norm 1;
+        t and w are its known terms; common: what the common terms give each example, if that is known already."""
+        sims = self._common(t, w) @ self.common if common is None else common
+        rare = self.slot[t] < 0
+        t, w = t[rare], w[rare]
+        lo, n = self.begin[t], self.begin[t + 1] - self.begin[t]
+        idx = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(t) else np.zeros(0, np.int64)
+        sims = sims + np.bincount(self.post_doc[idx], self.post_w[idx] * np.repeat(w, n), len(sims))
+        if without >= 0:
+            sims[without] = 0
+        rows = np.flatnonzero(sims > 1e-12)
+        if len(rows) > NEAREST:
+            rows = rows[sims[rows] >= np.partition(sims[rows], -NEAREST)[-NEAREST] - 1e-11]
+        rows = rows[np.lexsort((rows, -np.round(sims[rows], 12)))[:NEAREST]]
+        return rows, sims[rows]
+
+    def found(self, h: np.ndarray, row: np.ndarray, tf: np.ndarray, rows: int, own: int | None = None):
+        """(row, examples, cosines) of each row that has known terms; h, row, tf: distinct terms in order of rows.
+        own: the rows are the examples from this one on, and none finds itself."""
+        if not len(self.vocabulary):
+            return
+        t = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = self.vocabulary[t] == h
+        w = (1 + np.log(tf)) * np.where(known, self.idf[t], self.unknown if self.whole else 0.0)
+        norm = np.sqrt(np.bincount(row, w * w, rows))
+        row, t, w = row[known], t[known], w[known] / norm[row[known]]
+        ends = np.searchsorted(row, np.arange(rows + 1))
+        some = np.unique(row)
+        for lo in range(0, len(some), GROUP):
+            group = [(r, t[ends[r] : ends[r + 1]], w[ends[r] : ends[r + 1]]) for r in some[lo : lo + GROUP].tolist()]
+            common = np.array([self._common(a, b) for _, a, b in group]) @ self.common
+            for (r, a, b), c in zip(group, common, strict=True):
+                yield r, *self.search(a, b, -1 if own is None else own + r, c)
+
+
+class NearestExamples(Index):
+    """The fitted index; small (bounded by the words of FIT_ROWS examples), so it goes to every task."""
 
     def __init__(self, ids: np.ndarray, label: np.ndarray, doc: np.ndarray, term: np.ndarray):
         """doc and term: row numbers and hashes of all terms of the examples."""
         self.ids, self.label, self.rate = ids, label.astype(float), float(label.mean()) if len(label) else 0.0
         n = len(ids)
         vocabulary, inverse = np.unique(term, return_inverse=True)
-        key, tf = np.unique(doc * max(1, len(vocabulary)) + inverse, return_counts=True) if len(doc) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        d, t = key // max(1, len(vocabulary)), key % max(1, len(vocabulary))
+        key, tf = np.unique(doc.astype(np.int64) * max(1, len(vocabulary)) + inverse, return_counts=True) if len(doc) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        d, t, tf = (key // max(1, len(vocabulary))).astype(np.int32), (key % max(1, len(vocabulary))).astype(np.int32), tf.astype(np.int32)
+        del doc, term, inverse, key
         df = np.bincount(t, minlength=len(vocabulary)).astype(float)
-        with1 = np.bincount(t, self.label[d], len(vocabulary))
-        keep = np.flatnonzero((df >= MIN_DF) & (self._g(df, with1, n, self.label.sum()) >= MIN_G))
+        super().__init__(n, vocabulary, df, d, t, tf, True)
+        g = self._g(df, np.bincount(t, self.label[d], len(vocabulary)), n, self.label.sum())
+        keep = np.flatnonzero((df >= MIN_DF) & (g >= MIN_G))
         if len(keep) > MAX_TERMS:
-            keep = np.sort(keep[np.argsort(-self._g(df, with1, n, self.label.sum())[keep], kind="stable")[:MAX_TERMS]])
-        self.vocabulary = vocabulary[keep]
-        self.idf = np.log((1 + n) / (1 + df[keep])) + 1
+            keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[:MAX_TERMS]])
         old = np.full(len(vocabulary), -1)
         old[keep] = np.arange(len(keep))
         ok = old[t] >= 0
-        d, t, tf = d[ok], old[t[ok]], tf[ok]
-        w = (1 + np.log(tf)) * self.idf[t]
-        norm = np.sqrt(np.bincount(d, w * w, n))
-        w = w / norm[d]
-        plain_t = t
-        order = np.lexsort((d, t))
-        self.post_doc, self.post_w, t = d[order], w[order], t[order]
-        self.blocks = max(1, -(-n // BLOCK))
-        cell = t * self.blocks + self.post_doc // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(len(keep) * self.blocks + 1))
-        self.largest = np.zeros(len(keep) * self.blocks)
-        np.maximum.at(self.largest, cell, self.post_w)
-        self.largest = self.largest.reshape(len(keep), self.blocks)
-        self._calibrate(d, plain_t, w, n)
+        self.telling = Index(n, vocabulary[keep], df[keep], d[ok], old[t[ok]], tf[ok], False)
+        release()
+        self._calibrate(vocabulary, t, d, tf, n)
 
     @staticmethod
     def _g(df, with1, n, ones):
@@ -82,78 +133,56 @@ class NearestExamples:
                 out += np.where(seen > 0, 2 * seen * np.log(seen * n / np.maximum(expect, 1e-12)), 0)
         return out
 
-    def search(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the nearest examples, nearest first, ties to smaller rows. w has norm 1."""
-        bound = w @ self.largest[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, OPEN_FIRST
-        while at < len(order):
-            if len(sims) >= NEAREST and bound[order[at]] < sims[NEAREST - 1] - 1e-12:
-                break
-            opened = order[at : at + step]
-            at, step = at + step, step * 2
-            cell = (t[:, None] * self.blocks + opened[None, :]).ravel()
-            lo, n = self.begin[cell], self.begin[cell + 1] - self.begin[cell]
-            total = int(n.sum())
-            idx = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            acc = np.bincount(self.post_doc[idx], self.post_w[idx] * np.repeat(np.repeat(w, len(opened)), n))
-            got = np.flatnonzero(acc > 0)
-            got = got[got != without]
-            rows, sims = np.concatenate((rows, got)), np.concatenate((sims, acc[got]))
-            best = np.lexsort((rows, -np.round(sims, 12)))[:NEAREST]
-            rows, sims = rows[best], sims[best]
-        return rows, sims
-
     def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
         w = sims / (0.02 + np.maximum(0, 1 - sims))
         return float((w @ self.label[rows] + 0.5 * self.rate) / (w.sum() + 0.5))
 
-    def _calibrate(self, d, t, w, n):
-        """Logistic fit of the label on the log-odds of the left-out vote; examples without terms have a rate of their own."""
-        order = np.argsort(d, kind="stable")
-        d, t, w = d[order], t[order], w[order]
-        ends = np.searchsorted(d, np.arange(n + 1))
-        raw = np.full(n, np.nan)
-        for i in range(n):
-            if ends[i] < ends[i + 1]:
-                raw[i] = self.vote(*self.search(t[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]], i))
-        bare = np.isnan(raw)
+    def _votes(self, h, row, tf, rows, own=None):
+        """Votes of the nearest examples and of those by telling terms, NaN and the rate where there are none; and the nearest."""
+        whole, telling, nearest = np.full(rows, np.nan), np.full(rows, self.rate), {}
+        for r, at, sims in self.found(h, row, tf, rows, own):
+            if len(at):
+                whole[r], nearest[r] = self.vote(at, sims), (at[:5], sims[:5])
+        for r, at, sims in self.telling.found(h, row, tf, rows, own):
+            telling[r] = self.vote(at, sims)
+        return whole, telling, nearest
+
+    def _calibrate(self, vocabulary, t, row, tf, n):
+        """Logistic fit of the label on the log-odds of both left-out votes; examples without neighbours have a rate of their own."""
+        whole, telling = np.full(n, np.nan), np.full(n, self.rate)
+        for lo in range(0, n, GROUP):  # so that memory follows the group
+            hi = min(n, lo + GROUP)
+            s, e = np.searchsorted(row, (lo, hi))
+            whole[lo:hi], telling[lo:hi], _ = self._votes(vocabulary[t[s:e]], row[s:e] - lo, tf[s:e], hi - lo, lo)
+        bare = np.isnan(whole)
         self.bare = float((self.label[bare].sum() + self.rate) / (bare.sum() + 1)) if n else 0.0
-        self.a, self.b = 1.0, 0.0
-        x, y = _logit(raw[~bare]), self.label[~bare]
+        start = np.array([0.0, 1.0, 0.0])
+        self.fit = start.copy()
+        x, y = np.column_stack((_logit(whole[~bare]), _logit(telling[~bare]), np.ones((~bare).sum()))), self.label[~bare]
         if len(y) and 0 < y.sum() < len(y):
+            ridge = np.array([1e-3, 1e-3, 0.0])
             for _ in range(50):
-                p = 1 / (1 + np.exp(-np.clip(self.a * x + self.b, -30, 30)))
-                g = np.array([((p - y) * x).sum() + 1e-3 * (self.a - 1), (p - y).sum()])
-                r = p * (1 - p)
-                h = np.array([[(r * x * x).sum() + 1e-3, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]])
-                move = np.linalg.solve(h, g)
-                self.a, self.b = self.a - move[0], self.b - move[1]
+                p = 1 / (1 + np.exp(-np.clip(x @ self.fit, -30, 30)))
+                move = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * (self.fit - start))
+                self.fit = self.fit - move
                 if np.abs(move).max() < 1e-8:
                     break
 
-    def score(self, t: np.ndarray, tf: np.ndarray) -> tuple[float, list[int], list[float]]:
-        w = (1 + np.log(tf)) * self.idf[t]
-        rows, sims = self.search(t, w / np.sqrt(w @ w))
-        z = self.a * _logit(np.array([self.vote(rows, sims)]))[0] + self.b
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), self.ids[rows[:5]].tolist(), np.round(sims[:5], 9).tolist()
-
     def score_texts(self, texts: pa.Array):
         """(score, example ids, cosines) for each text."""
         out = []
-        v = len(self.vocabulary)
         for i, j, data, offs in slices(texts):
             got: list = [(self.bare, [], [])] * (j - i)
-            if v and len(data):
-                h, row = terms(data, offs)
-                at = np.minimum(np.searchsorted(self.vocabulary, h), v - 1)
-                hit = self.vocabulary[at] == h
-                key, tf = np.unique(row[hit] * v + at[hit], return_counts=True)
-                row, t = key // v, key % v
-                ends = np.searchsorted(row, np.arange(j - i + 1))
-                for r in np.unique(row):
-                    got[r] = self.score(t[ends[r] : ends[r + 1]], tf[ends[r] : ends[r + 1]])
+            h, row = terms(data, offs) if len(data) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(h):
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+                whole, telling, nearest = self._votes(h[new], row[new], np.diff(new, append=len(h)), j - i)
+                z = self.fit[0] * _logit(whole) + self.fit[1] * _logit(telling) + self.fit[2]
+                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                for r, (at, sims) in nearest.items():
+                    got[r] = float(score[r]), self.ids[at].tolist(), np.round(sims, 9).tolist()
             out += got
         return out
 
@@ -168,24 +197,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", remainder: int
     No labelled rows: every score is 0; labels of one class: their rate."""
     got = labelled(docs, labels, label, remainder, modulus, most, {"text": F.col("text")}).toArrow()
     texts = got.column("text").combine_chunks()
-    doc, term = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    doc, term = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
     for i, _, data, offs in slices(texts):
         h, row = terms(data, offs)
-        doc.append(row + i)
+        doc.append((row + i).astype(np.int32))
         term.append(h)
     ids = np.array(got.column("doc_id").to_pylist(), np.int64)
-    return NearestExamples(ids, np.array(got.column("_y").to_pylist(), np.int64), np.concatenate(doc), np.concatenate(term))
+    label_of = np.array(got.column("_y").to_pylist(), np.int64)
+    del got, texts
+    doc, term = np.concatenate(doc), np.concatenate(term)
+    model = NearestExamples(ids, label_of, doc, term)
+    del doc, term
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: NearestExamples) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples), cosines, for every row of docs (doc_id, text).
 
-    Null and empty texts, and those without an indexed term, get the rate of such examples and no evidence.
+    Null and empty texts, and those that share no term with an example, get the rate of such examples and no evidence.
     Texts are read whole; repeated rows stay; ties between examples go to the earlier one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in pieces(batches):
+        release()
+        for batch in pieces(batches, most=500_000):
             got = sent.value.score_texts(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],

@@ -101,6 +101,26 @@ def test_block_max_search_is_exact(monkeypatch):
         assert [i for _, i in want] == rows.tolist() and np.allclose(sims, exact[rows])
 
 
+def test_neighbours_are_those_of_whole_texts():
+    texts = [words(40 + i, 30) + (" vile" if i % 4 == 0 else "") for i in range(120)]
+    asked = ["vile " + words(200, 200), texts[3], words(201, 5) + " " + texts[5].split()[0], "9z9 unseen"]
+    doc = np.repeat(np.arange(120), [len(t.split()) for t in texts])
+    split_hash = lambda t: toxicity.terms(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+    m = toxicity.NearestExamples(np.arange(120), (np.arange(120) % 4 == 0).astype(int), doc, np.concatenate([split_hash(t) for t in texts]))
+    df = Counter(w for t in texts for w in set(t.split()))
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (math.log(121 / (1 + df[w])) + 1) for w, n in Counter(t.split()).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [vector(t) for t in texts]
+    for t, (_, ids, sims) in zip(asked, m.score_texts(toxicity.pa.array(asked)), strict=True):
+        q = vector(t)
+        want = sorted(((-round(s, 12), i) for i, e in enumerate(examples) if (s := sum(q[w] * e.get(w, 0) for w in q)) > 0))[:5]
+        assert ids == [i for _, i in want] and np.allclose(sims, [-s for s, _ in want])
+
+
 def test_toxicity_held_out_and_odd_rows(spark, documents):
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op2_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
