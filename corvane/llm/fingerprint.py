@@ -1,23 +1,21 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document's terms are its words, weighted by their counts. For each of SAMPLES draws, a term has, from its hash,
-r and c from Gamma(2, 1) and b uniform; with weight w, t = floor(ln w / r + b) and a = c exp(-r (t - b + 1)).
-All logarithms are to base 2, which scales r and c alike. The draw's sample is the term of least a, together with its t; two documents draw the same sample with a chance
-equal to the generalised Jaccard similarity of their weights, sum of minima over sum of maxima. As a follows from
-term and t, the least a itself stands for the sample.
+A document's terms are its words, weighted by their counts. As the weights are whole numbers, term k of weight w holds the
+points (k, 1) to (k, w), and a sample is the point of least hash: uniform over the points, and the same for every document
+that holds it. Two documents draw the same sample with a chance equal to the generalised Jaccard similarity of their
+weights, sum of minima over sum of maxima. The least hash itself stands for the sample, of which SAMPLES are drawn.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import written
 
-SAMPLES = 32
+SAMPLES = 128
 #: Draws that the generated code makes at once.
-BLOCK = 4
+BLOCK = 16
 #: Rows of a range of doc_ids whose texts a task orders together.
 RANGE_ROWS = 2000
 
@@ -28,64 +26,19 @@ def term_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.array_join(F.sort_array(words), " "), F.lit(" ")), F.lit(r"([^ ]+ )\1*"), F.lit(0))
 
 
-def _horner(coefficients: tuple[float, ...], x: str) -> str:
-    """SQL of a polynomial, constant term first."""
-    out = f"{coefficients[-1]!r}D"
-    for c in coefficients[-2::-1]:
-        out = f"({out} * {x} + {c!r}D)"
-    return out
-
-
-def _fitted(f, degree: int = 4) -> tuple[float, ...]:
-    """Coefficients of a polynomial close to f on (0, 1): interpolation in Chebyshev points."""
-    x = (np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1)) + 1) / 2
-    return tuple(float(c) for c in np.linalg.solve(np.vander(x, increasing=True), f(x)))
-
-
-#: -log2(1 - z / 2) / z and 2**-z.
-_LOG, _EXP = _fitted(lambda z: -np.log2(1 - z / 2) / z), _fitted(lambda z: 2.0**-z)
-
-
-def _exponential(bits: str, at: int, zeros: int, z: str) -> str:
-    """SQL of an exponential draw in units of ln 2, without a logarithm: -log2 of a uniform is a geometric number, the
-    trailing zeros of some bits, plus -log2(1 - z / 2)."""
-    field = f"(({bits} >>> {at}) | {1 << zeros}L)"
-    return f"bit_count(({field} - 1L) & ~{field}) + {z} * {_horner(_LOG, z)}"
-
-
-def _draws(terms: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Column]]:
-    """BLOCK draws for each row of terms (_h: hash of term and block, _lw: log2 of the weight) and the least a of each draw.
-
-    Two hashes a draw: 28 bits of zeros and 2 x 18 of fractions for r; 18 and 2 x 15 for c, 16 for b."""
-    now = terms.select(*keys, "_lw", *[F.xxhash64("_h", F.lit(2 * i + k)).alias(f"_g{i}{k}") for i in range(BLOCK) for k in (0, 1)])
-    layers: list[dict[str, Column]] = [{}, {}, {}, {}]
-    least = []
-    for i in range(BLOCK):
-        p, q = f"_g{i}0", f"_g{i}1"
-        for k, (bits, at, n) in enumerate(((p, 28, 18), (p, 46, 18), (q, 18, 15), (q, 33, 15))):
-            layers[0][f"_z{i}{k}"] = F.expr(f"((({bits} >>> {at}) & {(1 << n) - 1}L) + 0.5D) * {2.0**-n!r}D")
-        layers[1][f"_r{i}"] = F.expr(f"{_exponential(p, 0, 14, f'_z{i}0')} + {_exponential(p, 14, 14, f'_z{i}1')}")
-        layers[1][f"_c{i}"] = F.expr(f"{_exponential(q, 0, 9, f'_z{i}2')} + {_exponential(q, 9, 9, f'_z{i}3')}")
-        layers[1][f"_b{i}"] = F.expr(f"(({q} >>> 48) + 0.5D) * {2.0**-16!r}D")
-        layers[2][f"_x{i}"] = F.expr(f"_r{i} * (floor(_lw / _r{i} + _b{i}) - _b{i} + 1D)")
-        layers[3][f"_n{i}"] = F.expr(f"floor(_x{i})")
-        least.append(F.min(F.expr(f"_c{i} * {_horner(_EXP, f'(_x{i} - _n{i})')} / shiftleft(1L, int(_n{i}))")).alias(f"_s{i}"))
-    for layer in layers:
-        now = now.withColumns(layer)
-    return now, least
-
-
 def signatures(texts: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and _sig, the array of the least a of each draw; null where the text has no words. keys tell rows apart.
-    A term meets the draws in blocks: the generated code of one block is small enough to be
-    compiled by the JVM, that of all draws at once is not."""
+    """keys and _sig, the array of the least hash of each draw (32 bits); null where the text has no words. keys tell rows apart.
+    A point meets the draws in blocks: the generated code of one block is small enough to be compiled by the JVM."""
     if samples % BLOCK:
         raise ValueError(f"samples must be a multiple of {BLOCK}")
     runs = texts.select(*keys, F.explode_outer(term_runs(F.col(text))).alias("_run"))
-    terms = runs.select(*keys, F.xxhash64(F.substring_index("_run", " ", 1)).alias("_t"), F.log2(F.length("_run") / F.instr("_run", " ")).alias("_lw"))
-    terms = terms.select("*", F.explode(F.array(*[F.lit(k) for k in range(samples // BLOCK)])).alias("_block"))
-    drawn, least = _draws(terms.select(*keys, "_block", "_lw", F.xxhash64("_t", "_block").alias("_h")), [*keys, "_block"])
-    mins = drawn.groupBy(*keys, "_block").agg(*least)
+    blocks = samples // BLOCK
+    points = runs.select(*keys, F.xxhash64(F.substring_index("_run", " ", 1)).alias("_t"), (F.length("_run") / F.instr("_run", " ")).cast("int").alias("_w"))
+    points = points.select(*keys, "_t", F.explode(F.sequence(F.lit(0), F.coalesce("_w", F.lit(1)) * blocks - 1)).alias("_p"))
+    hashed = F.when(F.col("_t").isNotNull(), F.xxhash64("_t", "_p"))
+    points = points.select(*keys, (F.col("_p") % blocks).alias("_block"), hashed.alias("_h"))
+    least = [F.min(F.when(F.col("_h").isNotNull(), F.hash("_h", F.lit(i)))).alias(f"_s{i}") for i in range(BLOCK)]
+    mins = points.groupBy(*keys, "_block").agg(*least)
     parts = F.sort_array(F.collect_list(F.when(F.col("_s0").isNotNull(), F.struct("_block", F.array(*[F.col(f"_s{i}") for i in range(BLOCK)]).alias("s")))))
     whole = mins.groupBy(*keys).agg(parts.alias("_parts"))
     return whole.select(*keys, F.when(F.size("_parts") > 0, F.flatten(F.transform("_parts", lambda x: x["s"]))).alias("_sig"))

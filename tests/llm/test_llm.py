@@ -159,6 +159,16 @@ def test_collisions_estimate_generalised_jaccard(spark):
     assert abs(np.mean([x == y for x, y in zip(s[0], s[1], strict=True)]) - true) < 0.09
 
 
+def test_likeness_is_close_to_the_generalised_jaccard(spark):
+    pairs = [(f"{words(i, 60)} {words(i + 500, 5 + i % 30)} a a a", f"{words(i, 60)} {words(i + 900, 5 + i % 20)} a") for i in range(60)]
+    df = spark.createDataFrame([(i, k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "i int, k int, t string")
+    sig = fingerprint.signatures(df, "t", ["i", "k"]).groupBy("i").agg(F.max(F.when(F.col("k") == 0, F.col("_sig"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("_sig"))).alias("b"))
+    got = {r["i"]: r["x"] for r in sig.select("i", fingerprint.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    counts = [(Counter(a.split()), Counter(b.split())) for a, b in pairs]
+    error = [got[i] - sum((a & b).values()) / sum((a | b).values()) for i, (a, b) in enumerate(counts)]
+    assert np.sqrt(np.mean(np.square(error))) < 0.055
+
+
 # near duplicates
 
 
