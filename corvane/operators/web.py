@@ -13,8 +13,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "table", "article", "section", "nav", "footer", "header", "main", "aside", "form"}
 
 
-def resolved(base: str, href: str) -> str | None:
-    """The absolute http(s) URL of a link, or None."""
+def absolute(base: str, href: str) -> str | None:
+    """The absolute http(s) URL of a link, or None; letters stay as they are written, as in the URLs of a table of pages."""
     try:
         url = urljoin(base, href.strip().replace("\\", "/"))
         parts = urlsplit(url)
@@ -22,10 +22,15 @@ def resolved(base: str, href: str) -> str | None:
         return None
     if parts.scheme not in ("http", "https") or not parts.netloc:
         return None
-    url = quote(url, safe="%/:=&?~#+!$,;'@()*[]|-._")
     return url if parts.path else url.replace(parts.netloc, parts.netloc + "/", 1)
 
 
+def resolved(base: str, href: str) -> str | None:
+    """The absolute http(s) URL of a link with escapes, or None."""
+    url = absolute(base, href)
+    return url and quote(url, safe="%/:=&?~#+!$,;'@()*[]|-._")
+
+
 class _Tree(HTMLParser):
     """Nested [tag, attributes, children] lists; strings are text. Unclosed paragraphs and items are closed as needed."""
 
@@ -119,6 +124,26 @@ def html_to_markdown(html: str, base: str) -> str:
     return "".join(out).replace("\n" * 4, "\n\n").replace("\n" * 3, "\n\n").strip()
 
 
+class _Anchors(HTMLParser):
+    """Targets of the anchors, in document order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        href = next((v or "" for k, v in attrs if k == "href"), None) if tag == "a" else None
+        if href is not None:
+            self.found.append(href)
+
+
+def hrefs(html: str) -> list[str]:
+    parser = _Anchors()
+    parser.feed(html)
+    parser.close()
+    return parser.found
+
+
 def markdown(pages: DataFrame) -> DataFrame:
     """page_id and markdown for pages (page_id, url, html); parsed in Arrow batches."""
 
@@ -131,13 +156,17 @@ def markdown(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos, link: anchors in document order with root-relative or absolute targets made absolute; repeats stay."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'<a[^>]*?href="([^"]*)"'), F.lit(1))
-    each = pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
-    origin = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    folder = F.regexp_extract("url", r"^(https?://[^/]+(?:/[^?#]*/|/)?)", 1)
-    link = F.when(F.col("href").rlike(r"^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, "href")).when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None)).otherwise(F.concat(folder, "href"))
-    return each.withColumn("link", link).where("link is not null")
+    """page_id, url, pos, link: anchors of the parsed page in document order, their targets made absolute;
+    pos counts the anchors with a target, and those that are no http(s) link give no row; repeats stay."""
+
+    def run(batches):
+        for b in batches:
+            got = [(i, pos, link) for i, (h, u) in enumerate(zip(b.column("html").to_pylist(), b.column("url").to_pylist(), strict=True)) for pos, href in enumerate(hrefs(h or "")) if (link := absolute(u or "", href))]
+            at, pos, link = zip(*got, strict=True) if got else ((), (), ())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("page_id").take(rows), b.column("url").take(rows), pa.array(pos, pa.int32()), pa.array(link, pa.string())], names=["page_id", "url", "pos", "link"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, pos int, link string")
 
 
 def crawl(pages: DataFrame, most: int) -> DataFrame:

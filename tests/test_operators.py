@@ -73,6 +73,14 @@ def test_crawl_stops_on_cycles(spark):
     assert got == {1: (3, 2), 2: (3, 2)}
 
 
+def test_links_of_real_pages(spark):
+    html = """<a href='/s?a=1&amp;b=2'>1</a><A HREF="/up">2</A><a class=x href=plain>3</a><a href="../x">4</a><a href="./y">5</a>
+    <a href="//other/z">6</a><a>7</a><a href="mailto:q">8</a><!-- <a href="/no">9</a> --><a href="http://c">10</a>"""
+    got = web.page_links(spark.createDataFrame([(1, "http://h/d/e/f", html)], "page_id long, url string, html string")).collect()
+    want = ["http://h/s?a=1&b=2", "http://h/up", "http://h/d/e/plain", "http://h/d/x", "http://h/d/e/y", "http://other/z", None, "http://c/"]
+    assert [(r["pos"], r["link"]) for r in got] == [(i, x) for i, x in enumerate(want) if x]
+
+
 def test_extraction():
     py = list(extract.extract_text("a.py", "import os\ndef f():\n    return g(os.x())\nclass C: pass\n"))
     assert {(r[0], r[1]) for r in py} == {("import", "os"), ("definition", "f"), ("definition", "C"), ("call", "g"), ("call", "x")}
