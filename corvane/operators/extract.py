@@ -1,10 +1,12 @@
-"""Definitions, calls and imports of source files. Python is parsed; other languages are read by patterns over
-text without comments and strings, which is approximate. Rows come out of Arrow batches, one backend a language."""
+"""Definitions, calls and imports of source files. Python is parsed; other languages, and Python files that
+don't parse, are read by patterns over text without comments and strings, which is approximate. Rows come out of Arrow batches, one backend a language."""
 
 from __future__ import annotations
 
 import ast
+import keyword
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,7 +46,8 @@ Row = tuple[str, str, str | None, str | None, int, int, int, int]
 def _python(text: str) -> Iterator[Row]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        yield from _python_patterns(text)
         return
     starts = [0]
     for line in text.encode().split(b"\n"):
@@ -69,6 +72,42 @@ def _python(text: str) -> Iterator[Row]:
             yield "import", "." * n.level + (n.module or ""), None, None, *at(n)
 
 
+_PY_NOISE = re.compile(r"#[^\n]*|(?:\"\"\".*?\"\"\"|\'\'\'.*?\'\'\')|\"(?:\\\\.|[^\"\\\\\n])*\"|\'(?:\\\\.|[^\'\\\\\n])*\'", re.S)
+_PY_DEFINITION = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)[ \t]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?[^:\n]*:", re.M)
+_PY_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+(\.*[\w.]*)[ \t]+import\b|import[ \t]+([^\n;]+))", re.M)
+_PY_CALL = re.compile(r"(?:([^\W\d][\w.]*)[ \t]*\.[ \t]*)?([^\W\d]\w*)[ \t]*\(")
+_PY_WORDS = set(keyword.kwlist)
+
+
+def _python_patterns(text: str) -> Iterator[Row]:
+    """A file that doesn't parse: what its whole lines hold. A definition ends before the next line indented no more."""
+    code = _PY_NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    size = [0]
+    for c in text:
+        size.append(size[-1] + len(c.encode(errors="replace")))
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda i: bisect_right(lines, i)
+    row = lambda what, name, kind, q, s, e: (what, name, kind, q, size[s], size[e], line(s), line(e))
+    taken: set[int] = set()
+    for m in _PY_DEFINITION.finditer(code):
+        taken.add(m.start(3))
+        end = re.compile(rf"^(?![ \t]{{{len(m[1]) + 1},}})[ \t]*\S", re.M).search(code, code.find("\n", m.end()) + 1 or len(code))
+        stop = m.end() + len(code[m.end() : end.start() if end else len(code)].rstrip())
+        yield row("definition", m[3], "class" if m[2] == "class" else "function", None, m.end(1), stop)
+    for m in _PY_CALL.finditer(code):
+        if m[2] not in _PY_WORDS and m.start(2) not in taken and not re.search(r"\b(?:def|class)[ \t]+$", code[max(0, m.start() - 20) : m.start()]):
+            yield row("call", m[2], None, m[1], m.start(2), m.end(2))
+    for m in _PY_IMPORT.finditer(code):
+        s = m.end() - len(m[0].lstrip())
+        if m[1]:
+            yield row("import", m[1], None, None, s, m.end())
+        else:
+            for part in m[2].split(","):
+                name = part.split()
+                if name and re.fullmatch(r"[\w.]+", name[0]):
+                    yield row("import", name[0], None, name[2] if len(name) == 3 and name[1] == "as" else None, s, m.end())
+
+
 def _block_end(text: str, at: int) -> int:
     """After the brace that closes the first one from at, or the end of the line."""
     level, i = 0, text.find("{", at)

@@ -90,6 +90,20 @@ def test_extraction():
     assert list(extract.extract_text("a.py", "def broken(")) == []
 
 
+def test_extraction_of_python_that_does_not_parse():
+    text = "import os, sys as s\nfrom .a import b\n\ndef f(x=(1, 2)):\n    print 'g()'  # h()\n    return os.path.k(é(x))\n\n<<<<<<< HEAD\nclass C(B):\n    async def m(self):\n        pass\n"
+    got = list(extract.extract_text("a.py", text))
+    assert {r[:4] for r in got} == {
+        ("import", "os", None, None), ("import", "sys", None, "s"), ("import", ".a", None, None), ("definition", "f", "function", None), ("definition", "C", "class", None),
+        ("definition", "m", "function", None), ("call", "k", None, "os.path"), ("call", "é", None, None),
+    }
+    raw = text.encode()
+    f = next(r for r in got if r[1] == "f")
+    assert raw[f[4] : f[5]].decode() == text[text.index("def f") : text.index("\n\n<<<")] and f[6:] == (4, 6)
+    e = next(r for r in got if r[1] == "é")
+    assert raw[e[4] : e[5]].decode() == "é"
+
+
 def test_index_round_trip_and_version(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "path string, size long")
     index.save({"files": df}, str(tmp_path / "i"))
