@@ -9,17 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import base_name, extension, interpreter
+from corvane.operators import source_kinds
 
 MAX_SIZE, MAX_DEPTH = 10 * 1024 * 1024, 20
 # Patterns excluded unless others are configured.
 DEFAULT_EXCLUDES = ["**/.git/**", "**/.svn/**", "**/.hg/**", "**/target/**", "**/node_modules/**", "**/dist/**", "**/build/**"]
-# Our own short list of source kinds.
-SOURCE_EXTENSIONS = [
-    "rs", "py", "js", "jsx", "ts", "tsx", "mjs", "cjs", "go", "c", "h", "cc", "cpp", "cxx", "hpp", "java", "kt", "scala", "sc", "rb", "php", "swift",
-    "hs", "lua", "nix", "zig", "cs", "sh", "bash", "sql", "html", "css", "json", "toml", "yaml", "yml", "xml", "md", "txt",
-]
-SOURCE_NAMES = ["Makefile", "Dockerfile", "Rakefile", "Gemfile", "CMakeLists.txt", "Vagrantfile", "Jenkinsfile"]
-INTERPRETERS = ["python", "python2", "python3", "bash", "sh", "zsh", "node", "ruby", "perl", "php", "lua", "deno", "tclsh", "awk"]
+# Our own list of source kinds.
+SOURCE_EXTENSIONS, SOURCE_NAMES, INTERPRETERS = (list(dict.fromkeys(x)) for x in (source_kinds.EXTENSIONS, source_kinds.NAMES, source_kinds.INTERPRETERS))
+
 
 
 def glob_regex(pattern: str) -> str:

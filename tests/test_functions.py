@@ -40,3 +40,8 @@ def test_relative_python_imports_have_none(spark):
 def test_include_rules():
     with pytest.raises(ValueError):
         S.should_process(F.lit("a"), F.lit(1), include=["*.a"], only_include=["*.b"])
+
+
+@pytest.mark.parametrize("path", ["a.vue", "a.dart", "a.pl", "a.R", "a.jl", "a.ex", "a.ps1", "a.proto", "b/go.mod"])
+def test_common_kinds_are_source(spark, path):
+    assert one(spark, path, S.is_source) is True
