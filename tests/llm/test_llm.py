@@ -297,22 +297,72 @@ def test_language_model_tells_words_of_one_ending_apart(spark, documents):
     assert got[held[0]] > got[held[1]] + 2
 
 
-def test_context_tables_return_to_every_bucket(spark, documents, monkeypatch):
-    seen = []
-    monkeypatch.setattr(language_model, "written", lambda df, name: seen.append((name, w := written(df, name))) or w)
-    language_model.score(documents("a b a c", "a b", "x a", ids=[0, 1, 3])).collect()
-    words = [language_model.Bucket(r[0], r[1:]) for r in next(w for n, w in seen if n == "words").select("bucket", *language_model._PARTS).collect()]
-    want, types = Counter(), Counter()
-    for b in words:
-        for c, n in zip(b.context.tolist(), b.count.tolist(), strict=True):
-            want[c] += n
-            types[c] += n > 0
-    by = {b.number: b for b in words}
-    told = [w.collect() for n, w in seen if n == "told"]
-    for r in told[0]:
-        by[r["bucket"]].tell(r["turn"], r["part"], 16, r["a"])
-    for b in words:
-        assert [want[c] for c in b.contexts.tolist()] == b.told[0].tolist() and [types[c] for c in b.contexts.tolist()] == b.told[1].tolist()
+def test_gibbs_moves_keep_the_exact_distribution_of_tables():
+    d, w, n, c = 0.5, 0.7, 20_000, 5
+    ways = {1: {1: 1.0}}  # generalised Stirling numbers
+    for k in range(1, c):
+        ways[k + 1] = {t: ways[k].get(t - 1, 0) + (k - t * d) * ways[k].get(t, 0) for t in range(1, k + 2)}
+    total = sum(v * w**t for t, v in ways[c].items())
+    rng, at = np.random.default_rng(0), np.arange(n)
+    seats = language_model.Seats(np.ones(n, int), np.full(n, c), 1)
+    for _ in range(40):
+        seats.leave(at, rng)
+        seats.sit(at, np.full(n, w), d, rng)
+    assert (seats.c == c).all() and seats.sizes().sum() == n * c and len(seats.sizes()) == seats.t.sum()
+    for t, v in ways[c].items():
+        assert abs((seats.t == t).mean() - v * w**t / total) < 0.015
+
+
+def test_language_model_scores_against_brute_force(spark, documents, monkeypatch):
+    """Every text's score from the tables of the last sweeps, by dictionaries."""
+    m, seen = language_model, []
+    monkeypatch.setattr(m, "dropped", lambda df: None)
+    monkeypatch.setattr(m, "written", lambda df, name: seen.append((name, w := written(df, name))) or w)
+    monkeypatch.setattr(m, "SHARE", 0.02)
+    states = []
+    monkeypatch.setattr(m, "_answer", lambda sent, f=m._answer: states.extend(sent.value[1]) or f(sent))
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(["the", "of", "cat", "dog", "runs", "sleeps", "ünder"], 30, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1])) for _ in range(40)] + [None, "", "new words here"]
+    got = {r["doc_id"]: r["score"] for r in m.score(documents(*texts)).collect()}
+    rows = [w.where("bucket is not null").collect() for n, w in seen if n == "sweep"][-1]
+    buckets = [(m.Bucket(r["bucket"], [r[c] for c in m._PARTS]), r) for r in rows]
+    names = {m.range_hash(m.prefix_hash(np.frombuffer(w.encode(), np.uint8)), np.array([0]), np.array([len(w.encode())]))[0]: w for t in texts for w in (t or "").split()}
+    count, kept, base = Counter(), [({}, {}), ({}, {})], {}
+    for b, r in buckets:
+        word = [names.get(h, None) for h in b.hash]
+        base |= dict(zip(word, m.unpack(r["base"], np.float64).tolist(), strict=True))
+        for i, (tables, roots) in enumerate(kept):
+            t2, t1 = m.unpack(r["kept"][2 * i], np.int64), m.unpack(r["kept"][2 * i + 1], np.int64)
+            for w, u, t in zip(b.word, b.context.tolist(), b.pair_tables(t2).tolist(), strict=True):
+                tables[word[w], u] = t
+            roots |= dict(zip(word, t1.tolist(), strict=True))
+        count.update({(word[w], u): n for w, u, n in zip(b.word, b.context.tolist(), b.count.tolist(), strict=True)})
+    tokens = [[*(t or "").split(), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    seen_words = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    assert sum(count.values()) == sum(seen_words.values())
+    # contexts are numbered: frequent words by hash, then classes
+    frequent = sorted(h for h, w in names.items() if seen_words[w] >= 0.02 * sum(seen_words.values()))
+    number = {names[h]: i for i, h in enumerate(frequent)}
+    none = len(frequent) + m.CLASSES
+    for i, t in enumerate(tokens):
+        if not held[i] and i < 40:
+            continue
+        if any(w is not None and w not in number for w in t[:-1]):
+            continue  # its class is known to the blocks only
+        total = 0.0
+        for u, w in zip([None, *t], t, strict=False):
+            p = 0.0
+            c_at = none if u is None else number[u]
+            for (tables, roots), s in zip(kept, states, strict=True):
+                c1, root = sum(n for (x, _), n in tables.items() if x == w), roots.get(w, 0)
+                all1, allt = sum(tables.values()), sum(roots.values())
+                q = (max(c1 - s.root_discount * root, 0) + (s.root_strength + s.root_discount * allt) * base[w]) / (s.root_strength + all1)
+                customers = sum(n for (_, x), n in count.items() if x == c_at)
+                opened = sum(n for (_, x), n in tables.items() if x == c_at)
+                p += (max(count[w, c_at] - s.discount * tables.get((w, c_at), 0), 0) + (s.strength + s.discount * opened) * q) / (s.strength + customers)
+            total += math.log10(p / m.KEPT)
+        assert got[i] == pytest.approx(total, abs=len(t) * m.STEP / 2 + 1e-9)
 
 
 def test_spelling_probabilities_sum_to_one():
