@@ -1,11 +1,16 @@
-"""Byte-pair encoding and decoding by an automaton over tokens.
-
-The automaton has a state for each token: the set of tokens that may follow it in a correct encoding. It starts
-as one state with a loop for each byte, and each merge (u, v) adds a gadget: the new token starts as a copy of
-v's state, may stand wherever u may stand, and u loses its arc to v. Arcs are found when first asked for, by
-walking the gadgets back from the newest, and kept in the transition table; the whole table would have tokens
-squared entries. A word has exactly one path that spells it; it is found by taking
-the longest arc that leads on and going back from dead ends, each of which is met once.
+"""Byte-pair encoding and decoding by a compiled automaton over tokens.
+
+The automaton has a state for each token, the one that the token's arcs lead to: what may follow it in a correct encoding.
+It starts as one state with a loop for each byte, and the merges (u, v) are compiled in their order, each by a gadget: the
+new token's state starts as a copy of v's, the new token may stand wherever u may stand, and u's state loses its arc to v.
+Copies pass on the arcs lost so far, and later tokens follow where their left part may follow. With tokens numbered
+along their left parts, later ones first, a gadget so takes one interval of arcs away from a range of states, and the
+finished transition table holds for each state the intervals of arcs that it lacks, in order: 19 a state for a
+vocabulary of 50,000 tokens, where a full table would have tokens squared entries.
+
+Encoding a pre-split word runs the automaton over the word's tokens from left to right: every prefix has exactly one
+encoding, so the state after each byte is found once, by the one arc that leads there, and nothing is taken back.
+Decoding puts the arcs' labels together.
 """
 
 from __future__ import annotations
@@ -18,14 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import pieces, release
+from corvane.llm.common import pieces, prefix_hash, range_hash, release
 
 #: The pre-split pattern of byte-level BPE vocabularies (a fixed value of the tokenizer format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered by a worker, and the longest that is; others are encoded each time they occur.
-KEEP_WORDS, KEEP_BYTES = 300_000, 64
-#: Transitions remembered by a worker, looked at when the words are forgotten.
-KEEP_ARCS = 1_000_000
+#: Words remembered by a worker between batches, and the longest that is; others are encoded again in each batch. Words run at once.
+KEEP_WORDS, KEEP_CHARS, WORDS = 300_000, 64, 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,66 +65,137 @@ class TokenAutomaton:
             if w not in self.gadget:
                 self.gadget[w] = (k, u, v)
                 self.by_bytes[self.label[w]] = w
-        # A token that its own merges don't rebuild has no arcs; such entries can't be produced.
-        self.reach: dict[bytes, int] = {}  # the longest token for each two first bytes
-        for b in self.by_bytes:
-            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self._compile()
         self.words: dict[str, bytes] = {}
         self.split = regex.compile(PRE_SPLIT)
         self.fence = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
-    def follows(self, x: int, y: int) -> bool:
-        """Whether the finished automaton has the arc y in the state that x leads to."""
-        key = (x, y)
-        if (known := self.arcs.get(key)) is not None:
-            return known
-        out = self.arcs[key] = self.sound(y) and self.stood(x, y, 1 << 60)
-        return out
+    def _compile(self) -> None:
+        """Transition table: the intervals [lacks_from, lacks_to) of arcs that states lack, as state times wide plus arc, in order."""
+        gadget = self.gadget
 
-    def path(self, word: bytes) -> list[int]:
-        """The tokens of a pre-split word: from each prefix, the longest arc that leads on, going back from dead ends.
-
-        A prefix has one correct path, so a position without a way on stays dead and is left only once."""
-        n, pos, out, sizes, dead = len(word), 0, [], [], set()
-        by_bytes, reach, arcs = self.by_bytes, self.reach, self.arcs
-        size = min(n, reach.get(word[:2], 1))
-        while pos < n:
-            last = out[-1] if out else -1
-            while size:
-                t = by_bytes.get(word[pos : pos + size])
-                if t is not None and pos + size not in dead:
-                    ok = arcs.get((last, t))
-                    if ok is None:
-                        ok = self.sound(t) if last < 0 else self.follows(last, t)
-                    if ok:
+        def numbered(part: int):
+            """Tokens numbered below their left (1) or right (2) parts, later tokens first, and the ends of the numbers below them."""
+            below: dict[int, list[int]] = {}
+            for t, g in gadget.items():
+                if g[0] >= 0:
+                    below.setdefault(g[part], []).append(t)
+            number, end = {}, {}
+            for b in [t for t, g in gadget.items() if g[0] < 0]:
+                number[b] = len(number)
+                stack = [(b, iter(sorted(below.get(b, ()), key=lambda t: -gadget[t][0])))]
+                while stack:
+                    t, rest = stack[-1]
+                    x = next(rest, None)
+                    if x is None:
+                        end[t] = len(number)
+                        stack.pop()
+                    else:
+                        number[x] = len(number)
+                        stack.append((x, iter(sorted(below.get(x, ()), key=lambda t: -gadget[t][0]))))
+            for x in below.values():
+                x.sort(key=lambda t: -gadget[t][0])
+
+            def since(t: int, now: int) -> tuple[int, int]:
+                """t and what stands below it by parts that came in round now or later."""
+                stop = number[t] + 1
+                for x in below.get(t, ()):
+                    if gadget[x][0] < now:
                         break
-                size -= 1
-            if size:
-                out.append(t)
-                sizes.append(size)
-                pos += size
-                size = min(n - pos, reach.get(word[pos : pos + 2], 1))
-            else:
-                dead.add(pos)
-                out.pop()
-                size = sizes.pop()
-                pos -= size
-                size -= 1
-        return out
+                    stop = end[x]
+                return number[t], stop
+
+            return number, since
 
-    def sound(self, t: int) -> bool:
-        """Whether t is the encoding of its own bytes: its parts are, and no earlier arc joins them otherwise."""
-        key = (-1, t)
-        if (known := self.arcs.get(key)) is not None:
-            return known
-        k, u, v = self.gadget[t]
-        out = k < 0 or (self.sound(u) and self.sound(v) and self.stood(u, v, k))
-        self.arcs[key] = out
+        follow, arcs_of = numbered(1)
+        state, states_of = numbered(2)
+        # The gadget of round k: states that are copies of u's made later lack the arc to v, and to tokens put where v stands since.
+        lost = np.array([(*states_of(u, k + 1), *arcs_of(v, k)) for (u, v), k in self.cut.items()], np.int64).reshape(-1, 4)
+        size, self.wide = lost[:, 1] - lost[:, 0], len(gadget) + 1
+        at = np.repeat(lost[:, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        start, stop = at * self.wide + np.repeat(lost[:, 2], size), at * self.wide + np.repeat(lost[:, 3], size)
+        order = np.lexsort((-stop, start))
+        start, stop = start[order], stop[order]
+        # intervals of a state lie apart or within each other; the outer ones stay
+        outer = np.concatenate(([True], start[1:] >= np.maximum.accumulate(stop)[:-1])) if len(start) else np.zeros(0, bool)
+        self.lacks_from, self.lacks_to = start[outer], stop[outer]
+        # Tokens by number: the first of the arcs of their states, and their place among a state's arcs.
+        self.state, self.follow = np.zeros(max(gadget, default=0) + 1, np.int64), np.zeros(max(gadget, default=0) + 1, np.int64)
+        for t in gadget:
+            self.state[t], self.follow[t] = state[t] * self.wide, follow[t]
+        # A token that its own merges don't rebuild can't be produced: it has no arcs.
+        sound: dict[int, bool] = {}
+        for t, (k, u, v) in gadget.items():  # parts come before what they make
+            sound[t] = k < 0 or (sound[u] and sound[v] and self.stood(u, v, k))
+        self.by_bytes = {b: t for b, t in self.by_bytes.items() if sound[t]}
+        # Arc labels by length and hash, and the longest label for each two last bytes.
+        ends = np.cumsum([len(b) for b in self.by_bytes], dtype=np.int64)
+        starts = ends - [len(b) for b in self.by_bytes]
+        h = range_hash(prefix_hash(np.frombuffer(b"".join(self.by_bytes), np.uint8)), starts, ends)
+        order = np.argsort(h)
+        self.label_hash, self.label_token = h[order], np.array(list(self.by_bytes.values()), np.int64)[order]
+        self.reach = np.ones(1 << 16, np.int64)
+        for b in self.by_bytes:
+            if len(b) > 1:
+                last = b[-2] << 8 | b[-1]
+                self.reach[last] = max(len(b), self.reach[last])
+
+    def follows(self, x, y):
+        """Whether the states that tokens x lead to have the arcs y."""
+        at = self.state[x] + self.follow[y]
+        i = np.searchsorted(self.lacks_from, at, "right") - 1
+        return (i < 0) | (at >= self.lacks_to[i])
+
+    def paths(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-split words. All words run side by side: the state after each byte is found by the longest arc first,
+        and only one leads there."""
+        out = [b""] * len(words)
+        order = sorted((k for k in range(len(words)) if words[k]), key=lambda k: -len(words[k]))
+        if not order:
+            return out
+        n = np.array([len(words[k]) for k in order])
+        begin = np.cumsum(n) - n
+        data = np.frombuffer(b"".join([words[k] for k in order]), np.uint8)
+        prefix = prefix_hash(data)
+        longest = np.ones(len(data), np.int64)
+        longest[1:] = self.reach[data[:-1].astype(np.int64) << 8 | data[1:]]
+        last, size = np.full(len(data), -1), np.zeros(len(data), np.int64)  # token and its length, by the place of its last byte
+        for i in range(1, n[0] + 1):
+            left = begin[: np.searchsorted(-n, -i, "right")] + i
+            room = np.minimum(longest[left - 1], i)
+            for width in range(int(room.max()), 0, -1):
+                some = np.flatnonzero(room >= width)
+                at = left[some]
+                h = range_hash(prefix, at - width, at)
+                k = np.minimum(np.searchsorted(self.label_hash, h), len(self.label_hash) - 1)
+                hit = np.flatnonzero(self.label_hash[k] == h)
+                t, at = self.label_token[k[hit]], at[hit]
+                if width < i:
+                    ok = self.follows(last[at - width - 1], t)
+                    hit, t, at = hit[ok], t[ok], at[ok]
+                last[at - 1], size[at - 1] = t, width
+                room[some[hit]] = 0
+        # back from the last bytes
+        at, word = begin + n - 1, np.arange(len(n))
+        tokens, owners = [], []
+        while len(at):
+            tokens.append(last[at])
+            owners.append(word)
+            at = at - size[at]
+            ok = at >= begin[word]
+            at, word = at[ok], word[ok]
+        turn = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        owner, token = np.concatenate(owners), np.concatenate(tokens).astype("<u4")
+        by_word = np.lexsort((-turn, owner))
+        ids, ends = token[by_word].tobytes(), np.cumsum(np.bincount(owner, minlength=len(n))).tolist()
+        lo = 0
+        for k, hi in zip(order, ends, strict=True):
+            out[k] = ids[4 * lo : 4 * hi]
+            lo = hi
         return out
 
     def stood(self, a: int, b: int, now: int) -> bool:
-        """Whether b was an arc of a's state just before round now."""
+        """Whether b was an arc of a's state just before round now: the gadgets walked back, used while compiling."""
         while True:
             if self.cut.get((a, b), now) < now:
                 return False
@@ -135,37 +209,42 @@ class TokenAutomaton:
             else:
                 now, a, b = ra, self.gadget[a][2], self.gadget[b][1]
 
-    def packed(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            raw = word.encode()
-            got = np.array(self.path(raw), "<u4").tobytes()
-            if len(raw) <= KEEP_BYTES:
-                if len(self.words) >= KEEP_WORDS:
-                    self.words.clear()
-                    if len(self.arcs) > KEEP_ARCS:
-                        self.arcs.clear()
-                self.words[word] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers. Special tokens' own strings in the text become those tokens."""
-        if self.fence is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self._plain(p) for p in self.fence.split(text) if p)
-
-    def _plain(self, text: str) -> bytes:
-        known, words = self.words, self.split.findall(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known.get(w) or self.packed(w) for w in words])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit integers. Special tokens' own strings in a text become those tokens."""
+        parts = [[p for p in self.fence.split(t) if p] if self.fence and any(s in t for s in self.special) else [t] for t in texts]
+        split = [[[p] if p in self.special else self.split.findall(p) for p in text] for text in parts]
+        known = self.words
+        if len(known) > KEEP_WORDS:
+            known.clear()
+        new = list({w for text in split for words in text for w in words if w not in known})
+        long: dict[str, bytes] = {}
+        for lo in range(0, len(new), WORDS):
+            some = new[lo : lo + WORDS]
+            for w, ids in zip(some, self.paths([w.encode() for w in some]), strict=True):
+                (known if len(w) <= KEEP_CHARS else long)[w] = ids
+        special = {s: np.uint32(i).astype("<u4").tobytes() for s, i in self.special.items()}
+        out = []
+        for text, words in zip(parts, split, strict=True):
+            out.append(b"".join([special[p] if p in special else b"".join([known.get(w) or long[w] for w in some] if long else [known[w] for w in some]) for p, some in zip(text, words, strict=True)]))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The arc labels put together; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_compiled: dict[str, TokenAutomaton] = {}
+
+
+def automaton(vocabulary: str) -> TokenAutomaton:
+    """The automaton of a vocabulary file's text, compiled once in a worker."""
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = TokenAutomaton(vocabulary)
+    return _compiled[key]
+
+
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -180,10 +259,10 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, digests: bool = False)
 
     def run(batches):
         release()
-        machine = TokenAutomaton(vocabulary.value)
+        machine = automaton(vocabulary.value)
         for batch in pieces(batches):
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            coded = [machine.encode(t) if t else b"" for t in texts]
+            coded = machine.encode([t or "" for t in texts])
             back = [machine.decode(c) if c else "" for c in coded]
             cols = [ids, pa.array([len(c) // 4 for c in coded], pa.int64())]
             if digests:
