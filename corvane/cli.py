@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.paths import extension
 from corvane.operators import extract, filters, graph, index, pack, tokens
 from corvane.sources import config, pdf, tree
 
@@ -44,6 +43,11 @@ def project_name(paths: list[str]) -> str:
     return name or paths[0]
 
 
+def first_url(paths: list[str]) -> str | None:
+    """The one that a request is about: of several URLs the first counts."""
+    return next((p for p in paths if "://" in p or p.startswith("git:") or p.endswith(".git") and not os.path.exists(p)), None)
+
+
 def index_place(root: str) -> str:
     base = os.environ.get("XDG_DATA_HOME") or os.path.join(os.path.expanduser("~"), ".local", "share")
     return os.path.join(base, "corvane", hashlib.sha256(root.encode()).hexdigest()[:16])
@@ -55,14 +59,15 @@ def user_config() -> Path:
 
 
 def scan(spark: SparkSession, roots: list[str], s: config.Settings) -> DataFrame:
-    """Chosen files (path, size, mtime, content) of the roots. Only files that names may choose, and those without an
-    extension, whose first line may, are read."""
+    """Chosen files (path, size, mtime, content) of the roots. Files that are too large or excluded aren't read; others that
+    names don't choose are, as their first line may."""
     found = tree.manifest(spark, roots, s.hidden, not s.no_ignore, s.max_depth)
-    rules = {"max_size": s.max_size, "include": s.include, "only_include": s.only_include, "exclude": s.exclude}
+    exclude = [p for root in roots for e in s.exclude if (p := config.exclude_pattern(e, root))]
+    rules = {"max_size": s.max_size, "include": s.include, "only_include": s.only_include, "exclude": list(dict.fromkeys(exclude))}
     path, size = F.col("path"), F.col("size")
     maybe = filters.should_process(path, size, **rules)
     if not s.only_include:
-        maybe |= (size <= s.max_size) & (extension(path) == "")
+        maybe |= (size <= s.max_size) & ~filters.matches_any(path, rules["exclude"])
     return tree.contents(found.where(maybe)).where(filters.should_process(path, size, F.col("content"), **rules))
 
 
@@ -80,16 +85,16 @@ def show_tokens(files: DataFrame, counter) -> None:
 
 
 def run_scan(spark: SparkSession, args: argparse.Namespace) -> None:
+    if url := first_url(args.paths):
+        raise Refused(f"{url}: web pages and remote repositories are taken as tables, not fetched")
     for p in args.paths:
-        if "://" in p:
-            raise Refused(f"{p}: web pages and remote repositories are taken as tables, not fetched")
         if not os.path.exists(p):
             raise Refused(f"{p}: no such file or folder")
     options = {k: v for k, v in vars(args).items() if k in ("include", "only_include", "exclude", "max_size", "max_depth", "output_format") and v is not None}
     options |= {k: True for k in ("hidden", "no_ignore") if getattr(args, k)}
     found = config.repository_file(args.paths[0])
     try:
-        s = config.load(user_config(), *([found] if found else []), **options)
+        s = config.load(config.first_run(user_config()), *([found] if found else []), **options)
     except ValueError as e:
         raise Refused(str(e)) from e
     files = scan(spark, args.paths, s).persist()

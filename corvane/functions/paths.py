@@ -107,7 +107,7 @@ def interpreter(text: Column) -> Column:
     second = F.regexp_extract(text, r"^#![^\n]*\n([^\r\n]*)", 1)
     words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
     program = F.regexp_replace(F.get(words, F.lit(0)), r"^.*/", "")
-    after_env = F.get(F.filter(F.slice(words, 2, 1000), lambda w: ~w.startswith("-") & ~w.contains("=")), F.lit(0))
+    after_env = F.get(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: ~w.startswith("-") & ~w.contains("=")), F.lit(0))
     named = F.when(program == "env", F.regexp_replace(after_env, r"^.*/", "")).otherwise(program)
     called = F.regexp_extract(second, r"(?:^|\s)exec\s+(\S+)", 1)
     name = F.when(~text.startswith("#!"), F.lit(None)).when(called != "", called).otherwise(named)
@@ -127,7 +127,7 @@ def import_candidates(module: Column, ext: Column) -> Column:
     each = lambda stem, *forms: F.array(*[F.concat(F.lit(a), stem, F.lit(b)) for a, b in forms])
     rust = F.replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "^(crate::)+", ""), "^(self::)+", ""), "^(super::)+", ""), F.lit("::"), F.lit("/"))
     dotted = F.replace(m, F.lit("."), F.lit("/"))
-    go = F.when(F.split(m, "/")[0].contains(".") & (F.size(F.split(m, "/")) >= 3), F.array_join(F.slice(F.split(m, "/"), 4, 1000), "/")).otherwise(m)
+    go = F.when(F.split(m, "/")[0].contains(".") & (F.size(F.split(m, "/")) >= 3), F.array_join(F.slice(F.split(m, "/"), F.lit(4), F.size(F.split(m, "/"))), "/")).otherwise(m)
     script = m
     for prefix in (r"\./", r"\.\./", "@/", "@"):
         script = F.regexp_replace(script, f"^({prefix})+", "")
@@ -174,6 +174,18 @@ def hover_type(hover: Column) -> Column:
     return F.when(strip(hover) != "", F.when(line.rlike("^(let|const) [^:]*:"), declared).otherwise(line))
 
 
+def hover_text(parts: Column) -> Column:
+    """The values of marked strings (array of structs with value), a line each."""
+    return F.array_join(F.transform(parts, lambda x: x["value"]), "\n")
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """A URL template with each {name} replaced by its value; names without a value stay."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
 def terminal_color(code: Column) -> Column:
     """The 256-colour number nearest a hexadecimal colour: the grey ramp for greys, else the 6 x 6 x 6 cube; null unless six digits."""
     digits = F.regexp_extract(code, "^#*([0-9A-Fa-f]{6})$", 1)

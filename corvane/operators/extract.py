@@ -9,6 +9,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,15 @@ LANGUAGES: dict[str, tuple[list[str], list[tuple[str, str]], str, bool]] = {
     "haskell": (["hs"], [("function", r"^([a-z_][\w']*)(?:\s+[\w'()_]+)*\s*=")], r"^\s*import\s+(?:qualified\s+)?([\w.]+)", False),
 }
 _BY_EXTENSION = {e: (name, spec) for name, spec in LANGUAGES.items() for e in spec[0]}
-_NOISE = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
+#: Strings in double quotes, in single quotes, in back quotes, and single characters.
+_QUOTED, _SINGLE, _BACK, _CHARACTER = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`", r"'(?:\\[^\n']{1,9}|\\'|[^'\\\n])'"
+#: Strings and comments of the languages whose are not C's.
+_STRINGS = {
+    "go": rf"{_QUOTED}|`[^`]*`|{_CHARACTER}", "typescript": f"{_QUOTED}|{_SINGLE}|{_BACK}", "javascript": f"{_QUOTED}|{_SINGLE}|{_BACK}", "lua": rf"{_QUOTED}|{_SINGLE}|(?<!--)\[\[.*?\]\]",
+    "ruby": f"{_QUOTED}|{_SINGLE}", "nix": f"{_QUOTED}|''.*?''", "scala": f'"""[\\s\\S]*?"""|{_QUOTED}|{_CHARACTER}', "kotlin": f'"""[\\s\\S]*?"""|{_QUOTED}|{_CHARACTER}', "swift": f'"""[\\s\\S]*?"""|{_QUOTED}',
+    "haskell": rf"{_QUOTED}|(?<!\w){_CHARACTER}",
+}
+_COMMENTS = {"lua": r"--\[\[.*?\]\]|--[^\n]*", "ruby": r"#[^\n]*", "nix": r"#[^\n]*|/\*.*?\*/", "haskell": r"--[^\n]*|\{-.*?-\}"}
 _CALL = re.compile(r"(?:([A-Za-z_]\w*)\s*(?:\.|::|->|:)\s*)?([A-Za-z_]\w*)\s*\(")
 Row = tuple[str, str, str | None, str | None, int, int, int, int]
 
@@ -82,12 +91,8 @@ _PY_WORDS = set(keyword.kwlist)
 def _python_patterns(text: str) -> Iterator[Row]:
     """A file that doesn't parse: what its whole lines hold. A definition ends before the next line indented no more."""
     code = _PY_NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    size = [0]
-    for c in text:
-        size.append(size[-1] + len(c.encode(errors="replace")))
-    lines = [0, *(m.end() for m in re.finditer("\n", text))]
-    line = lambda i: bisect_right(lines, i)
-    row = lambda what, name, kind, q, s, e: (what, name, kind, q, size[s], size[e], line(s), line(e))
+    byte, line = _places(text)
+    row = lambda what, name, kind, q, s, e: (what, name, kind, q, byte(s), byte(e), line(s), line(e))
     taken: set[int] = set()
     for m in _PY_DEFINITION.finditer(code):
         taken.add(m.start(3))
@@ -108,39 +113,58 @@ def _python_patterns(text: str) -> Iterator[Row]:
                     yield row("import", name[0], None, name[2] if len(name) == 3 and name[1] == "as" else None, s, m.end())
 
 
-def _block_end(text: str, at: int) -> int:
+def _places(text: str):
+    """Byte offset and line of a place in text, from running tables."""
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    if text.isascii():
+        return (lambda i: i), (lambda i: bisect_right(lines, i))
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))).tolist()
+    return size.__getitem__, (lambda i: bisect_right(lines, i))
+
+
+def _closing(code: str) -> dict[int, int]:
+    """The place after the brace that closes each opening brace; the end of the text if none does."""
+    out, open_ = {}, []
+    for m in re.finditer("[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out | dict.fromkeys(open_, len(code))
+
+
+def _block_end(code: str, at: int, closing: dict[int, int]) -> int:
     """After the brace that closes the first one from at, or the end of the line."""
-    level, i = 0, text.find("{", at)
-    line = text.find("\n", at)
-    if i < 0 or (0 <= line < i and text[at:line].rstrip().endswith(";")):
-        return line if line >= 0 else len(text)
-    for j in range(i, len(text)):
-        if text[j] == "{":
-            level += 1
-        elif text[j] == "}":
-            level -= 1
-            if not level:
-                return j + 1
-    return len(text)
-
-
-def _patterns(text: str, spec) -> Iterator[Row]:
+    i, line = code.find("{", at), code.find("\n", at)
+    if i < 0 or (0 <= line < i and code[at:line].rstrip().endswith(";")):
+        return line if line >= 0 else len(code)
+    return closing[i]
+
+
+def _patterns(text: str, name: str, spec) -> Iterator[Row]:
+    """Definitions and calls are sought in text without comments and strings, imports in text without comments."""
     _, defs, imported, braces = spec
+    strings, comments = _STRINGS.get(name, _QUOTED + "|" + _CHARACTER), _COMMENTS.get(name, r"/\*.*?(?:\*/|\Z)|//[^\n]*")
+    noise = re.compile(f"(?P<string>{strings})|(?:{comments})", re.S)
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    code = _NOISE.sub(blank, text) if braces else text
-    size = lambda i: len(text[:i].encode())
-    row = lambda what, name, kind, q, s, e: (what, name, kind, q, size(s), size(e), text.count("\n", 0, s) + 1, text.count("\n", 0, e) + 1)
+    code = noise.sub(blank, text)
+    kept = noise.sub(lambda m: m[0] if m["string"] else blank(m), text)
+    byte, line = _places(text)
+    closing = _closing(code) if braces else {}
+    row = lambda what, name, kind, q, s, e: (what, name, kind, q, byte(s), byte(e), line(s), line(e))
     taken: set[int] = set()
     for kind, pattern in defs:
         for m in re.finditer(pattern, code, re.M):
             if m[1] not in _KEYWORDS and m.start(1) not in taken:
                 taken.add(m.start(1))
-                end = _block_end(code, m.end()) if braces else (code.find("\n\n", m.end()) if code.find("\n\n", m.end()) >= 0 else len(code))
+                blank_line = code.find("\n\n", m.end())
+                end = _block_end(code, m.end(), closing) if braces else blank_line if blank_line >= 0 else len(code)
                 yield row("definition", m[1], kind, None, m.start() + len(m[0]) - len(m[0].lstrip()), end)
     for m in _CALL.finditer(code):
         if m[2] not in _KEYWORDS and m.start(2) not in taken:
             yield row("call", m[2], None, m[1], m.start(2), m.end(2))
-    for m in re.finditer(imported, code, re.M):
+    for m in re.finditer(imported, kept, re.M):
         yield row("import", m[1], None, None, m.start(1), m.end(1))
 
 
@@ -149,7 +173,7 @@ def extract_text(path: str, text: str) -> Iterator[Row]:
     if ext == "py":
         yield from _python(text)
     elif ext in _BY_EXTENSION:
-        yield from _patterns(text, _BY_EXTENSION[ext][1])
+        yield from _patterns(text, *_BY_EXTENSION[ext])
 
 
 def facts(files: DataFrame) -> DataFrame:

@@ -54,12 +54,12 @@ def matches_any(path: Column, patterns: Sequence[str]) -> Column:
 
 
 def is_source(path: Column, content: Column | None = None) -> Column:
-    """By name, else by the extension in lower case, else by the script's interpreter if content is given."""
-    ext = extension(path)
-    known = base_name(path).isin(SOURCE_NAMES) | F.lower(ext).isin(SOURCE_EXTENSIONS)
+    """By name, else by the extension in lower case, else, also with an unknown extension, by the script's interpreter if
+    content is given."""
+    known = base_name(path).isin(SOURCE_NAMES) | F.lower(extension(path)).isin(SOURCE_EXTENSIONS)
     if content is None:
         return known
-    return known | ((ext == "") & F.coalesce(interpreter(content).isin(INTERPRETERS), F.lit(False)))
+    return known | F.coalesce(interpreter(content).isin(INTERPRETERS), F.lit(False))
 
 
 def should_process(path: Column, size: Column, content: Column | None = None, *, max_size: int = MAX_SIZE, include: Sequence[str] = (), only_include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import base_name, extension, family, import_candidates, import_matches, suffixes
 
 
+#: Bytes of a bin of positions: a place meets the definitions of its bin, not all of its file.
+BIN = 2048
+
+
+def bin_of(pos: Column) -> Column:
+    return F.floor(pos / BIN)
+
+
+def binned(defs: DataFrame) -> DataFrame:
+    """Definitions once for each bin that they cover, with _bin; empty ones hold no place."""
+    bins = F.sequence(bin_of(F.col("start_byte")), bin_of(F.col("end_byte") - 1))
+    return defs.where("start_byte < end_byte").withColumn("_bin", F.explode(bins))
+
+
 def enclosing_definition(calls: DataFrame, defs: DataFrame) -> DataFrame:
-    """calls (file, pos, callee, qualifier) with caller: the shortest definition around pos, the first of equals, or null."""
-    inside = (F.col("c.file") == F.col("d.file")) & (F.col("d.start_byte") <= F.col("c.pos")) & (F.col("c.pos") < F.col("d.end_byte"))
+    """calls (file, pos, callee, qualifier) with caller: the shortest definition around pos, the first of equals, or null.
+
+    A null file or position has no caller; calls alike in all four columns count once; no calls give no rows."""
+    places = calls.select("file", "pos", "callee", "qualifier", bin_of(F.col("pos")).alias("_bin")).alias("c")
+    inside = (F.col("c.file") == F.col("d.file")) & (F.col("c._bin") == F.col("d._bin")) & (F.col("d.start_byte") <= F.col("c.pos")) & (F.col("c.pos") < F.col("d.end_byte"))
     best = F.min_by("d.name", F.struct(F.col("d.end_byte") - F.col("d.start_byte"), F.col("d.start_byte"), F.col("d.name")))
     # One row a call: its columns are its key.
-    return calls.alias("c").join(defs.alias("d"), inside, "left").groupBy("c.file", "c.pos", "c.callee", "c.qualifier").agg(best.alias("caller"))
+    return places.join(binned(defs).alias("d"), inside, "left").groupBy("c.file", "c.pos", "c.callee", "c.qualifier").agg(best.alias("caller"))
 
 
 def first_definitions(defs: DataFrame, *key: Column | str) -> DataFrame:
@@ -75,26 +95,74 @@ def resolve(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool
     return calls.join(found, ["file", "callee"], "left").select("file", "pos", "callee", "qualifier", "target_file")
 
 
-def call_edges(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool = False) -> DataFrame:
-    """src and dst nodes 'file:name' of resolved calls inside definitions; no loops, no repeats."""
-    called = enclosing_definition(calls, defs).where("caller is not null").select("file", "caller", "callee").distinct()
-    both = called.join(resolve_names(calls, imports, defs, strict), ["file", "callee"])
-    edges = both.select(F.concat_ws(":", "file", "caller").alias("src"), F.concat_ws(":", "target_file", "callee").alias("dst"))
+def same_call(a: DataFrame, b: DataFrame, key: Sequence[str]) -> Column:
+    """Equal keys, where nulls equal nulls."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key])
+
+
+CALL = ("file", "pos", "callee", "qualifier")
+
+
+def call_edges(calls: DataFrame, imports: DataFrame, defs: DataFrame, strict: bool = False, resolved: DataFrame | None = None) -> DataFrame:
+    """src and dst nodes 'file:name' of resolved calls inside definitions; no loops, no repeats.
+
+    resolved (file, pos, callee, qualifier, target_file, target_name): calls resolved elsewhere, as by a language server.
+    They lead to that definition, or nowhere if there is none: names are not tried for them. Of several rows of a call the
+    least counts."""
+    inside = enclosing_definition(calls, defs).where("caller is not null")
+    pairs = []
+    if resolved is not None:
+        told = resolved.groupBy(*CALL).agg(F.min(F.struct("target_file", "target_name")).alias("_t"))
+        there = inside.join(told, same_call(inside, told, CALL)).select(inside["file"], "caller", "_t.*")
+        there = there.join(defs.select(F.col("file").alias("target_file"), F.col("name").alias("target_name")).distinct(), ["target_file", "target_name"])
+        pairs.append(there.select("file", "caller", "target_file", "target_name"))
+        inside = inside.join(told, same_call(inside, told, CALL), "left_anti")
+    called = inside.select("file", "caller", "callee").distinct()
+    pairs.append(called.join(resolve_names(calls, imports, defs, strict), ["file", "callee"]).select("file", "caller", "target_file", F.col("callee").alias("target_name")))
+    edges = reduce(DataFrame.union, pairs).select(F.concat_ws(":", "file", "caller").alias("src"), F.concat_ws(":", "target_file", "target_name").alias("dst"))
     return edges.where("src <> dst").distinct()
 
 
+QUESTION = ("callee", "qualifier", "ext")
+
+
+def representatives(calls: DataFrame) -> DataFrame:
+    """One call for each callee, qualifier and extension, the first by file and position, with the number of calls n."""
+    keyed = calls.select(*CALL, extension(F.col("file")).alias("ext"))
+    return keyed.groupBy(*QUESTION).agg(F.min(F.struct("file", "pos")).alias("_c"), F.count(F.lit(1)).alias("n")).select("_c.*", *QUESTION, "n")
+
+
+def fan_out(calls: DataFrame, answers: DataFrame) -> DataFrame:
+    """calls (file, pos, callee, qualifier) with target_file and target_name of the answer that their representative got; nulls
+    where it got none. answers: a row of these six columns for each representative that resolved. Null qualifiers are alike."""
+    asked, told = representatives(calls), answers.groupBy(*CALL).agg(F.min(F.struct("target_file", "target_name")).alias("_t"))
+    known = asked.join(told, same_call(asked, told, CALL)).select(*[asked[k] for k in QUESTION], "_t")
+    keyed = calls.select(*CALL, extension(F.col("file")).alias("ext"))
+    return keyed.join(known, same_call(keyed, known, QUESTION), "left").select(*[keyed[k] for k in CALL], F.col("_t.target_file").alias("target_file"), F.col("_t.target_name").alias("target_name"))
+
+
 def nodes(defs: DataFrame) -> DataFrame:
     return defs.select(F.concat_ws(":", "file", "name").alias("node")).distinct()
 
 
-def to_depth(edges: DataFrame, start: DataFrame, most: int, reverse: bool = False) -> DataFrame:
-    """(node, depth) of nodes at most `most` steps away, the start at 0; a frontier join a step."""
+def to_depth(edges: DataFrame, start: DataFrame, most: int, reverse: bool = False, keep=None) -> DataFrame:
+    """(node, depth) of nodes at most `most` steps away, the start at 0; a frontier join a step.
+
+    `keep` cuts the lineage of the edges and of each step (a checkpoint by default); steps end when nothing new is reached."""
+    keep = keep or checkpointed
     a, b = ("dst", "src") if reverse else ("src", "dst")
     seen = start.select("node", F.lit(0).alias("depth"))
-    frontier = start.select("node")
+    if most > 0:
+        step = edges.select(F.col(a).alias("_from"), F.col(b).alias("node"))
+        step = keep(step) if most > 1 else step
+        frontier = start.select("node")
     for d in range(1, most + 1):
-        frontier = edges.join(frontier, edges[a] == frontier["node"]).select(F.col(b).alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = step.join(frontier.select(F.col("node").alias("_from")), "_from").select("node").distinct().join(seen.select("node"), "node", "left_anti")
+        if d < most:
+            frontier = keep(frontier)
         seen = seen.union(frontier.select("node", F.lit(d).alias("depth")))
+        if d < most and frontier.isEmpty():
+            break
     return seen
 
 
@@ -104,7 +172,7 @@ def transitive(edges: DataFrame, start: DataFrame, reverse: bool = False, keep=N
     `keep` cuts the lineage of each round (a checkpoint by default); rounds end when nothing new is reached."""
     keep = keep or checkpointed
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("node"))
+    step = keep(edges.select(F.col(a).alias("_from"), F.col(b).alias("node")))
     frontier = keep(step.join(start.select(F.col("node").alias("_from")), "_from").select("node").distinct())
     seen = frontier
     while not frontier.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ def tree_lines(files: DataFrame, faithful: bool = True) -> DataFrame:
     """path, level, line: the tree entries that each path adds to those of the path before it, by components.
 
     faithful compares each component with that of the same level before; otherwise whole prefixes are compared,
-    so that equal names below different parents are both shown. Top-level names are ordered apart from each
-    other; only each one's last path meets the next one's first."""
-    parts = files.select("path", F.split("path", "/").alias("c"), F.split("path", "/")[0].alias("_top"))
-    # One row a top-level name.
+    so that equal names below different parents are both shown. Paths that share their first two components are ordered
+    apart from others; only each group's last path meets the next one's first. A null path gives no line; repeated paths
+    give theirs once."""
+    parts = files.where("path is not null").select("path", F.split("path", "/").alias("c")).withColumn("_top", F.slice("c", 1, 2))
+    # One row a folder of the second level, or file above it.
     tops = parts.groupBy("_top").agg(F.max("c").alias("_last"))
     tops = tops.select("_top", F.lag("_last").over(Window.orderBy("_top")).alias("_before"))
     seen = parts.withColumn("_prev", F.lag("c").over(Window.partitionBy("_top").orderBy("c"))).join(tops, "_top")
@@ -46,12 +49,13 @@ def definition_block(file: Column, name: Column, content: Column, start: Column,
 def document(files: DataFrame, tree: bool = True, contents: bool = True, project: str | None = None) -> DataFrame:
     """section, path, ord, line: the packed document in pieces; ordered by these columns they make the text.
 
-    With a project name the pieces are tagged. The document isn't gathered in one row."""
+    With a project name, which is escaped, the pieces are tagged. The document isn't gathered in one row. A null content
+    leaves its block out of the text; no files give the headings and a summary of 0."""
     spark = files.sparkSession
     xml = project is not None
     fixed: list[tuple[int, str]] = []
     if xml:
-        fixed.append((0, f'<context name="{project}">'))
+        fixed.append((0, f'<context name="{escape(project, {chr(34): "&quot;", chr(39): "&apos;"})}">'))
     if tree:
         fixed += [(1, "<tree>" if xml else "Directory Structure:"), (3, "</tree>\n" if xml and contents else "</tree>" if xml else "")]
     if contents:

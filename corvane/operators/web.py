@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.graph import checkpointed
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "table", "article", "section", "nav", "footer", "header", "main", "aside", "form"}
 
@@ -172,12 +174,15 @@ def page_links(pages: DataFrame) -> DataFrame:
 def crawl(pages: DataFrame, most: int) -> DataFrame:
     """start, n_urls, n_fetched: URLs met by a crawl from each page of at most `most` links, and those that are in the table.
 
-    Frontiers are distinct (start, url), so cycles end; a URL that isn't in the table has no links."""
+    Frontiers are distinct (start, url), so cycles end; a URL that isn't in the table has no links. The links and each
+    round's frontier are checkpointed, so pages are parsed once and plans don't grow with the rounds."""
     links = page_links(pages).select(F.col("url").alias("_from"), "link").distinct()
+    links = checkpointed(links) if most > 1 else links
     seen = pages.select(F.col("page_id").alias("start"), "url")
     frontier = seen
-    for _ in range(most):
+    for k in range(most):
         frontier = frontier.join(links, frontier["url"] == links["_from"]).select("start", F.col("link").alias("url")).distinct().join(seen, ["start", "url"], "left_anti")
+        frontier = checkpointed(frontier) if k < most - 1 else frontier
         seen = seen.union(frontier)
     known = pages.select("url", F.lit(True).alias("_in")).distinct()
     met = seen.distinct().join(known, "url", "left")
@@ -191,6 +196,7 @@ def crawl_order(pages: DataFrame, most: int) -> DataFrame:
     one URL the first counts; pages reached on several ways come again, URLs that aren't in the table are passed over."""
     links = page_links(pages).groupBy(F.col("url").alias("_from"), "link").agg(F.min("pos").alias("_pos"))
     links = links.join(pages.select(F.col("url").alias("link")).distinct(), "link", "left_semi")
+    links = checkpointed(links) if most > 1 else links
     step = pages.select(F.col("page_id").alias("start"), F.array().cast("array<int>").alias("steps"), "url")
     out = step
     for _ in range(most):

@@ -677,3 +677,54 @@ def tree_lines_strict(spark, sf_dir):
 @query("packed_xml", _packed({0: '<context name="corpus">', 1: "<tree>", 3: "</tree>~", 4: "<files>", 6: "</files>"}, _TAGGED_BLOCK, "<summary>", "</summary>~</context>"))
 def packed_xml(spark, sf_dir):
     return K.document(files(spark, sf_dir), project="corpus")
+
+
+_PRE = f"""(SELECT file, pos, callee, qualifier, CASE pos % 3 WHEN 0 THEN file ELSE 'src/m1/u1.py' END AS target_file, concat('fn_', CAST(pos % 750 AS VARCHAR)) AS target_name FROM {V_CALLS} WHERE pos % 5 = 0)"""
+_SAME = "{0}.file = {1}.file AND {0}.pos = {1}.pos AND {0}.callee = {1}.callee AND {0}.qualifier IS NOT DISTINCT FROM {1}.qualifier"
+
+
+@query("call_edges_resolved", f"""SELECT DISTINCT src, dst FROM (SELECT e.file || ':' || e.caller AS src,
+ CASE WHEN p.file IS NULL THEN r.target_file || ':' || r.callee ELSE d.file || ':' || d.name END AS dst
+ FROM {_ENCLOSED} e LEFT JOIN {_PRE} p ON {_SAME.format('e', 'p')} LEFT JOIN {_DEF1} d ON d.file = p.target_file AND d.name = p.target_name
+ JOIN {_resolved(False)} r ON {_SAME.format('e', 'r')} WHERE e.caller IS NOT NULL) WHERE dst IS NOT NULL AND src <> dst""")
+def call_edges_resolved(spark, sf_dir):
+    """Some calls come resolved; those whose target isn't indexed give no edge, even where their name would."""
+    calls, imports, defs = graph_inputs(spark, sf_dir)
+    target = F.when(F.col("pos") % 3 == 0, F.col("file")).otherwise("src/m1/u1.py")
+    known = calls.where("pos % 5 = 0").select(*G.CALL, target.alias("target_file"), F.concat(F.lit("fn_"), (F.col("pos") % 750).cast("string")).alias("target_name"))
+    return G.call_edges(calls, imports, defs, resolved=known)
+
+
+_REPS = f"(SELECT callee, qualifier, ext, min((file, pos)) AS c FROM (SELECT *, {_EXT.format('file')} AS ext FROM {V_CALLS}) GROUP BY callee, qualifier, ext)"
+
+
+@query("lsp_fan_out", f"""SELECT c.file, c.pos, c.callee, c.qualifier, r.target_file, r.target_name FROM {V_CALLS} c LEFT JOIN (
+ SELECT p.callee, p.qualifier, p.ext, d.file AS target_file, arg_min(d.name, (d.start_byte, d.name)) AS target_name
+ FROM {_REPS} p JOIN {V_DEFS} d ON d.file = p.c[1] AND d.start_byte <= p.c[2] AND p.c[2] < d.end_byte WHERE p.c[2] % 4 <> 0 GROUP BY ALL) r
+ ON r.callee = c.callee AND r.qualifier IS NOT DISTINCT FROM c.qualifier AND r.ext = {_EXT.format('c.file')}""")
+def lsp_fan_out(spark, sf_dir):
+    """Representatives are looked up, three of four with an answer, and what is found goes to all calls with their key."""
+    calls, _, defs = graph_inputs(spark, sf_dir)
+    asked = G.representatives(calls).where("pos % 4 <> 0").select(*G.CALL, F.col("file").alias("target"), F.col("pos").alias("at"))
+    found = I.location_outcomes(asked, defs, "src/").where("outcome = 'resolved'").select("file", "pos", "callee", F.col("target").alias("target_file"), F.col("name").alias("target_name"))
+    answers = asked.select(*G.CALL).join(found.distinct(), ["file", "pos", "callee"]).select(*G.CALL, "target_file", "target_name")
+    return G.fan_out(calls, answers)
+
+
+@query("lsp_requests", f"""SELECT server, count(*) AS n, min(file) AS first_file, max(file) AS last_file FROM (SELECT file, CASE {_EXT.format('file')} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' END AS server
+ FROM {V_CALLS} WHERE NOT contains(file, 'out/')) WHERE server IS NOT NULL GROUP BY server""")
+def lsp_requests(spark, sf_dir):
+    asked = I.requests(view(spark, sf_dir, "calls"))
+    return asked.groupBy("server").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
+
+
+@query("hover_text", "SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || p_type AS hover FROM part")
+def hover_text(spark, sf_dir):
+    marked = F.array(F.struct(F.lit(None).cast("string").alias("language"), F.col("p_name").alias("value")), F.struct(F.lit("rust").alias("language"), F.col("p_brand").alias("value")), F.struct(F.lit("text").alias("language"), F.col("p_type").alias("value")))
+    return table(spark, sf_dir, "part").select("p_partkey", P.hover_text(marked).alias("hover"))
+
+
+@query("url_template", "SELECT s_suppkey, 'https://host/v' || s_nationkey || '/' || s_name || '/{target}.zip' AS url FROM supplier")
+def url_template(spark, sf_dir):
+    url = P.filled(F.lit("https://host/v{version}/{filename}/{target}.zip"), version=F.col("s_nationkey").cast("string"), filename=F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", url.alias("url"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 from corvane.operators.filters import DEFAULT_EXCLUDES, MAX_DEPTH, MAX_SIZE
@@ -47,6 +48,38 @@ def load(*paths: str | Path, **options) -> Settings:
     return overlay(out, options)
 
 
+def exclude_pattern(value: str, base: str | Path) -> str | None:
+    """The pattern that an exclude stands for in a scan of base: what exists is that file, which if absolute must lie below
+    base and otherwise excludes nothing; anything else is a pattern."""
+    p = Path(value)
+    if not p.is_absolute() or not p.exists():
+        return value
+    return p.relative_to(base).as_posix() if p.is_relative_to(base) else None
+
+
+def as_toml(values: dict) -> str:
+    """Flat settings (text, numbers, booleans, lists of text) as TOML."""
+    return "".join(f"{k} = {json.dumps(v, ensure_ascii=False)}\n" for k, v in values.items())
+
+
+def save(path: str | Path, values: dict | Settings) -> None:
+    """Settings, or some of them, as a file that load() reads; its folder is made if need be."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(as_toml(asdict(values) if isinstance(values, Settings) else values), encoding="utf-8")
+
+
+def first_run(path: str | Path) -> Path:
+    """The user's file, which is made with the defaults if there is none and it can be."""
+    path = Path(path)
+    if not path.exists():
+        try:
+            save(path, Settings())
+        except OSError:
+            pass  # a home that can't be written has the defaults anyway
+    return path
+
+
 def repository_file(start: str | Path, name: str = ".corvane") -> Path | None:
     """The nearest file of that name at or above start."""
     p = Path(start).resolve()

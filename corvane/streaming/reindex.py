@@ -1,31 +1,32 @@
-"""Incremental re-indexing as a stream: an extension; each micro-batch of changed files is upserted into the index tables."""
+"""Incremental re-indexing as a stream: an extension; each micro-batch of changed files adds its rows to a log of facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators.extract import facts
 
 
-def upsert_batch(facts_path: str):
-    """A foreachBatch function: the batch's files replace their rows in a versioned Parquet table.
-
-    Each version is a folder of its own, named by the batch, so a batch that runs again writes the same folder."""
+def append_batch(facts_path: str):
+    """A foreachBatch function: the batch's files and their facts, in folders named by the batch, so that a batch that runs
+    again writes the same folders. A batch costs what it holds, whatever the index holds already."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = facts(batch)
-        out = f"{facts_path}/v={batch_id}"
-        if batch_id:
-            old = spark.read.schema(new.schema).parquet(f"{facts_path}/v={batch_id - 1}")
-            # files of the batch replace all their rows, also if nothing is found in them now
-            new = old.join(batch.select("path").distinct(), "path", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(out)
+        facts(batch).write.mode("overwrite").parquet(f"{facts_path}/facts/v={batch_id}")
+        batch.select("path").distinct().write.mode("overwrite").parquet(f"{facts_path}/files/v={batch_id}")
 
     return run
 
 
+def current(spark: SparkSession, facts_path: str) -> DataFrame:
+    """The facts of every file's last batch; a file whose last batch found nothing has none."""
+    last = spark.read.parquet(f"{facts_path}/files").groupBy("path").agg(F.max("v").alias("v"))
+    found = spark.read.parquet(f"{facts_path}/facts")
+    return found.join(last, ["path", "v"], "left_semi").drop("v")
+
+
 def reindex(files: DataFrame, facts_path: str, checkpoint: str) -> StreamingQuery:
     """files: a stream of (path, content). Batches are numbered by the stream's checkpoint."""
-    return files.writeStream.foreachBatch(upsert_batch(facts_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(append_batch(facts_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from corvane.functions import paths
 from corvane.operators import extract, graph, index, pack, tokens, web
 from corvane.queries import ORACLE_SQL, QUERIES
 from corvane.sources import config, pdf, tree
-from corvane.streaming.reindex import reindex
+from corvane.streaming.reindex import current, reindex
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,6 +92,40 @@ def test_extraction():
     assert list(extract.extract_text("a.py", "def broken(")) == []
 
 
+def found(path, text):
+    return {r[:2] for r in extract.extract_text(path, text)}
+
+
+@pytest.mark.parametrize(
+    "path, text, has, lacks",
+    [
+        ("a.js", 'import x from "m//n"; const u = "http://x.y"; foo(); const s = \'bar()\'; `baz()`; /* no() */ // gone()', {("call", "foo"), ("import", "m//n")}, {"bar", "baz", "no", "gone"}),
+        ("a.rs", 'fn f<\'a>(x: &\'a str) { let c = \'"\'; g("h()"); } // k()', {("definition", "f"), ("call", "g")}, {"h", "k"}),
+        ("a.go", 'import "a/b"\nfunc (r *R) M() { s := `x()`; t("y()") }', {("definition", "M"), ("call", "t"), ("import", "a/b")}, {"x", "y"}),
+        ("a.c", '#include "z.h"\nint main(void) { p("q(\\"r()"); /* s() */ return \'(\'; }', {("definition", "main"), ("call", "p"), ("import", "z.h")}, {"q", "r", "s"}),
+        ("a.lua", 'local m = require("m")\n-- no()\nlocal function f() return g("h()") end --[[ k()\nl() ]]', {("import", "m"), ("definition", "f"), ("call", "g")}, {"no", "h", "k", "l"}),
+        ("a.rb", "require 'm'\nclass C\n  def f # g()\n    h('i()')\n  end\nend", {("import", "m"), ("definition", "C"), ("definition", "f"), ("call", "h")}, {"g", "i"}),
+        ("a.hs", 'import Data.Map\nf x = "a(" -- b(\n{- c( -}', {("import", "Data.Map"), ("definition", "f")}, {"a", "b", "c"}),
+        ("a.java", 'import a.b;\nclass C {\n  int f(int x) {\n    return g("//") + h(x);\n  }\n}', {("import", "a.b"), ("definition", "f"), ("call", "g"), ("call", "h")}, set()),
+        ("a.kt", 'import a.b\nfun f() { g("""h()""") }', {("import", "a.b"), ("definition", "f"), ("call", "g")}, {"h"}),
+    ],
+)
+def test_extraction_passes_over_strings_and_comments(path, text, has, lacks):
+    got = found(path, text)
+    assert has <= got and not {n for _, n in got} & lacks
+
+
+def test_extraction_is_linear_and_counts_bytes():
+    text = "fn f() { g(); }\n" * 20_000
+    began = time.perf_counter()
+    rows = list(extract.extract_text("a.rs", text))
+    assert len(rows) == 40_000 and time.perf_counter() - began < 5
+    assert rows[19_999][4:] == (16 * 19_999, 16 * 19_999 + 15, 20_000, 20_000)
+    text = "// é漢\U0001f600\nfn f() {\n é(g());\n}\n"
+    d = next(r for r in extract.extract_text("a.rs", text) if r[0] == "definition")
+    assert text.encode()[d[4] : d[5]].decode() == "fn f() {\n é(g());\n}" and d[6:] == (2, 4)
+
+
 def test_extraction_of_python_that_does_not_parse():
     text = "import os, sys as s\nfrom .a import b\n\ndef f(x=(1, 2)):\n    print 'g()'  # h()\n    return os.path.k(é(x))\n\n<<<<<<< HEAD\nclass C(B):\n    async def m(self):\n        pass\n"
     got = list(extract.extract_text("a.py", text))
@@ -138,7 +174,10 @@ def test_streaming_reindex(spark, tmp_path):
     spark.createDataFrame([("a.py", "def f(): pass")], "path string, content string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("path string, content string").parquet(str(tmp_path / "in"))
     reindex(stream, str(tmp_path / "facts"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "facts" / "v=0")).where("name = 'f'").count() == 1
+    assert [r["name"] for r in current(spark, str(tmp_path / "facts")).where("what = 'definition'").collect()] == ["f"]
+    spark.createDataFrame([("a.py", "def g(): pass"), ("b.py", "x = 1")], "path string, content string").write.mode("append").parquet(str(tmp_path / "in"))
+    reindex(stream, str(tmp_path / "facts"), str(tmp_path / "cp")).awaitTermination()
+    assert [r["name"] for r in current(spark, str(tmp_path / "facts")).where("what = 'definition'").collect()] == ["g"]
 
 
 @pytest.fixture
@@ -203,3 +242,52 @@ def test_find_nodes(spark):
     defs = spark.createDataFrame([("b", "f", 0, 1), ("a", "f", 5, 6)], "file string, name string, start_byte long, end_byte long")
     targets = spark.createDataFrame([("b", "f"), (None, "f"), ("b", "g"), (None, "g")], "file string, func string")
     assert {(r["file"], r["func"]): r["node"] for r in graph.find_nodes(targets, defs).collect()} == {("b", "f"): "b:f", (None, "f"): "a:f", ("b", "g"): None, (None, "g"): None}
+
+
+def test_excludes_and_settings_files(spark, project, tmp_path, monkeypatch):
+    assert config.exclude_pattern(str(project / "a.py"), project) == "a.py" and config.exclude_pattern("*.md", project) == "*.md"
+    assert config.exclude_pattern(str(tmp_path), project) is None and config.exclude_pattern("/no/such", project) == "/no/such"
+    assert {r["path"] for r in cli.scan(spark, [str(project)], config.Settings(exclude=[str(project / "a.py"), str(tmp_path)])).collect()} == {"b.py", "run"}
+    config.save(tmp_path / "x" / "s.toml", {"exclude": ['a"b', "ü\\"], "max_size": 5, "hidden": True})
+    s = config.load(tmp_path / "x" / "s.toml")
+    assert s.max_size == 5 and s.hidden and {'a"b', "ü\\"} <= set(s.exclude)
+    assert config.load(config.first_run(tmp_path / "new" / "c.toml")) == config.Settings() and (tmp_path / "new" / "c.toml").exists()
+    assert cli.first_url(["a", "https://x/y", "git@h:z.git"]) == "https://x/y" and cli.first_url(["a"]) is None
+    assert cli.main(["https://x/y"], spark) == 1
+
+
+def test_shebang_with_an_unknown_extension(spark, tmp_path):
+    for name, text in {"a.zzz": "#!/usr/bin/env python3\n", "b.zzz": "plain\n"}.items():
+        (tmp_path / name).write_text(text)
+    assert [r["path"] for r in cli.scan(spark, [str(tmp_path)], config.Settings()).collect()] == ["a.zzz"]
+
+
+def test_index_survives_a_save_that_was_broken_off(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1)], "path string, size long")
+    index.save({"files": df}, str(tmp_path / "i"))
+    (tmp_path / "i").rename(tmp_path / "i.old")
+    assert index.load(spark, str(tmp_path / "i"), {"files": df.schema})["files"].collect() == df.collect()
+    index.save({"files": df.union(df)}, str(tmp_path / "i"))
+    assert index.load(spark, str(tmp_path / "i"), {"files": df.schema})["files"].count() == 2 and not (tmp_path / "i.old").exists()
+
+
+def test_project_names_are_escaped(spark):
+    files = spark.createDataFrame([("a.py", "x", 1)], "path string, content string, size long")
+    assert pack.document(files, project="a<b>&\"'").where("section = 0").first()["line"] == '<context name="a&lt;b&gt;&amp;&quot;&apos;">'
+
+
+def test_plans_of_traversals_grow_with_the_depth_only(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n12", "n0")], "src string, dst string")
+    start = spark.createDataFrame([("n0",)], "node string")
+    size = [len(graph.to_depth(edges, start, d)._jdf.queryExecution().optimizedPlan().toString()) for d in (2, 4, 8)]
+    assert size[2] < 8 * size[0]
+    assert {r["node"]: r["depth"] for r in graph.to_depth(edges, start, 30).collect()} == {f"n{i}": i for i in range(13)}
+    assert graph.to_depth(edges, start, 0).collect() == [("n0", 0)]
+
+
+def test_calls_find_definitions_across_bins(spark):
+    defs = spark.createDataFrame([("a", "wide", 0, 10 * graph.BIN), ("a", "in", graph.BIN - 5, graph.BIN + 5), ("a", "empty", 50, 50), ("b", "wide", 0, 3)], "file string, name string, start_byte long, end_byte long")
+    calls = spark.createDataFrame([("a", p, "x", None) for p in (50, graph.BIN - 1, graph.BIN, graph.BIN + 5, 10 * graph.BIN, None)], "file string, pos long, callee string, qualifier string")
+    got = {r["pos"]: r["caller"] for r in graph.enclosing_definition(calls, defs).collect()}
+    assert got == {50: "wide", graph.BIN - 1: "in", graph.BIN: "in", graph.BIN + 5: "wide", 10 * graph.BIN: None, None: None}
+    assert graph.enclosing_definition(calls.limit(0), defs).count() == 0
