@@ -1,10 +1,11 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine of whole texts.
 
-All terms of the examples lie in an inverted index; the weights of common terms also in a matrix, so that a group of
-documents meets them in one product. Every example that shares a term with a document is scored, so the neighbours are
-exactly the nearest. A term that no example holds counts for a document's norm with the idf of no example. The
-neighbours vote, weighted by distance; so do those found by the terms that tell the labels apart alone. Both votes are
-calibrated together on the examples themselves, each left out of its own search.
+All terms of the examples lie in an inverted index whose examples stand in blocks of like ones; it holds the largest
+weight of each term in each block. A document's weights and these maxima bound its cosines with a block's examples.
+Blocks are scored from the largest bound on, until no bound reaches the last of the nearest found so far, so the
+neighbours are exactly the nearest. Document frequencies are those of all documents; a term that no example holds counts
+for a document's norm with the idf of no document. The neighbours vote, weighted by distance; so do those found by the terms that tell the labels apart alone.
+Both votes are calibrated together on the examples themselves, each left out of its own search.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from corvane.llm.quality import labelled
 #: Examples that the index takes at most: those with the smallest hashes of their ids.
 FIT_ROWS = 8_000
 NEAREST, GROUP = 24, 128
-#: Terms that at least this share of the examples holds are common.
+#: Terms that at least this share of the examples holds are common: their weights and maxima stand in matrices.
 COMMON = 0.1
+#: Examples of a block, blocks scored first, and groups of like examples that blocks are cut from.
+BLOCK, FIRST, LIKE = 64, 4, 32
 #: A term tells the labels apart if at least MIN_DF examples hold it and its G statistic against the label reaches MIN_G.
 MIN_DF, MIN_G, MAX_TERMS = 4, 15.0, 4096
 
@@ -40,46 +43,97 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return range_hash(prefix_hash(lowered(data)), starts, ends), np.searchsorted(offs, starts, "right") - 1
 
 
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Places of the rows of x when like ones stand together: groups by Lloyd's rounds from evenly spaced rows."""
+    c = x[np.linspace(0, len(x) - 1, min(LIKE, len(x))).astype(np.int64)] if len(x) else x
+    near = np.zeros(len(x), np.int64)
+    for _ in range(8 if len(c) > 1 else 0):
+        near = (x @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
+        for k in range(len(c)):
+            if (near == k).any():
+                c[k] = x[near == k].mean(axis=0)
+    place = np.empty(len(x), np.int64)
+    place[np.argsort(near, kind="stable")] = np.arange(len(x))
+    return place
+
+
 class Index:
     """Examples by the TF-IDF weights of their terms: of all (`whole`, norms over known and unknown terms) or of some."""
 
-    def __init__(self, n: int, vocabulary: np.ndarray, df: np.ndarray, d: np.ndarray, t: np.ndarray, tf: np.ndarray, whole: bool):
-        self.vocabulary, self.blocks, self.whole = vocabulary, 1, whole
-        self.idf, self.unknown = np.log((1 + n) / (1 + df)) + 1, float(np.log(1 + n)) + 1
+    def __init__(self, n: int, vocabulary: np.ndarray, df: np.ndarray, idf: np.ndarray, unknown: float, d: np.ndarray, t: np.ndarray, tf: np.ndarray, whole: bool):
+        """df: examples that hold each term; d, t, tf: rows, terms and numbers of the examples' terms."""
+        self.vocabulary, self.whole, self.blocks = vocabulary, whole, -(-n // BLOCK)
+        self.idf, self.unknown = idf, unknown
         w = (1 + np.log(tf)) * self.idf[t]
         w = w / np.sqrt(np.bincount(d, w * w, n))[d]
-        order = np.lexsort((d, t))
-        self.post_doc, self.post_w = d[order].astype(np.int32), w[order]
-        self.begin = np.searchsorted(t[order], np.arange(len(vocabulary) + 1))
-        common = np.flatnonzero(df >= max(2, COMMON * n))
+        often = np.flatnonzero(df >= max(2, COMMON * n))
         self.slot = np.full(len(vocabulary), -1)
-        self.slot[common] = np.arange(len(common))
+        self.slot[often] = np.arange(len(often))
         at = self.slot[t]
-        self.common = np.zeros((len(common), n))
-        self.common[at[at >= 0], d[at >= 0]] = w[at >= 0]
+        common = np.zeros((n, len(often)))
+        common[d[at >= 0], at[at >= 0]] = w[at >= 0]
+        place = in_order(common)
+        self.row_at = np.argsort(place)  # example at each place
+        self.place = place
+        # weights of the common terms by place, and their maxima by block
+        self.common = np.zeros((self.blocks * BLOCK, len(often)))
+        self.common[:n] = common[self.row_at]
+        self.common_most = self.common.reshape(self.blocks, BLOCK, len(often)).max(axis=1) if n else np.zeros((0, len(often)))
+        # postings of the others by term and place; an entry is a term's part in a block, with its maximum
+        rare = at < 0
+        t, p, w = t[rare], place[d[rare]], w[rare]
+        order = np.lexsort((p, t))
+        t, p, self.post_w = t[order], p[order], w[order]
+        self.post_at = (p % BLOCK).astype(np.int32)
+        block = p // BLOCK
+        self.first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])))) if len(t) else np.zeros(0, np.int64)
+        self.many = np.diff(self.first, append=len(t)).astype(np.int32)
+        self.block = block[self.first].astype(np.int32)
+        self.most = np.maximum.reduceat(self.post_w, self.first) if len(t) else np.zeros(0)
+        self.begin = np.searchsorted(t[self.first], np.arange(len(vocabulary) + 1))
 
     def _common(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.common))
+        out = np.zeros(self.common.shape[1])
         at = self.slot[t]
         out[at[at >= 0]] = w[at >= 0]
         return out
 
-    def search(self, t: np.ndarray, w: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the nearest examples, nearest first, ties to smaller rows. The whole query has norm 1;
-        t and w are its known terms; common: what the common terms give each example, if that is known already."""
-        sims = self._common(t, w) @ self.common if common is None else common
+    def search(self, t: np.ndarray, w: np.ndarray, common: np.ndarray, bound: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the nearest examples, nearest first, ties to smaller rows. The whole query has norm 1; t and w
+        are its known terms, common the weights of the common ones, bound what these add to a block's cosines at most."""
         rare = self.slot[t] < 0
         t, w = t[rare], w[rare]
-        lo, n = self.begin[t], self.begin[t + 1] - self.begin[t]
-        idx = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(t) else np.zeros(0, np.int64)
-        sims = sims + np.bincount(self.post_doc[idx], self.post_w[idx] * np.repeat(w, n), len(sims))
-        if without >= 0:
-            sims[without] = 0
-        rows = np.flatnonzero(sims > 1e-12)
-        if len(rows) > NEAREST:
-            rows = rows[sims[rows] >= np.partition(sims[rows], -NEAREST)[-NEAREST] - 1e-11]
-        rows = rows[np.lexsort((rows, -np.round(sims[rows], 12)))[:NEAREST]]
-        return rows, sims[rows]
+        n = self.begin[t + 1] - self.begin[t]
+        entry = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        w = np.repeat(w, n)
+        block = self.block[entry]
+        bound = bound + np.bincount(block, self.most[entry] * w, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        rows, sims, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST
+        slot = np.full(self.blocks, -1)
+        while done < len(order) and bound[order[done]] >= least - 1e-9:
+            some = order[done : done + step]
+            some = some[bound[some] >= least - 1e-9]
+            slot[some] = np.arange(len(some))
+            mine = np.flatnonzero(slot[block] >= 0)
+            first, many = self.first[entry[mine]], self.many[entry[mine]]
+            post = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            got = np.bincount(np.repeat(slot[block[mine]] * BLOCK, many) + self.post_at[post], self.post_w[post] * np.repeat(w[mine], many), len(some) * BLOCK)
+            got = got + np.concatenate([self.common[b * BLOCK : (b + 1) * BLOCK] @ common for b in some.tolist()])
+            at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            ok = (got > 1e-12) & (at < len(self.row_at))
+            if without >= 0:
+                ok &= at != self.place[without]
+            rows, sims = np.concatenate((rows, self.row_at[at[ok]])), np.concatenate((sims, got[ok]))
+            if len(rows) > NEAREST:
+                least = float(np.partition(sims, -NEAREST)[-NEAREST])
+                near = sims >= least - 1e-11
+                rows, sims = rows[near], sims[near]
+            slot[some] = -1
+            done, step = done + len(some) if len(some) == step else len(order), 2 * step
+        nearest = np.lexsort((rows, -np.round(sims, 12)))[:NEAREST]
+        return rows[nearest], sims[nearest]
 
     def found(self, h: np.ndarray, row: np.ndarray, tf: np.ndarray, rows: int, own: int | None = None):
         """(row, examples, cosines) of each row that has known terms; h, row, tf: distinct terms in order of rows.
@@ -95,16 +149,17 @@ class Index:
         some = np.unique(row)
         for lo in range(0, len(some), GROUP):
             group = [(r, t[ends[r] : ends[r + 1]], w[ends[r] : ends[r + 1]]) for r in some[lo : lo + GROUP].tolist()]
-            common = np.array([self._common(a, b) for _, a, b in group]) @ self.common
-            for (r, a, b), c in zip(group, common, strict=True):
-                yield r, *self.search(a, b, -1 if own is None else own + r, c)
+            common = np.array([self._common(a, b) for _, a, b in group])
+            for (r, a, b), c, most in zip(group, common, common @ self.common_most.T, strict=True):
+                yield r, *self.search(a, b, c, most, -1 if own is None else own + r)
 
 
 class NearestExamples(Index):
     """The fitted index; small (bounded by the words of FIT_ROWS examples), so it goes to every task."""
 
-    def __init__(self, ids: np.ndarray, label: np.ndarray, doc: np.ndarray, term: np.ndarray):
-        """doc and term: row numbers and hashes of all terms of the examples."""
+    def __init__(self, ids: np.ndarray, label: np.ndarray, doc: np.ndarray, term: np.ndarray, counted: tuple[int, np.ndarray] | None = None):
+        """doc and term: row numbers and hashes of all terms of the examples; counted: the number of documents and, for each
+        distinct term in order, of those that hold it (without it those of the examples)."""
         self.ids, self.label, self.rate = ids, label.astype(float), float(label.mean()) if len(label) else 0.0
         n = len(ids)
         vocabulary, inverse = np.unique(term, return_inverse=True)
@@ -112,7 +167,9 @@ class NearestExamples(Index):
         d, t, tf = (key // max(1, len(vocabulary))).astype(np.int32), (key % max(1, len(vocabulary))).astype(np.int32), tf.astype(np.int32)
         del doc, term, inverse, key
         df = np.bincount(t, minlength=len(vocabulary)).astype(float)
-        super().__init__(n, vocabulary, df, d, t, tf, True)
+        total, held = counted or (n, df)
+        idf, unknown = np.log((1 + total) / (1 + held)) + 1, float(np.log(1 + total)) + 1
+        super().__init__(n, vocabulary, df, idf, unknown, d, t, tf, True)
         g = self._g(df, np.bincount(t, self.label[d], len(vocabulary)), n, self.label.sum())
         keep = np.flatnonzero((df >= MIN_DF) & (g >= MIN_G))
         if len(keep) > MAX_TERMS:
@@ -120,7 +177,7 @@ class NearestExamples(Index):
         old = np.full(len(vocabulary), -1)
         old[keep] = np.arange(len(keep))
         ok = old[t] >= 0
-        self.telling = Index(n, vocabulary[keep], df[keep], d[ok], old[t[ok]], tf[ok], False)
+        self.telling = Index(n, vocabulary[keep], df[keep], idf[keep], unknown, d[ok], old[t[ok]], tf[ok], False)
         release()
         self._calibrate(vocabulary, t, d, tf, n)
 
@@ -192,8 +249,40 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _held(sent):
+    """(term number, documents that hold it) of the terms sent; -1 counts the documents."""
+
+    def run(batches):
+        release()
+        vocabulary = sent.value
+        n, total = np.zeros(len(vocabulary), np.int64), 0
+        for batch in pieces(batches):
+            total += batch.num_rows
+            for _, _, data, offs in slices(batch.column("text")):
+                h, row = terms(data, offs) if len(data) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                t = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1) if len(vocabulary) else np.zeros(0, np.int64)
+                known = vocabulary[t] == h if len(vocabulary) else np.zeros(0, bool)
+                pair = np.unique(row[: len(t)][known] * max(1, len(vocabulary)) + t[known])
+                n += np.bincount(pair % max(1, len(vocabulary)), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], some)).astype(np.int32)), pa.array(np.concatenate(([total], n[some])))], names=["term", "n"])
+
+    return run
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents and, for each term of the sorted vocabulary (bounded by the examples), of those that hold it."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    got = docs.select("text").mapInArrow(_held(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(len(vocabulary))
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", remainder: int = 1, modulus: int = 3, most: int = FIT_ROWS) -> NearestExamples:
-    """The index of the labelled documents outside one fold. It learns nothing but their words and labels.
+    """The index of the labelled documents outside one fold. It learns nothing but their words and labels, and how many of
+    all documents hold each of these words.
     No labelled rows: every score is 0; labels of one class: their rate."""
     got = labelled(docs, labels, label, remainder, modulus, most, {"text": F.col("text")}).toArrow()
     texts = got.column("text").combine_chunks()
@@ -206,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", remainder: int
     label_of = np.array(got.column("_y").to_pylist(), np.int64)
     del got, texts
     doc, term = np.concatenate(doc), np.concatenate(term)
-    model = NearestExamples(ids, label_of, doc, term)
+    model = NearestExamples(ids, label_of, doc, term, document_frequencies(docs, np.unique(term)))
     del doc, term
     release()
     return model
