@@ -11,7 +11,8 @@
    Neighbours with `length` bytes in common are repeated windows; a segment that stands for several occurrences
    repeats by itself. Columns are stored and passed through in sequence; a task holds a bounded number of segments.
 3. The repeated windows go back to all occurrences of their segments, and documents drop the bytes these cover.
-A gram in very many different segments is split further by the bytes that all windows of a range of columns share.
+A gram in very many different segments is split further by the bytes that all windows of a range of columns share; if
+they are too many even so, by single columns, where the bytes shared are the window and equal windows alone meet.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import pieces, prefix_hash, range_hash, release, slices, written
+from corvane.llm.common import dropped, pieces, prefix_hash, range_hash, release, slices, written
 
 LENGTH, GRAM = 200, 32
-#: Different segments of one gram that a task compares together; more are split by shared cores of RANGE columns.
-MOST, RANGE = 4000, 16
+#: Different segments of one gram that a task compares together; more are split by shared cores of RANGE columns, and more
+#: than FAR_MORE by single windows.
+MOST, FAR_MORE, RANGE = 4000, 64_000, 16
+#: The crowded grams are broadcast up to this number, and joined by a shuffle beyond it.
+BROADCAST_GRAMS = 100_000
 #: Segments that are sorted at once.
 CHUNK = 12_000
 #: Bytes of a document that are searched for anchors at once.
@@ -114,18 +119,19 @@ def _cut(length: int):
                 a, text = start[k], texts[o]
                 ranges = [(0, more[k], gram[k])]
                 if crowded[k]:
-                    ranges, w = [], 0
+                    ranges, w, wide = [], 0, RANGE if crowded[k] == 1 else 1
                     while w <= more[k]:  # windows by their column, counted back from the anchor
                         column = rel[k] - w
-                        z = min(more[k], w + column % RANGE)
-                        lo = column - column % RANGE
-                        # every window of these columns holds the bytes from column lo + RANGE - 1 on down; the core is what all share
-                        core = text[a + rel[k] - lo : a + rel[k] - (lo + RANGE - 1) + length]
+                        z = min(more[k], w + column % wide)
+                        lo = column - column % wide
+                        # every window of these columns holds the bytes from column lo + wide - 1 on down; the core is what all share
+                        core = text[a + rel[k] - lo : a + rel[k] - (lo + wide - 1) + length]
                         key = int.from_bytes(hashlib.blake2b(core + lo.to_bytes(4, "little") + gram[k].to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
                         ranges.append((w, z, key))
                         w = z + 1
                 for w, z, key in ranges:
-                    piece = text[a + w : a + z + length]
+                    # the key of a single window tells all its bytes
+                    piece = text[a + w : a + z + length] if crowded[k] < 2 else b""
                     for col, v in zip(out, (key, gram[k], digest[k], w, rel[k] - w, times[k], piece), strict=True):
                         col.append(v)
                     size += len(piece)
@@ -191,6 +197,21 @@ def repeated_windows(group: np.ndarray, rel: np.ndarray, times: np.ndarray, data
 
 def _sort(length: int):
     def work(t: pa.Table):
+        single = pc.binary_length(t.column("bytes")).to_numpy() == 0
+        out = []
+        if single.any():
+            # one column, whose windows are equal: each has the whole length in common with its neighbours
+            s = t.filter(pa.array(single))
+            key = s.column("key").to_numpy()
+            equal = key[1:] == key[:-1]
+            s = s.filter(pa.array(np.concatenate(([False], equal)) | np.concatenate((equal, [False])) | (s.column("times").to_numpy() > 1)))
+            base = s.column("base").to_numpy()
+            out.append(pa.RecordBatch.from_arrays([pa.array(s.column("gram").to_numpy()), pa.array(s.column("digest").to_numpy()), pa.array(base), pa.array(base + np.int32(length))], names=["gram", "digest", "lo", "hi"]))
+        if not single.all():
+            out.append(sort(t.filter(pa.array(~single))))
+        return out
+
+    def sort(t: pa.Table):
         key, gram, digest = (t.column(c).to_numpy() for c in ("key", "gram", "digest"))
         # a segment that several pieces of one key stand for counts once, with all its occurrences
         order = np.lexsort((digest, key))
@@ -224,12 +245,17 @@ def _sort(length: int):
             done = 0
             while len(cuts) and cuts[-1] > done:  # whole keys, about CHUNK segments at a time
                 k = min(np.searchsorted(cuts, done + CHUNK), len(cuts) - 1)
-                yield work(t.slice(done, cuts[k] - done))
+                yield from work(t.slice(done, cuts[k] - done))
                 done = cuts[k]
-            held = t.slice(done).combine_chunks().to_batches()
-            n = t.num_rows - done
+            t = t.slice(done)
+            if t.num_rows >= CHUNK and not len(t.column("bytes")[0].as_py()):
+                # equal windows without end: all but the last go, which from here on counts as one that has a neighbour
+                yield from work(t.slice(0, t.num_rows - 1))
+                t = t.slice(t.num_rows - 1).set_column(t.schema.get_field_index("times"), "times", pa.array([2], pa.int64()))
+            held = t.combine_chunks().to_batches()
+            n = t.num_rows
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
@@ -268,25 +294,33 @@ def _remove(length: int, texts: bool):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_rk, cuts): for each row key (hash of doc_id and text) with repeated bytes, its pieces as lists of (lo, hi)."""
+    """(_rk, cuts), a written table: for each row key (hash of doc_id and text) with repeated bytes, its pieces as lists of
+    (lo, hi). Null and short texts, and an empty table, give no rows; repeated rows share one, whose texts repeat each other."""
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("_rk")).where(F.octet_length("text") >= length)
-    found = written(keyed.mapInArrow(_find(length), "_rk long, gram long, digest long, start int, more int, rel int"), "segments")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    segments = written(keyed.mapInArrow(_find(length), "_rk long, gram long, digest long, start int, more int, rel int"), "segments")
+    twice = segments.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     # Written, so that both sides of the join are plain shuffles, whose crowded partitions Spark can split.
     twice = written(twice, "twice")
-    found = written(found.join(twice, "gram", "left_semi"), "candidates")
+    found = written(segments.join(twice, "gram", "left_semi"), "candidates")
+    dropped(segments)
+    dropped(twice)
     unique = found.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_rk", "start", "more", "rel")).alias("x"))
     unique = written(unique.select("gram", "digest", "times", "x.*"), "unique")
-    crowd = unique.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select("gram", F.lit(True).alias("crowded"))
-    asked = unique.join(crowd, "gram", "left").groupBy("_rk").agg(
-        F.collect_list(F.struct("start", "more", "rel", "gram", "digest", "times", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("segs")
-    )
+    crowd = unique.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+    crowd = written(crowd.select("gram", F.when(F.col("n") > FAR_MORE, 2).otherwise(1).alias("crowded")), "crowd")
+    told = unique.join(F.broadcast(crowd) if crowd.count() <= BROADCAST_GRAMS else crowd, "gram", "left")
+    asked = told.groupBy("_rk").agg(F.collect_list(F.struct("start", "more", "rel", "gram", "digest", "times", F.coalesce("crowded", F.lit(0)).alias("crowded"))).alias("segs"))
     one = keyed.join(asked, "_rk").select("_rk", "text", "segs")
-    pieces = one.mapInArrow(_cut(length), "key long, gram long, digest long, base int, rel int, times long, bytes binary")
-    runs = written(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "gram long, digest long, lo int, hi int"), "runs")
+    cut = one.mapInArrow(_cut(length), "key long, gram long, digest long, base int, rel int, times long, bytes binary")
+    runs = written(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "gram long, digest long, lo int, hi int"), "runs")
+    dropped(unique)
+    dropped(crowd)
     spans = found.join(runs, ["gram", "digest"]).select("_rk", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     # A row that is there several times gives its pieces several times; sets are bounded by the text.
-    return spans.groupBy("_rk").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    cuts = written(spans.groupBy("_rk").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")), "cuts")
+    dropped(found)
+    dropped(runs)
+    return cuts
 
 
 def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
@@ -294,14 +328,15 @@ def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFra
 
     A byte goes if it lies in a string of `length` UTF-8 bytes that also starts at another place of any row, the
     same one included; places overlap, and all are judged on the input. Null texts count as empty, texts shorter
-    than `length` stay whole, repeated rows are copies of each other. kept_text puts the rest together; where a
+    than `length` stay whole, null ids are ids like others, repeated rows are copies of each other, an empty table gives no
+    rows. Columns of docs with the names of the new ones give way to them. kept_text puts the rest together; where a
     cut splits a character its bytes become U+FFFD. texts=False leaves kept_text null.
     """
-    cuts = written(repeats(docs, length), "cuts").select(F.col("_rk").alias("_cv_rk"), F.col("cuts").alias("_cv_cuts"))
+    cuts = repeats(docs, length).select(F.col("_rk").alias("_cv_rk"), F.col("cuts").alias("_cv_cuts"))
     joined = docs.withColumn("_cv_rk", F.xxhash64("doc_id", "text")).join(cuts, "_cv_rk", "left")
-    rest = [c for c in docs.columns if c != "text"]
-    joined = joined.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("_cv_text"), "_cv_cuts")
     extra = [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))]
+    rest = [c for c in docs.columns if c != "text" and c not in {f.name for f in extra}]
+    joined = joined.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("_cv_text"), "_cv_cuts")
     return joined.mapInArrow(_remove(length, texts), T.StructType([f for f in joined.schema if f.name not in ("_cv_text", "_cv_cuts")] + extra))
 
 
