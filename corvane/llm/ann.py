@@ -22,8 +22,10 @@ from corvane.llm.ngram_join import _groups
 FIT_ROWS = 20_000
 MOST_LISTS, ROUNDS = 4096, 8
 #: Dimensions of a code's part, centroids of a codebook, share of lists opened, candidates reranked in a group.
-PART, CODES, OPEN, RERANK = 2, 64, 0.7, 200
+PART, CODES, OPEN, RERANK = 4, 256, 0.55, 200
 GROUP_ROWS, QUERY_ROWS = 16_384, 2_048
+#: A query opens lists until they hold so many vectors more than it returns; its own rows may be among them.
+SPARE = 100
 
 
 def usable(v: Column) -> Column:
@@ -49,8 +51,9 @@ def k_means(x: np.ndarray, k: int, seed: int = 5, rounds: int = ROUNDS) -> np.nd
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int64)
     half = (c * c).sum(axis=1) / 2
-    for lo in range(0, len(x), 4096):
-        out[lo : lo + 4096] = (x[lo : lo + 4096] @ c.T - half).argmax(axis=1)
+    step = max(64, 2_000_000 // len(c))  # bounds the temporary
+    for lo in range(0, len(x), step):
+        out[lo : lo + step] = (x[lo : lo + step] @ c.T - half).argmax(axis=1)
     return out
 
 
@@ -77,7 +80,7 @@ def fit(vectors: DataFrame, rows: int) -> Index | None:
     if not got.num_rows:
         return None
     x = np.array(got.column("v").combine_chunks().flatten().to_numpy()).reshape(got.num_rows, -1)
-    c = k_means(x, max(1, min(MOST_LISTS, int(np.sqrt(rows)), len(x) // 8)))
+    c = k_means(x, max(1, min(MOST_LISTS, int(4 * np.sqrt(rows)), len(x) // 8)))
     r = x - c[nearest(x, c)]
     edges = [*range(0, x.shape[1], PART), x.shape[1]]
     return Index(c, [k_means(r[:, a:b], CODES, a) for a, b in zip(edges[:-1], edges[1:], strict=True)], edges)
@@ -100,8 +103,9 @@ def _encode(sent):
     return run
 
 
-def _open(sent, group_of: np.ndarray, cut: np.ndarray, share: float):
-    """Each query once for every group that holds a list it opens, with the lists."""
+def _open(sent, group_of: np.ndarray, cut: np.ndarray, sizes: np.ndarray, share: float, least: int):
+    """Each query once for every group that holds a list it opens, with the lists: a share of all, and as many as it takes
+    to hold `least` vectors."""
 
     def run(batches):
         index = sent.value
@@ -111,7 +115,9 @@ def _open(sent, group_of: np.ndarray, cut: np.ndarray, share: float):
                 continue
             q = _matrix(b.column("v"), index.dim)
             ids = b.column("vec_id").to_pylist()
-            best = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :n]
+            near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
+            held = np.cumsum(sizes[near], axis=1)
+            best = [near[i, : max(n, int(np.searchsorted(held[i], least)) + 1)] for i in range(len(near))]
             rows, gs, cs, ls = [], [], [], []
             for i in range(len(ids)):
                 g = group_of[best[i]]
@@ -166,7 +172,8 @@ def _search(sent, k: int):
                         sure, tied = at[near > least], at[near == least]
                         at = np.concatenate((sure, tied[np.argsort(ids[tied], kind="stable")[: RERANK - len(sure)]]))
                     at = at[ids[at] != q_ids[i]]
-                    exact = x[at] @ q[i]
+                    # row by row in one order of additions, so that equal vectors have equal scores wherever they stand
+                    exact = (x[at] * q[i]).sum(axis=1)
                     best = np.lexsort((ids[at], -exact))[:k]
                     out_q += [q_ids[i]] * len(best)
                     out_v.append(ids[at][best])
@@ -182,8 +189,8 @@ def neighbours(table: DataFrame, queries: Column, k: int = 20, share: float = OP
     that `queries` picks, among all rows with another id; ties go to the smaller vec_id.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of another
-    dimension than most, nor null ids. A repeated id is several candidates, and asks once. Fewer than k
-    candidates: all that the opened lists hold. An empty table gives no rows.
+    dimension than most, nor null ids. A repeated id is several candidates, and asks once, with the least of its vectors. Fewer
+    than k candidates: all that there are. An empty table gives no rows. Other columns are ignored.
     """
     spark = table.sparkSession
     good = table.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -209,8 +216,8 @@ def neighbours(table: DataFrame, queries: Column, k: int = 20, share: float = OP
         held += sizes[at]
     places = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(group_of, cut, strict=True))], "list int, g int, cut int")
     rows = coded.join(F.broadcast(places), "list").select("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("cut").cast("long")).cast("int").alias("c"), "vec_id", "list", "code", "v")
-    asking = good.where(queries).dropDuplicates(["vec_id"])
-    asks = asking.mapInArrow(_open(sent, group_of, cut, share), "g int, c int, vec_id long, code binary, v array<double>")
+    asking = good.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asks = asking.mapInArrow(_open(sent, group_of, cut, sizes, share, k + SPARE), "g int, c int, vec_id long, code binary, v array<double>")
     blocks = asks.groupBy("g", "c").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("_b"))
     asks = asks.join(blocks, ["g", "c"]).select("g", "c", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("_b").cast("long")).cast("int").alias("qb"), F.lit(True).alias("query"), "vec_id", F.lit(None).cast("int").alias("list"), "code", "v")
     rows = rows.join(blocks, ["g", "c"]).select("g", "c", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("qb"), F.lit(False).alias("query"), "vec_id", "list", "code", "v")
