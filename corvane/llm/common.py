@@ -66,6 +66,14 @@ def unit(text: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def row_hashes(df: DataFrame) -> Column:
+    """A struct of two 64-bit hashes of all columns: equal rows, equal hashes. Maps, which Spark doesn't hash, go as JSON."""
+    cols = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    # A null leaves a hash as it was, so which columns are null is hashed too.
+    nulls = F.concat_ws("", *[F.when(c.isNull(), "n").otherwise("v") for c in cols])
+    return F.struct(F.xxhash64(nulls, *cols).alias("a"), F.xxhash64(F.lit(1), nulls, *cols).alias("b"))
+
+
 def document_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text; null ids count as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

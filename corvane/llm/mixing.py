@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, unit
+from corvane.llm.common import WORD, row_hashes, unit, written
 
 #: A size class of a source is numbered in this many parts, so that no task sorts a whole class.
-PARTS = 64
+PARTS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -60,9 +60,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     own = [key] if key else []
     name = F.when(F.col("source").isNull(), "z").otherwise(F.concat(F.lit("s"), F.col("source")))
     rows = docs.select("doc_id", *own, name.alias("_source"), word_count(F.col("text")).alias("size"))
-    once = rows.groupBy("doc_id", *own, "_source", "size").agg(F.count(F.lit(1)).alias("_n"))
+    # Written, as counts and ranks both read it: texts are read and counted once.
+    once = written(rows.groupBy("doc_id", *own, "_source", "size").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    once = once.select("*", size_class(F.col("size")).alias("_class"), digest.alias("_h"), (F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % PARTS).alias("_part"))
+    once = once.select("*", size_class(F.col("size")).alias("_class"), digest.alias("_h"), (F.conv(F.substring(digest, 1, 3), 16, 10).cast("int") % PARTS).alias("_part"))
     counts = once.groupBy("_source", "_class", "_part").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("size")).alias("_words"))
     classes = counts.groupBy("_source", "_class").agg(F.sum("_m").alias("_k"), F.sum("_words").alias("_words"))
     totals = classes.groupBy("_source").agg(F.sum("_words").alias("source_size"))
@@ -88,11 +89,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """The mix itself: every row of docs as often as mix() takes it, with all its columns, whatever their names."""
-    keyed = docs.withColumn("_cv_rk", F.xxhash64("doc_id", "source", "text"))
+    """The mix itself: every row of docs as often as mix() takes it, with all its columns, whatever their names.
+
+    Rows alike in all columns count as one that is there several times; null ids, texts and sources, repeated rows and
+    empty tables are dealt with as in mix(). Rows are told apart by two 64-bit hashes of all columns."""
+    keyed = docs.withColumn("_cv_rk", row_hashes(docs))
     counted = mix(keyed.select("doc_id", "source", "text", "_cv_rk"), weights, share, most, seed, "_cv_rk")
     copies = counted.groupBy("_cv_rk").agg(F.sum("copies").alias("_cv_copies"), F.count(F.lit(1)).alias("_cv_rows")).where("_cv_copies > 0")
-    # Rows alike in id, source and text count as one with all their copies.
+    # Rows that are there several times go through one of them, with all their copies.
     joined = keyed.join(copies, "_cv_rk")
     alike = joined.where("_cv_rows > 1").dropDuplicates(["_cv_rk"])
     chosen = joined.where("_cv_rows = 1").unionByName(alike)

@@ -136,7 +136,7 @@ WITH d AS (
 c AS (
   SELECT *, CASE WHEN size < 64 THEN size ELSE length(bin(size)) * 64 + (size >> CAST(length(bin(size)) - 6 AS INT)) END AS cls FROM d),
 r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY cls, CAST('0x' || substr(h, 1, 2) AS INT) % 64, h, doc_id, size) - 1 AS DOUBLE) AS rk,
+  SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY cls, CAST('0x' || substr(h, 1, 3) AS INT) % 4096, h, doc_id, size) - 1 AS DOUBLE) AS rk,
          CAST(sum(size) OVER (PARTITION BY k) AS BIGINT) AS source_size
   FROM c),
 t0 AS (
