@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import unit
+from corvane.llm.common import unit, written
 
 #: Slots are numbered within this many hash ranges of each shard, so that no task sorts a whole shard.
 RANGES = 1024
@@ -39,7 +39,8 @@ def place(docs: DataFrame, weights: Sequence[float], grown: Sequence[float]) ->
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
     )
-    once = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    # Written, as counts and slots both read it: texts are read once.
+    once = written(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n")), "keys")
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
     once = once.select(
         "*",
