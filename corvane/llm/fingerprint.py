@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import written
 
-SAMPLES = 128
+SAMPLES = 96
 #: Draws that the generated code makes at once: few enough for the JVM to compile it.
-BLOCK = 4
+BLOCK = 3
 #: Rows of a range of doc_ids whose texts a task orders together, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 15
 
@@ -44,23 +44,26 @@ def _fitted(f, degree: int = 4) -> tuple[float, ...]:
 _LOG, _EXP = _fitted(lambda z: -np.log2(1 - z / 2) / z), _fitted(lambda z: 2.0**-z)
 
 
-def _draw(i: int) -> tuple[dict[str, str], dict[str, str], str]:
-    """SQL of draw i in two layers, and of its a, from the hashes _p and _q of term and draw.
+def _draw(i: int) -> tuple[list[dict[str, str]], str]:
+    """SQL of draw i, layer by layer, and of its a, from the hashes _p and _q of term and draw.
 
     -log2 of a uniform number is a geometric number, the trailing zeros of some bits, plus -log2(1 - z / 2); so no logarithm
     is taken. Bits of _p: 20 of zeros and 16 of z for e1, 12 and 16 for e2; of _q: 10 and 22 for each of e3 and e4."""
     p, q = f"_p{i}", f"_q{i}"
-    bits, fraction = {}, {}
-    for name, h, at, zeros, z_at, z_bits in (("1", p, 0, 20, 20, 16), ("2", p, 36, 12, 48, 16), ("3", q, 0, 10, 20, 22), ("4", q, 10, 10, 42, 22)):
+    bits = {}
+    for k, h, at, zeros, z_at, z_bits in ((1, p, 0, 20, 20, 16), (2, p, 36, 12, 48, 16), (3, q, 0, 10, 20, 22), (4, q, 10, 10, 42, 22)):
         field = f"(({h} >>> {at}) | {1 << zeros}L)"
-        bits[f"_l{name}_{i}"] = f"{field} & -{field}"  # the lowest bit
-        fraction[f"_z{name}_{i}"] = f"((({h} >>> {z_at}) & {(1 << z_bits) - 1}L) + 0.5D) * {2.0**-z_bits!r}D"
-    e = [f"(bit_count(_l{k}_{i} - 1L) + _z{k}_{i} * {_horner(_LOG, f'_z{k}_{i}')})" for k in "1234"]
-    r = f"({e[0]} + {e[1]})"
-    x = f"({r} * floor((_lw + {e[1]}) / {r}))"
-    shrunk = f"{_horner(_EXP, f'({x} - floor({x}))')} / shiftleft(1L, cast(floor({x}) as int))"
-    first = f"({e[2]} + {e[3]}) * (1D - 0.5D * _z1_{i}) / _l1_{i}"
-    return bits, fraction, f"{first} * (case when _lw > 0D then {shrunk} else 1D end)"
+        bits[f"_m{k}_{i}"] = f"({field} - 1L) & ~{field}"  # as many ones as there are trailing zeros
+        bits[f"_z{k}_{i}"] = f"((({h} >>> {z_at}) & {(1 << z_bits) - 1}L) + 0.5D) * {2.0**-z_bits!r}D"
+    e = {k: f"bit_count(_m{k}_{i}) + _z{k}_{i} * {_horner(_LOG, f'_z{k}_{i}')}" for k in (1, 2, 3, 4)}
+    numbers = {
+        f"_c{i}": f"({e[3]} + {e[4]}) * (1D - 0.5D * _z1_{i}) / (_m1_{i} + 1D)",  # c exp(-e1)
+        f"_r{i}": f"case when _lw > 0D then {e[1]} + {e[2]} else 1D end",
+        f"_e{i}": f"case when _lw > 0D then {e[2]} else 0D end",
+    }
+    x = {f"_x{i}": f"_r{i} * floor((_lw + _e{i}) / _r{i})"}
+    whole = {f"_n{i}": f"floor(_x{i})"}
+    return [bits, numbers, x, whole], f"_c{i} * {_horner(_EXP, f'(_x{i} - _n{i})')} / shiftleft(1L, cast(_n{i} as int))"
 
 
 def signatures(texts: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -74,9 +77,9 @@ def signatures(texts: DataFrame, text: str, keys: list[str], samples: int = SAMP
     now = now.select(*keys, "_block", "_lw", F.xxhash64("_t", "_block").alias("_h"))
     now = now.select(*keys, "_block", "_lw", *[F.xxhash64("_h", F.lit(2 * i + k)).alias(f"_{n}{i}") for i in range(BLOCK) for k, n in enumerate("pq")])
     draws = [_draw(i) for i in range(BLOCK)]
-    for k in (0, 1):
-        now = now.withColumns({n: F.expr(e) for d in draws for n, e in d[k].items()})
-    return now.groupBy(*keys, "_block").agg(*[F.min(F.expr(d[2])).alias(f"_s{i}") for i, d in enumerate(draws)])
+    for k in range(4):
+        now = now.withColumns({n: F.expr(e) for d in draws for n, e in d[0][k].items()})
+    return now.groupBy(*keys, "_block").agg(*[F.min(F.expr(d[1])).alias(f"_s{i}") for i, d in enumerate(draws)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:

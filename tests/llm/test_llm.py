@@ -217,7 +217,7 @@ def test_collisions_estimate_generalised_jaccard(spark):
     a, b = "x x x y z " * 20 + "q " * 30, "x x y y w " * 20 + "q " * 50
     ca, cb = Counter(a.split()), Counter(b.split())
     true = sum((ca & cb).values()) / sum((ca | cb).values())
-    s = drawn(spark.createDataFrame([(0, a), (1, b)], "k int, t string"), ["k"], 400)
+    s = drawn(spark.createDataFrame([(0, a), (1, b)], "k int, t string"), ["k"], 402)
     assert abs(np.mean(s[0,] == s[1,]) - true) < 0.09
 
 
