@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import written
 
-SAMPLES = 96
+SAMPLES = 60
 #: Draws that the generated code makes at once: few enough for the JVM to compile it.
 BLOCK = 3
 #: Rows of a range of doc_ids whose texts a task orders together, and the most ranges there are.
@@ -45,39 +45,42 @@ _LOG, _EXP = _fitted(lambda z: -np.log2(1 - z / 2) / z), _fitted(lambda z: 2.0**
 
 
 def _draw(i: int) -> tuple[list[dict[str, str]], str]:
-    """SQL of draw i, layer by layer, and of its a, from the hashes _p and _q of term and draw.
+    """SQL of draw i, layer by layer, and of its a, from the hash _h of term and block; _lw is the logarithm of the weight.
 
     -log2 of a uniform number is a geometric number, the trailing zeros of some bits, plus -log2(1 - z / 2); so no logarithm
-    is taken. Bits of _p: 20 of zeros and 16 of z for e1, 12 and 16 for e2; of _q: 10 and 22 for each of e3 and e4."""
-    p, q = f"_p{i}", f"_q{i}"
+    is taken. One hash has 12 bits of zeros and 12 of z for e1 and 8 and 12 for each of e3 and e4; terms of a weight above 1
+    have another, with 24 and 32 for e2."""
+    h = f"_g{i}"
     bits = {}
-    for k, h, at, zeros, z_at, z_bits in ((1, p, 0, 20, 20, 16), (2, p, 36, 12, 48, 16), (3, q, 0, 10, 20, 22), (4, q, 10, 10, 42, 22)):
+    for k, at, zeros, z_at, z_bits in ((1, 0, 12, 12, 12), (3, 24, 8, 32, 12), (4, 44, 8, 52, 12)):
         field = f"(({h} >>> {at}) | {1 << zeros}L)"
         bits[f"_m{k}_{i}"] = f"({field} - 1L) & ~{field}"  # as many ones as there are trailing zeros
         bits[f"_z{k}_{i}"] = f"((({h} >>> {z_at}) & {(1 << z_bits) - 1}L) + 0.5D) * {2.0**-z_bits!r}D"
-    e = {k: f"bit_count(_m{k}_{i}) + _z{k}_{i} * {_horner(_LOG, f'_z{k}_{i}')}" for k in (1, 2, 3, 4)}
+    e = {k: f"bit_count(_m{k}_{i}) + _z{k}_{i} * {_horner(_LOG, f'_z{k}_{i}')}" for k in (1, 3, 4)}
+    other = f"(xxhash64({h}) | 16777216L)"
+    z = f"((({other} >>> 32) + 0.5D) * {2.0**-32!r}D)"
     numbers = {
         f"_c{i}": f"({e[3]} + {e[4]}) * (1D - 0.5D * _z1_{i}) / (_m1_{i} + 1D)",  # c exp(-e1)
-        f"_r{i}": f"case when _lw > 0D then {e[1]} + {e[2]} else 1D end",
-        f"_e{i}": f"case when _lw > 0D then {e[2]} else 0D end",
+        f"_a{i}": f"case when _lw > 0D then {e[1]} else 1D end",
+        f"_b{i}": f"case when _lw > 0D then bit_count(({other} - 1L) & ~{other}) + {z} * {_horner(_LOG, z)} else 0D end",
     }
-    x = {f"_x{i}": f"_r{i} * floor((_lw + _e{i}) / _r{i})"}
-    whole = {f"_n{i}": f"floor(_x{i})"}
-    return [bits, numbers, x, whole], f"_c{i} * {_horner(_EXP, f'(_x{i} - _n{i})')} / shiftleft(1L, cast(_n{i} as int))"
+    x = {f"_x{i}": f"case when _lw > 0D then (_a{i} + _b{i}) * floor((_lw + _b{i}) / (_a{i} + _b{i})) else 0D end"}
+    shrunk = f"_c{i} * {_horner(_EXP, f'(_x{i} - floor(_x{i}))')} / shiftleft(1L, cast(floor(_x{i}) as int))"
+    return [bits, numbers, x], f"case when _x{i} > 0D then {shrunk} else _c{i} end"
 
 
 def signatures(texts: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys, _block and _s, the least a of each draw of the block; no rows for a text without words. keys tell rows apart."""
     if samples % BLOCK:
         raise ValueError(f"samples must be a multiple of {BLOCK}")
-    words = texts.select(*keys, F.explode(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")).alias("_word")).where("_word <> ''")
-    terms = words.select(*keys, F.xxhash64("_word").alias("_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_w"))
-    terms = terms.select(*keys, "_t", F.log2("_w").alias("_lw"))
+    each = texts.select(*keys, F.explode(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")).alias("_word")).where("_word <> ''")
+    terms = each.select(*keys, F.xxhash64("_word").alias("_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_w"))
+    terms = terms.select(*keys, "_t", F.when(F.col("_w") > 1, F.log2("_w")).otherwise(0.0).alias("_lw"))
     now = terms.select(*keys, "_t", "_lw", F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("_block"))
     now = now.select(*keys, "_block", "_lw", F.xxhash64("_t", "_block").alias("_h"))
-    now = now.select(*keys, "_block", "_lw", *[F.xxhash64("_h", F.lit(2 * i + k)).alias(f"_{n}{i}") for i in range(BLOCK) for k, n in enumerate("pq")])
+    now = now.select(*keys, "_block", "_lw", *[F.xxhash64("_h", F.lit(i)).alias(f"_g{i}") for i in range(BLOCK)])
     draws = [_draw(i) for i in range(BLOCK)]
-    for k in range(4):
+    for k in range(3):
         now = now.withColumns({n: F.expr(e) for d in draws for n, e in d[0][k].items()})
     return now.groupBy(*keys, "_block").agg(*[F.min(F.expr(d[1])).alias(f"_s{i}") for i, d in enumerate(draws)])
 
@@ -131,7 +134,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         then = heads.select("_range").select("_range", F.lead("_range").over(ahead).alias("_then"), F.first("_range").over(ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_least"))
         then = then.select("_range", F.coalesce("_then", "_least").alias("_then"))
         nexts = then.join(heads.select(F.col("_range").alias("_then"), F.col(value).alias("_head")), "_then").select("_range", "_head")
-        return df.join(nexts, "_range").withColumn(into, F.when(F.col("_is_last"), F.col("_head")).otherwise(F.col("_led"))).drop("_is_last", "_led", "_head")
+        # merged, so that rows stay where they are: by their range
+        return df.join(nexts.hint("merge"), "_range").withColumn(into, F.when(F.col("_is_last"), F.col("_head")).otherwise(F.col("_led"))).drop("_is_last", "_led", "_head")
 
     placed = rows.select("_range", "doc_id", "_text", F.row_number().over(within).alias("_row"), F.lead("_text").over(within).alias("_led"), F.lead(F.lit(False), 1, True).over(within).alias("_is_last"))
     heads = rows.withColumn("_row", F.row_number().over(within)).where("_row = 1").select("_range", "_text")

@@ -204,8 +204,8 @@ def test_draws_are_those_of_gamma_numbers(spark):
             each = []
             for word, w in Counter(text.lower().split()).items():
                 h = int_hash(block, long_hash(signed(xxhash.xxh64_intdigest(word.encode(), seed=42))))
-                p, q = (int_hash(2 * i + j, long_hash(h)) for j in (0, 1))
-                e1, e2, c = exponential(p, 0, 20, 20, 16), exponential(p, 36, 12, 48, 16), exponential(q, 0, 10, 20, 22) + exponential(q, 10, 10, 42, 22)
+                g = int_hash(i, long_hash(h))
+                e1, e2, c = exponential(g, 0, 12, 12, 12), exponential(long_hash(g), 0, 24, 32, 32), exponential(g, 24, 8, 32, 12) + exponential(g, 44, 8, 52, 12)
                 r = e1 + e2
                 t = math.floor(math.log(w) / r + e2 / r)
                 each.append(c * math.exp(-r * (t - e2 / r + 1)))
