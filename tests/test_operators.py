@@ -291,3 +291,21 @@ def test_calls_find_definitions_across_bins(spark):
     got = {r["pos"]: r["caller"] for r in graph.enclosing_definition(calls, defs).collect()}
     assert got == {50: "wide", graph.BIN - 1: "in", graph.BIN: "in", graph.BIN + 5: "wide", 10 * graph.BIN: None, None: None}
     assert graph.enclosing_definition(calls.limit(0), defs).count() == 0
+
+
+def test_walks_of_tasks_and_rules_from_above(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "conf"))
+    texts = {"conf/git/ignore": "*.tmp\n", "repo/.git/info/exclude": "secret\n", "repo/.gitignore": "/sub/gone.py\n*.log\n!keep.log\n", ".ignore": "*.bak\n", ".gitignore": "*.py\n"}
+    texts |= {f"repo/sub/{n}": "x" for n in ("gone.py", "a.py", "b.log", "keep.log", "c.tmp", "d.bak", "secret", "deep/gone.py", "deep/e/f.py", "deep/g.log")}
+    for p, t in texts.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    root = str(tmp_path / "repo" / "sub")
+    want = ["a.py", "deep/e/f.py", "deep/gone.py", "keep.log"]
+    assert sorted(r[0] for r in tree.walk(root)) == want
+    monkeypatch.setattr(tree, "FOLDERS", 1)
+    for roots in ([root], [root, str(tmp_path / "repo" / "sub" / "a.py")]):
+        got = tree.manifest(spark, roots)
+        assert sorted(r["path"] for r in got.collect()) == sorted(want + ["a.py"] * (len(roots) - 1))
+    assert sorted(r["path"] for r in tree.manifest(spark, [root], ignore=False).collect()) == sorted(n for n in (p.removeprefix("repo/sub/") for p in texts if p.startswith("repo/sub/")))
+    assert sorted(r["path"] for r in tree.contents(tree.manifest(spark, [root])).collect()) == want
