@@ -19,14 +19,22 @@ def words() -> Counter:
     return lambda text: sum(1 for _ in pattern.finditer(text))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def _tokenizer(spec: str):
+    """A worker's tokenizer of a specification, built once."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(spec)
+
+
 def tokenizer_file(path: str) -> Callable[[], Counter]:
-    """A counter from a tokenizers file, without added special tokens."""
+    """A counter from a tokenizers file, without added special tokens. The driver reads the file, whose size its format bounds,
+    and sends it with the tasks."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
 
     def make() -> Counter:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
+        t = _tokenizer(spec)
         return lambda text: len(t.encode(text, add_special_tokens=False).ids)
 
     return make

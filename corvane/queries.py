@@ -13,6 +13,7 @@ from corvane.operators import filters as S
 from corvane.operators import graph as G
 from corvane.operators import index as I
 from corvane.operators import pack as K
+from corvane.operators import tokens as T
 from corvane.operators import web as W
 from corvane.plans.adapters import duckdb, view
 
@@ -246,6 +247,19 @@ def summary(spark, sf_dir):
     return files(spark, sf_dir).where(S.should_process(F.col("path"), F.col("size"))).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
 
 
+@query("token_total", f"SELECT CAST(sum(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS tokens, count(*) AS files FROM {V_FILES}")
+def token_total(spark, sf_dir):
+    return T.total(T.count(files(spark, sf_dir), T.words))
+
+
+@query("model_tokens")
+def model_tokens(spark, sf_dir):
+    """Tokens of whole texts by a byte-pair vocabulary."""
+    import public_tokenizers
+
+    return T.count(files(spark, sf_dir), T.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query("token_top15", f"SELECT path, CAST(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM {V_FILES} ORDER BY tokens DESC, path LIMIT 15")
 def token_top15(spark, sf_dir):
     counted = files(spark, sf_dir).select("path", F.regexp_count("content", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane import cli
 from corvane.functions import paths
 from corvane.operators import extract, graph, index, pack, tokens, web
+from corvane.plans.adapters import view
 from corvane.queries import ORACLE_SQL, QUERIES
 from corvane.sources import config, pdf, tree
 from corvane.streaming.reindex import current, reindex
@@ -309,3 +310,13 @@ def test_walks_of_tasks_and_rules_from_above(spark, tmp_path, monkeypatch):
         assert sorted(r["path"] for r in got.collect()) == sorted(want + ["a.py"] * (len(roots) - 1))
     assert sorted(r["path"] for r in tree.manifest(spark, [root], ignore=False).collect()) == sorted(n for n in (p.removeprefix("repo/sub/") for p in texts if p.startswith("repo/sub/")))
     assert sorted(r["path"] for r in tree.contents(tree.manifest(spark, [root])).collect()) == want
+
+
+def test_model_tokens_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["path"]: r["content"] for r in view(spark, SF, "files").collect()}
+    got = {r["path"]: r["tokens"] for r in QUERIES["model_tokens"](spark, SF).collect()}
+    assert got == {p: len(t.encode(x or "", add_special_tokens=False).ids) for p, x in texts.items()}
