@@ -1,9 +1,11 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine of whole texts.
 
 All terms of the examples lie in an inverted index whose examples stand in blocks of like ones; it holds the largest
-weight of each term in each block. A document's weights and these maxima bound its cosines with a block's examples.
-Blocks are scored from the largest bound on, until no bound reaches the last of the nearest found so far, so the
-neighbours are exactly the nearest. Document frequencies are those of all documents; a term that no example holds counts
+weight of each term in each block. The few terms that many examples share stand in a matrix instead, and a group of
+documents meets them in one product. Its largest value in a block and the maxima of the other terms bound a document's
+cosines with the block's examples.
+Blocks of the largest bounds are scored first, then those whose bound reaches the last of the nearest found so far, so
+the neighbours are exactly the nearest. Document frequencies are those of all documents; a term that no example holds counts
 for a document's norm with the idf of no document. The neighbours vote, weighted by distance; so do those found by the terms that tell the labels apart alone.
 Both votes are calibrated together on the examples themselves, each left out of its own search.
 """
@@ -21,10 +23,10 @@ from corvane.llm.quality import labelled
 #: Examples that the index takes at most: those with the smallest hashes of their ids.
 FIT_ROWS = 8_000
 NEAREST, GROUP = 24, 128
-#: Terms that at least this share of the examples holds are common: their weights and maxima stand in matrices.
-COMMON = 0.1
+#: Terms that at least this share of the examples holds are common: their weights stand in a matrix.
+COMMON = 0.05
 #: Examples of a block, blocks scored first, and groups of like examples that blocks are cut from.
-BLOCK, FIRST, LIKE = 64, 4, 32
+BLOCK, FIRST, LIKE = 128, 4, 32
 #: A term tells the labels apart if at least MIN_DF examples hold it and its G statistic against the label reaches MIN_G.
 MIN_DF, MIN_G, MAX_TERMS = 4, 15.0, 4096
 
@@ -75,10 +77,9 @@ class Index:
         place = in_order(common)
         self.row_at = np.argsort(place)  # example at each place
         self.place = place
-        # weights of the common terms by place, and their maxima by block
-        self.common = np.zeros((self.blocks * BLOCK, len(often)))
-        self.common[:n] = common[self.row_at]
-        self.common_most = self.common.reshape(self.blocks, BLOCK, len(often)).max(axis=1) if n else np.zeros((0, len(often)))
+        # weights of the common terms by place
+        self.common = np.zeros((len(often), self.blocks * BLOCK))
+        self.common[:, :n] = common[self.row_at].T
         # postings of the others by term and place; an entry is a term's part in a block, with its maximum
         rare = at < 0
         t, p, w = t[rare], place[d[rare]], w[rare]
@@ -93,21 +94,22 @@ class Index:
         self.begin = np.searchsorted(t[self.first], np.arange(len(vocabulary) + 1))
 
     def _common(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.common.shape[1])
+        out = np.zeros(len(self.common))
         at = self.slot[t]
         out[at[at >= 0]] = w[at >= 0]
         return out
 
-    def search(self, t: np.ndarray, w: np.ndarray, common: np.ndarray, bound: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, t: np.ndarray, w: np.ndarray, common: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the nearest examples, nearest first, ties to smaller rows. The whole query has norm 1; t and w
-        are its known terms, common the weights of the common ones, bound what these add to a block's cosines at most."""
+        are its known terms, common what the common ones give each place."""
         rare = self.slot[t] < 0
         t, w = t[rare], w[rare]
         n = self.begin[t + 1] - self.begin[t]
         entry = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         w = np.repeat(w, n)
         block = self.block[entry]
-        bound = bound + np.bincount(block, self.most[entry] * w, self.blocks)
+        common = common.reshape(self.blocks, BLOCK)
+        bound = common.max(axis=1) + np.bincount(block, self.most[entry] * w, self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rows, sims, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST
@@ -120,7 +122,7 @@ class Index:
             first, many = self.first[entry[mine]], self.many[entry[mine]]
             post = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
             got = np.bincount(np.repeat(slot[block[mine]] * BLOCK, many) + self.post_at[post], self.post_w[post] * np.repeat(w[mine], many), len(some) * BLOCK)
-            got = got + np.concatenate([self.common[b * BLOCK : (b + 1) * BLOCK] @ common for b in some.tolist()])
+            got = got + common[some].ravel()
             at = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             ok = (got > 1e-12) & (at < len(self.row_at))
             if without >= 0:
@@ -131,7 +133,7 @@ class Index:
                 near = sims >= least - 1e-11
                 rows, sims = rows[near], sims[near]
             slot[some] = -1
-            done, step = done + len(some) if len(some) == step else len(order), 2 * step
+            done, step = done + len(some) if len(some) == step else len(order), self.blocks
         nearest = np.lexsort((rows, -np.round(sims, 12)))[:NEAREST]
         return rows[nearest], sims[nearest]
 
@@ -149,9 +151,9 @@ class Index:
         some = np.unique(row)
         for lo in range(0, len(some), GROUP):
             group = [(r, t[ends[r] : ends[r + 1]], w[ends[r] : ends[r + 1]]) for r in some[lo : lo + GROUP].tolist()]
-            common = np.array([self._common(a, b) for _, a, b in group])
-            for (r, a, b), c, most in zip(group, common, common @ self.common_most.T, strict=True):
-                yield r, *self.search(a, b, c, most, -1 if own is None else own + r)
+            common = np.array([self._common(a, b) for _, a, b in group]) @ self.common
+            for (r, a, b), c in zip(group, common, strict=True):
+                yield r, *self.search(a, b, c, -1 if own is None else own + r)
 
 
 class NearestExamples(Index):

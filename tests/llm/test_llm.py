@@ -110,14 +110,14 @@ def test_block_max_search_is_exact(monkeypatch, common):
     exact, scored = cosines(m, doc, term, 600), []
     t, row, tf = np.unique(np.column_stack((doc, term.astype(np.int64))), axis=0, return_counts=True), None, None
     row, h, tf = t[0][:, 0], t[0][:, 1].astype(np.uint64), t[1]
-    real = np.concatenate
-    monkeypatch.setattr(toxicity.np, "concatenate", lambda x, *a, **k: (scored.append(len(x)) if len(x[0]) == toxicity.BLOCK else None) or real(x, *a, **k))
+    real = np.partition
+    monkeypatch.setattr(toxicity.np, "partition", lambda x, *a: scored.append(len(x)) or real(x, *a))
     found = {r: (at.tolist(), sims) for r, at, sims in m.found(h, row, tf, 600)}
     for q in range(600):
         want = sorted((-round(exact[q, i], 12), i) for i in range(600) if exact[q, i] > 1e-12)[:9]
         assert found[q][0] == [i for _, i in want] and np.allclose(found[q][1], [-x for x, _ in want])
-    # like examples stand together by their common terms
-    assert common > 1 or sum(scored) < 0.6 * 600 * m.blocks
+    # like examples stand together by their common terms: most of a language's are never seen by the others
+    assert common > 1 or np.mean(scored) < 300
 
 
 def test_neighbours_are_those_of_whole_texts():
