@@ -75,7 +75,7 @@ class Index:
 
 
 def fit(vectors: DataFrame, rows: int) -> Index | None:
-    """vectors (vec_id, v array<double>), all of one dimension."""
+    """vectors (vec_id, v array<double>), all of one dimension, without nulls; repeated vectors count each. None if there are none."""
     got = vectors.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(FIT_ROWS).toArrow()
     if not got.num_rows:
         return None

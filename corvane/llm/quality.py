@@ -152,7 +152,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, remainder: int, mod
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", remainder: int = 2, modulus: int = 4, most: int = FIT_ROWS) -> RuleEnsemble:
-    """The ensemble for labels outside one fold. With no labelled rows or one class it is the constant rate."""
+    """The ensemble for labels outside one fold. With no labelled rows, as from empty tables, or one class it is the constant
+    rate. Rows of a null id or label teach nothing; of several labels of an id the largest counts; null texts are empty;
+    repeated rows count each; other columns are ignored."""
     got = labelled(docs, labels, label, remainder, modulus, most, statistics(F.col("text"))).drop("doc_id").toPandas()
     y = got.pop("_y").to_numpy(float)
     x = {n: got[n].to_numpy(float) for n in got}
