@@ -20,7 +20,8 @@ def stale(now: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new, and what of old has no row of new's key."""
+    """new, and what of old has no row of new's key. Null keys are no keys: such rows of both stay; repeated rows stay; either
+    table may be empty."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 

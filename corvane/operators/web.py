@@ -174,6 +174,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def crawl(pages: DataFrame, most: int) -> DataFrame:
     """start, n_urls, n_fetched: URLs met by a crawl from each page of at most `most` links, and those that are in the table.
 
+    A null page has no links, an empty table no starts, and pages that share a URL share their links.
     Frontiers are distinct (start, url), so cycles end; a URL that isn't in the table has no links. The links and each
     round's frontier are checkpointed, so pages are parsed once and plans don't grow with the rounds."""
     links = page_links(pages).select(F.col("url").alias("_from"), "link").distinct()
