@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, bpe, fingerprint, language_model, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from corvane.llm import alignment, ann, bpe, clustering, fingerprint, language_model, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from corvane.llm.common import document_crc
 
-#: The vocabulary of op9; a parameter of the operator, never copied here.
-VOCABULARY = "byte_bpe_50k.json"
+#: Vocabularies, parameters of the operators, never copied here: of op9, op12, and op13 with the first.
+VOCABULARY, WORD_VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 SHARDS = 8
 
 
@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("computed")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(WORD_VOCABULARY))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), vocabulary_path(PIECE_MODEL))
+
+
 OP1_SQL = r"""
 WITH t AS MATERIALIZED (
   SELECT list(v ORDER BY i) AS v FROM (SELECT i, list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
@@ -162,5 +174,26 @@ e AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM e
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_model": op6_language_model, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
-ORACLE_SQL = {"op1_sharding": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+def _op11_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds, each a step: distances to all centroids, the nearest, and floors of the means."""
+    dist = "CAST(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i]))) AS BIGINT)"
+    steps = ["""WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(CAST(e AS DOUBLE)))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INT) AS k, v AS c FROM x
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) <= 16)"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT x.rid, any_value(x.vec_id) AS vec_id, any_value(x.v) AS v, min({{'d': {dist}, 'k': c.k}}) AS m FROM x CROSS JOIN c{r} c GROUP BY x.rid)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT k, list(q ORDER BY i) AS c FROM (
+    SELECT m.k AS k, i, CAST(sum(v[i]) // count(*) - CASE WHEN sum(v[i]) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS q FROM a{r}, range(1, 65) t(i) GROUP BY m.k, i) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(s{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN s{r} ON s{r}.k = c{r}.k)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, a.m.k AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.m.k
+"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_fingerprints": op3_fingerprints, "op4_ngram_join": op4_ngram_join, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_model": op6_language_model, "op7_ann": op7_ann, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_quality": op10_quality, "op11_clustering": op11_clustering, "op12_packing": op12_packing, "op13_alignment": op13_alignment}
+ORACLE_SQL = {"op1_sharding": OP1_SQL, "op4_ngram_join": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_clustering": _op11_sql()}
