@@ -1,5 +1,5 @@
-"""Definitions, calls and imports of source files. Python is parsed; other languages, and Python files that
-don't parse, are read by patterns over text without comments and strings, which is approximate. Rows come out of Arrow batches, one backend a language."""
+"""Definitions, calls and imports of source files. Python is parsed, in Arrow batches; Python files that don't parse are read by
+patterns over text without comments and strings, and the other languages by patterns over token tables (syntax.py)."""
 
 from __future__ import annotations
 
@@ -15,44 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import clean_import
+from corvane.operators import syntax
 
 SCHEMA = "path string, what string, name string, kind string, qualifier string, start_byte long, end_byte long, start_line int, end_line int"
-_KEYWORDS = {"if", "for", "while", "switch", "return", "match", "catch", "sizeof", "func", "fn", "function", "def", "class", "new", "await", "elif", "not", "and", "or", "in", "super", "fun", "unless", "when", "do", "else", "guard", "using", "lock", "foreach"}
-#: Language by extension, with patterns for definitions (kind, pattern) and imports, and whether blocks are braced.
-_NAME = r"([A-Za-z_]\w*)"
-LANGUAGES: dict[str, tuple[list[str], list[tuple[str, str]], str, bool]] = {
-    "go": (["go"], [("method", rf"\bfunc\s*\([^)]*\)\s*{_NAME}"), ("function", rf"\bfunc\s+{_NAME}")], r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$', True),
-    "rust": (["rs"], [("function", rf"\bfn\s+{_NAME}")], r"\buse\s+([\w:]*\w)", True),
-    "zig": (["zig"], [("function", rf"\bfn\s+{_NAME}")], r'@import\(\s*"([^"]+)"', True),
-    "c": (["c", "h"], [("function", rf"^[A-Za-z_][\w\s*]*?[\s*]{_NAME}\s*\([^;{{)]*\)\s*(?={{)")], r'^\s*#\s*include\s*[<"]([^>"]+)', True),
-    "cpp": (["cpp", "cc", "cxx", "hpp", "hxx"], [("function", rf"^[A-Za-z_][\w\s*&:<>,]*?[\s*&:]{_NAME}\s*\([^;{{)]*\)[\w\s]*(?={{)")], r'^\s*#\s*include\s*[<"]([^>"]+)', True),
-    "typescript": (["ts", "mts", "cts"], [("function", rf"\bfunction\s*\*?\s*{_NAME}"), ("function", rf"\bconst\s+{_NAME}\s*(?::[^=\n]+)?=\s*(?:async\s*)?\([^)]*\)[^=\n]*=>"), ("method", rf"^\s+(?:(?:public|private|static|async)\s+)*{_NAME}\s*\([^;{{)]*\)[^;{{\n]*(?={{)")], r"""\bimport\b[^'"\n]*['"]([^'"]+)""", True),
-    "javascript": (["js", "mjs", "cjs"], [("function", rf"\bfunction\s*\*?\s*{_NAME}"), ("function", rf"\bconst\s+{_NAME}\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("method", rf"^\s+(?:(?:static|async)\s+)*{_NAME}\s*\([^;{{)]*\)\s*(?={{)")], r"""(?:\bimport\b[^'"\n]*|\brequire\(\s*)['"]([^'"]+)""", True),
-    "java": (["java"], [("method", rf"^\s*(?:[\w<>\[\],]+\s+)+{_NAME}\s*\([^;{{)]*\)[^;{{]*(?={{)")], r"^\s*import\s+(?:static\s+)?([\w.*]+)", True),
-    "scala": (["scala", "sc"], [("function", rf"\bdef\s+{_NAME}"), ("class", rf"\bclass\s+{_NAME}"), ("object", rf"\bobject\s+{_NAME}"), ("trait", rf"\btrait\s+{_NAME}")], r"^\s*import\s+([\w.*]+)", True),
-    "nix": (["nix"], [("function", rf"{_NAME}\s*=\s*(?:\w+|{{[^}}]*}})\s*:")], r"\bimport\s+([\w./<>-]+)", True),
-    "lua": (["lua"], [("function", rf"\bfunction\s+(?:\w+[.:])*{_NAME}"), ("function", rf"{_NAME}\s*=\s*function\b")], r"""\brequire\s*\(?\s*['"]([^'"]+)""", False),
-    "ruby": (["rb", "rake", "gemspec", "ru"], [("function", rf"\bdef\s+(?:self\.)?{_NAME}"), ("class", rf"\bclass\s+{_NAME}"), ("module", rf"\bmodule\s+{_NAME}")], r"""\b(?:require|require_relative|load)\s*\(?\s*['"]([^'"]+)""", False),
-    "csharp": (["cs", "csx"], [("class", rf"\bclass\s+{_NAME}"), ("interface", rf"\binterface\s+{_NAME}"), ("method", rf"^\s*(?:[\w<>\[\],?]+\s+)+{_NAME}\s*\([^;{{)]*\)\s*(?={{)")], r"^\s*using\s+([\w.]+)", True),
-    "kotlin": (["kt", "kts"], [("function", rf"\bfun\s+{_NAME}"), ("class", rf"\bclass\s+{_NAME}")], r"^\s*import\s+([\w.*]+)", True),
-    "swift": (["swift"], [("function", rf"\bfunc\s+{_NAME}"), ("class", rf"\b(?:class|struct|enum)\s+{_NAME}"), ("interface", rf"\bprotocol\s+{_NAME}")], r"^\s*import\s+(\w+)", True),
-    "haskell": (["hs"], [("function", r"^([a-z_][\w']*)(?:\s+[\w'()_]+)*\s*=")], r"^\s*import\s+(?:qualified\s+)?([\w.]+)", False),
-}
-_BY_EXTENSION = {e: (name, spec) for name, spec in LANGUAGES.items() for e in spec[0]}
-#: Strings in double quotes, in single quotes, in back quotes, and single characters.
-_QUOTED, _SINGLE, _BACK, _CHARACTER = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`", r"'(?:\\[^\n']{1,9}|\\'|[^'\\\n])'"
-#: Strings and comments of the languages whose are not C's.
-_STRINGS = {
-    "go": rf"{_QUOTED}|`[^`]*`|{_CHARACTER}", "typescript": f"{_QUOTED}|{_SINGLE}|{_BACK}", "javascript": f"{_QUOTED}|{_SINGLE}|{_BACK}", "lua": rf"{_QUOTED}|{_SINGLE}|(?<!--)\[\[.*?\]\]",
-    "ruby": f"{_QUOTED}|{_SINGLE}", "nix": f"{_QUOTED}|''.*?''", "scala": f'"""[\\s\\S]*?"""|{_QUOTED}|{_CHARACTER}', "kotlin": f'"""[\\s\\S]*?"""|{_QUOTED}|{_CHARACTER}', "swift": f'"""[\\s\\S]*?"""|{_QUOTED}',
-    "haskell": rf"{_QUOTED}|(?<!\w){_CHARACTER}",
-}
-_COMMENTS = {"lua": r"--\[\[.*?\]\]|--[^\n]*", "ruby": r"#[^\n]*", "nix": r"#[^\n]*|/\*.*?\*/", "haskell": r"--[^\n]*|\{-.*?-\}"}
-_CALL = re.compile(r"(?:([A-Za-z_]\w*)\s*(?:\.|::|->|:)\s*)?([A-Za-z_]\w*)\s*\(")
 Row = tuple[str, str, str | None, str | None, int, int, int, int]
 
 
-def _python(text: str) -> Iterator[Row]:
+def python_text(text: str) -> Iterator[Row]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -123,70 +92,19 @@ def _places(text: str):
     return size.__getitem__, (lambda i: bisect_right(lines, i))
 
 
-def _closing(code: str) -> dict[int, int]:
-    """The place after the brace that closes each opening brace; the end of the text if none does."""
-    out, open_ = {}, []
-    for m in re.finditer("[{}]", code):
-        if m[0] == "{":
-            open_.append(m.start())
-        elif open_:
-            out[open_.pop()] = m.end()
-    return out | dict.fromkeys(open_, len(code))
-
-
-def _block_end(code: str, at: int, closing: dict[int, int]) -> int:
-    """After the brace that closes the first one from at, or the end of the line."""
-    i, line = code.find("{", at), code.find("\n", at)
-    if i < 0 or (0 <= line < i and code[at:line].rstrip().endswith(";")):
-        return line if line >= 0 else len(code)
-    return closing[i]
-
-
-def _patterns(text: str, name: str, spec) -> Iterator[Row]:
-    """Definitions and calls are sought in text without comments and strings, imports in text without comments."""
-    _, defs, imported, braces = spec
-    strings, comments = _STRINGS.get(name, _QUOTED + "|" + _CHARACTER), _COMMENTS.get(name, r"/\*.*?(?:\*/|\Z)|//[^\n]*")
-    noise = re.compile(f"(?P<string>{strings})|(?:{comments})", re.S)
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    code = noise.sub(blank, text)
-    kept = noise.sub(lambda m: m[0] if m["string"] else blank(m), text)
-    byte, line = _places(text)
-    closing = _closing(code) if braces else {}
-    row = lambda what, name, kind, q, s, e: (what, name, kind, q, byte(s), byte(e), line(s), line(e))
-    taken: set[int] = set()
-    for kind, pattern in defs:
-        for m in re.finditer(pattern, code, re.M):
-            if m[1] not in _KEYWORDS and m.start(1) not in taken:
-                taken.add(m.start(1))
-                blank_line = code.find("\n\n", m.end())
-                end = _block_end(code, m.end(), closing) if braces else blank_line if blank_line >= 0 else len(code)
-                yield row("definition", m[1], kind, None, m.start() + len(m[0]) - len(m[0].lstrip()), end)
-    for m in _CALL.finditer(code):
-        if m[2] not in _KEYWORDS and m.start(2) not in taken:
-            yield row("call", m[2], None, m[1], m.start(2), m.end(2))
-    for m in re.finditer(imported, kept, re.M):
-        yield row("import", m[1], None, None, m.start(1), m.end(1))
-
-
-def extract_text(path: str, text: str) -> Iterator[Row]:
-    ext = path.rsplit("/", 1)[-1].rpartition(".")[2]
-    if ext == "py":
-        yield from _python(text)
-    elif ext in _BY_EXTENSION:
-        yield from _patterns(text, *_BY_EXTENSION[ext])
-
-
-def facts(files: DataFrame) -> DataFrame:
-    """All definitions, calls and imports of files (path, content); files of other kinds, and null ones, give none."""
+def facts(files: DataFrame, registry: str = syntax.REGISTRY) -> DataFrame:
+    """All definitions, calls and imports of files (path, content); files of kinds that the registry doesn't name, and null
+    ones, give none. Python files are parsed in Arrow batches, the others are matched as token tables (syntax.py)."""
 
     def run(batches):
         for b in batches:
-            rows = [(p, *r) for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) if p and t for r in extract_text(p, t)]
+            rows = [(p, *r) for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) if p and t for r in python_text(t)]
             kinds = (pa.string(),) * 5 + (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    found = files.select("path", "content").where(F.endswith("path", F.lit(".py"))).mapInArrow(run, SCHEMA)
+    return found.unionByName(syntax.facts(files, registry))
 
 
 def definitions(files: DataFrame) -> DataFrame:
@@ -213,9 +131,9 @@ def _facts(df: DataFrame) -> DataFrame:
     return df if "what" in df.columns else facts(df)
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    """(ext, language) of what can be extracted: a few dozen rows, fixed, so lookups may broadcast it."""
-    return spark.createDataFrame([("py", "python"), *[(e, name) for e, (name, _) in _BY_EXTENSION.items()]], "ext string, language string")
+def registry(spark: SparkSession, path: str = syntax.REGISTRY) -> DataFrame:
+    """(ext, language) of what can be extracted: Python, and what a registry file names."""
+    return syntax.languages(spark, path).unionByName(spark.createDataFrame([("py", "python")], "ext string, language string"))
 
 
 def sample_sources(part: DataFrame) -> DataFrame:
@@ -232,3 +150,20 @@ def sample_sources(part: DataFrame) -> DataFrame:
         text = F.when(k % 4 == i, F.replace(F.lit(t), F.lit("{k}"), k.cast("string"))).otherwise(text)
         ext = F.when(k % 4 == i, F.lit(e)).otherwise(ext)
     return part.select(F.concat(F.lit("src/f"), k.cast("string"), F.lit("."), ext).alias("path"), text.alias("content"))
+
+
+def sample_broken(part: DataFrame) -> DataFrame:
+    """A file with a broken line, or with what reads like something else, for each row of part, in turns of five languages."""
+    k = F.col("p_partkey")
+    code = [
+        ("java", "import a.b;\nclass A{k} {\n  A{k}() { g{k}(1); }\n  int f{k}(int x {\n}\n  void h{k}() { this.m{k}(\"//\"); }\n"),
+        ("ts", "const r = /foo{k}(/;\nconst t = `a ${bar{k}(1)} b(`;\nexport default () => baz{k}();\nclass C { m{k}() { return [ ; }\n  o{k}(a: number): string { return p{k}(a); } }\n"),
+        ("rb", "class C{k} < D\n  def a{k}\n    x = 1\n\n    b{k} 2\n    y.each{k} do |q| q.r{k} end\n    z = [1, # no{k}()\n  end\n  def self.z{k}; end\nend\n"),
+        ("hs", "import Data.Map\nf{k} x = g{k} x\n\nmain{k} = do\n  put{k} \"a(\" -- b(\n{- c( -}\n"),
+        ("rs", "use a::b{k};\nfn broken{k}( {\nfn k{k}() { x.y{k}().z{k}(); m::n{k}(1); }\n/* fn no{k}() { } */\n"),
+    ]
+    text, ext = F.lit(""), F.lit("")
+    for i, (e, t) in enumerate(code):
+        text = F.when(k % 5 == i, F.replace(F.lit(t), F.lit("{k}"), k.cast("string"))).otherwise(text)
+        ext = F.when(k % 5 == i, F.lit(e)).otherwise(ext)
+    return part.select(F.concat(F.lit("lib/b"), k.cast("string"), F.lit("."), ext).alias("path"), text.alias("content"))

@@ -577,6 +577,27 @@ def extract_imports(spark, sf_dir):
     return E.imports(sample(spark, sf_dir)).select("file", "module_path")
 
 
+_BROKEN = {
+    0: [("import", "a.b", None, None, 1, 1), ("definition", "A{k}", "method", None, 3, 3), ("call", "g{k}", None, None, 3, 3), ("definition", "h{k}", "method", None, 6, 6), ("call", "m{k}", None, "this", 6, 6)],
+    1: [("call", "bar{k}", None, None, 2, 2), ("call", "baz{k}", None, None, 3, 3), ("definition", "m{k}", "method", None, 4, 4), ("definition", "o{k}", "method", None, 5, 5), ("call", "p{k}", None, None, 5, 5)],
+    2: [("definition", "C{k}", "class", None, 1, 10), ("definition", "a{k}", "function", None, 2, 8), ("call", "b{k}", None, None, 5, 5), ("call", "each{k}", None, "y", 6, 6), ("call", "r{k}", None, "q", 6, 6), ("definition", "z{k}", "function", None, 9, 9)],
+    3: [("import", "Data.Map", None, None, 1, 1), ("definition", "f{k}", "function", None, 2, 2), ("call", "g{k}", None, None, 2, 2), ("definition", "main{k}", "function", None, 4, 5), ("call", "put{k}", None, None, 5, 5)],
+    4: [("import", "a::b{k}", None, None, 1, 1), ("definition", "k{k}", "function", None, 3, 3), ("call", "y{k}", None, "x", 3, 3), ("call", "z{k}", None, "x.y{k}()", 3, 3), ("call", "n{k}", None, "m", 3, 3)],
+}
+_BROKEN_EXT = ["java", "ts", "rb", "hs", "rs"]
+_text = lambda x: "NULL" if x is None else f"replace('{x}', '{{k}}', k)"
+_BROKEN_SQL = " UNION ALL ".join(
+    f"SELECT 'lib/b' || k || '.{_BROKEN_EXT[i]}' AS path, '{what}' AS what, {_text(name)} AS name, {_text(kind)} AS kind, {_text(q)} AS qualifier, {a} AS start_line, {b} AS end_line FROM p WHERE n = {i}"
+    for i, rows in _BROKEN.items() for what, name, kind, q, a, b in rows
+)
+
+
+@query("extract_broken", f"WITH p AS MATERIALIZED (SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey % 5 AS n FROM part) {_BROKEN_SQL}")
+def extract_broken(spark, sf_dir):
+    found = E.facts(E.sample_broken(table(spark, sf_dir, "part")))
+    return found.select("path", "what", "name", "kind", "qualifier", "start_line", "end_line")
+
+
 @query("token_counts", f"SELECT path, CAST(coalesce(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM {V_FILES}")
 def token_counts(spark, sf_dir):
     from corvane.operators import tokens

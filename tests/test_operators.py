@@ -84,52 +84,9 @@ def test_links_of_real_pages(spark):
     assert [(r["pos"], r["link"]) for r in got] == [(i, x) for i, x in enumerate(want) if x]
 
 
-def test_extraction():
-    py = list(extract.extract_text("a.py", "import os\ndef f():\n    return g(os.x())\nclass C: pass\n"))
-    assert {(r[0], r[1]) for r in py} == {("import", "os"), ("definition", "f"), ("definition", "C"), ("call", "g"), ("call", "x")}
-    rs = list(extract.extract_text("a.rs", "use a::b;\n// fn no() {}\nfn f() { g(); x.h(); }\n"))
-    assert ("definition", "f") in {r[:2] for r in rs} and {("call", "g"), ("call", "h"), ("import", "a::b")} <= {r[:2] for r in rs}
-    assert not any(r[1] == "no" for r in rs)
-    assert list(extract.extract_text("a.py", "def broken(")) == []
-
-
-def found(path, text):
-    return {r[:2] for r in extract.extract_text(path, text)}
-
-
-@pytest.mark.parametrize(
-    "path, text, has, lacks",
-    [
-        ("a.js", 'import x from "m//n"; const u = "http://x.y"; foo(); const s = \'bar()\'; `baz()`; /* no() */ // gone()', {("call", "foo"), ("import", "m//n")}, {"bar", "baz", "no", "gone"}),
-        ("a.rs", 'fn f<\'a>(x: &\'a str) { let c = \'"\'; g("h()"); } // k()', {("definition", "f"), ("call", "g")}, {"h", "k"}),
-        ("a.go", 'import "a/b"\nfunc (r *R) M() { s := `x()`; t("y()") }', {("definition", "M"), ("call", "t"), ("import", "a/b")}, {"x", "y"}),
-        ("a.c", '#include "z.h"\nint main(void) { p("q(\\"r()"); /* s() */ return \'(\'; }', {("definition", "main"), ("call", "p"), ("import", "z.h")}, {"q", "r", "s"}),
-        ("a.lua", 'local m = require("m")\n-- no()\nlocal function f() return g("h()") end --[[ k()\nl() ]]', {("import", "m"), ("definition", "f"), ("call", "g")}, {"no", "h", "k", "l"}),
-        ("a.rb", "require 'm'\nclass C\n  def f # g()\n    h('i()')\n  end\nend", {("import", "m"), ("definition", "C"), ("definition", "f"), ("call", "h")}, {"g", "i"}),
-        ("a.hs", 'import Data.Map\nf x = "a(" -- b(\n{- c( -}', {("import", "Data.Map"), ("definition", "f")}, {"a", "b", "c"}),
-        ("a.java", 'import a.b;\nclass C {\n  int f(int x) {\n    return g("//") + h(x);\n  }\n}', {("import", "a.b"), ("definition", "f"), ("call", "g"), ("call", "h")}, set()),
-        ("a.kt", 'import a.b\nfun f() { g("""h()""") }', {("import", "a.b"), ("definition", "f"), ("call", "g")}, {"h"}),
-    ],
-)
-def test_extraction_passes_over_strings_and_comments(path, text, has, lacks):
-    got = found(path, text)
-    assert has <= got and not {n for _, n in got} & lacks
-
-
-def test_extraction_is_linear_and_counts_bytes():
-    text = "fn f() { g(); }\n" * 20_000
-    began = time.perf_counter()
-    rows = list(extract.extract_text("a.rs", text))
-    assert len(rows) == 40_000 and time.perf_counter() - began < 5
-    assert rows[19_999][4:] == (16 * 19_999, 16 * 19_999 + 15, 20_000, 20_000)
-    text = "// é漢\U0001f600\nfn f() {\n é(g());\n}\n"
-    d = next(r for r in extract.extract_text("a.rs", text) if r[0] == "definition")
-    assert text.encode()[d[4] : d[5]].decode() == "fn f() {\n é(g());\n}" and d[6:] == (2, 4)
-
-
 def test_extraction_of_python_that_does_not_parse():
     text = "import os, sys as s\nfrom .a import b\n\ndef f(x=(1, 2)):\n    print 'g()'  # h()\n    return os.path.k(é(x))\n\n<<<<<<< HEAD\nclass C(B):\n    async def m(self):\n        pass\n"
-    got = list(extract.extract_text("a.py", text))
+    got = list(extract.python_text(text))
     assert {r[:4] for r in got} == {
         ("import", "os", None, None), ("import", "sys", None, "s"), ("import", ".a", None, None), ("definition", "f", "function", None), ("definition", "C", "class", None),
         ("definition", "m", "function", None), ("call", "k", None, "os.path"), ("call", "é", None, None),
