@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from corvane.llm.common import pieces, prefix_hash, range_hash, release
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a worker between batches, and the longest that is; others are encoded again in each batch. Words run at once.
 KEEP_WORDS, KEEP_CHARS, WORDS = 300_000, 64, 50_000
+#: Words of more bytes are run one at a time: side by side they'd take a round of arrays for every byte and length. Answers kept.
+LONG, KEEP_ANSWERS = 96, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -139,6 +143,14 @@ class TokenAutomaton:
             if len(b) > 1:
                 last = b[-2] << 8 | b[-1]
                 self.reach[last] = max(len(b), self.reach[last])
+        # the same for one word at a time: the lengths that labels with these last bytes have, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.by_bytes:
+            if len(b) > 1:
+                lengths.setdefault(b[-2:], set()).add(len(b))
+        self.lengths = {last: sorted(n, reverse=True) for last, n in lengths.items()}
+        self.lacking = array("q", self.lacks_from.tobytes()), array("q", self.lacks_to.tobytes())
+        self.answers: dict[tuple[int, int], bool] = {}
 
     def follows(self, x, y):
         """Whether the states that tokens x lead to have the arcs y."""
@@ -194,6 +206,35 @@ class TokenAutomaton:
             lo = hi
         return out
 
+    def arc(self, x: int, y: int) -> bool:
+        """follows() of one pair."""
+        known = self.answers.get((x, y))
+        if known is None:
+            at = int(self.state[x] + self.follow[y])
+            i = bisect_right(self.lacking[0], at) - 1
+            known = i < 0 or at >= self.lacking[1][i]
+            if len(self.answers) > KEEP_ANSWERS:
+                self.answers.clear()
+            self.answers[x, y] = known
+        return known
+
+    def path(self, word: bytes) -> bytes:
+        """Ids of one word, of any length: a table look-up for each byte and each length that a label with its last bytes has."""
+        token, size = array("q", [-1]) * (len(word) + 1), array("q", [1]) * (len(word) + 1)
+        by_bytes, lengths, arc = self.by_bytes, self.lengths, self.arc
+        for i in range(1, len(word) + 1):
+            for width in lengths.get(word[i - 2 : i], ()) if i > 1 else ():
+                if width <= i and (t := by_bytes.get(word[i - width : i])) is not None and (width == i or arc(token[i - width], t)):
+                    token[i], size[i] = t, width
+                    break
+            else:
+                token[i] = by_bytes[word[i - 1 : i]]
+        out, i = [], len(word)
+        while i:
+            out.append(token[i])
+            i -= size[i]
+        return np.array(out[::-1], "<u4").tobytes()
+
     def stood(self, a: int, b: int, now: int) -> bool:
         """Whether b was an arc of a's state just before round now: the gadgets walked back, used while compiling."""
         while True:
@@ -220,8 +261,13 @@ class TokenAutomaton:
         long: dict[str, bytes] = {}
         for lo in range(0, len(new), WORDS):
             some = new[lo : lo + WORDS]
-            for w, ids in zip(some, self.paths([w.encode() for w in some]), strict=True):
-                (known if len(w) <= KEEP_CHARS else long)[w] = ids
+            coded = [w.encode() for w in some]
+            short = [k for k, w in enumerate(coded) if len(w) <= LONG]
+            for k, ids in zip(short, self.paths([coded[k] for k in short]), strict=True):
+                (known if len(some[k]) <= KEEP_CHARS else long)[some[k]] = ids
+            for w, b in zip(some, coded, strict=True):
+                if len(b) > LONG:
+                    long[w] = self.path(b)
         special = {s: np.uint32(i).astype("<u4").tobytes() for s, i in self.special.items()}
         out = []
         for text, words in zip(parts, split, strict=True):
@@ -252,7 +298,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, digests: bool = False)
     """Ids and decoded text of every row of docs (doc_id, text), or with digests their sha256 instead.
 
     The vocabulary file is read by the driver and sent with the task's code (its size is fixed). A null text
-    counts as empty and has no ids. Long texts are worked on whole; rows that repeat repeat in the result.
+    counts as empty and has no ids. Texts and words of any length are worked on whole; rows that repeat repeat in the result.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())

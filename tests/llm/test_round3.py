@@ -224,3 +224,25 @@ def test_alignment_in_lanes_of_repeated_rows_and_empty_tables(documents, monkeyp
     got = alignment.align(documents(*texts, ids=[3] * 24).repartition(6), vocabulary_path(), vocabulary_path(PIECE_MODEL)).collect()
     assert sorted(tuple(r)[1:] for r in got) == sorted(plain_alignment(texts))
     assert alignment.align(documents("x").where("false"), vocabulary_path(), vocabulary_path(PIECE_MODEL)).collect() == []
+
+
+# --- long words
+
+
+def test_words_of_any_length_are_encoded_in_linear_time():
+    import time
+
+    from tokenizers import Tokenizer
+
+    from corvane.llm.bpe import TokenAutomaton
+
+    with open(vocabulary_path()) as f:
+        machine = TokenAutomaton(f.read())
+    library = Tokenizer.from_file(vocabulary_path())
+    texts = ["-" * 40_000, "a" * 40_000, words(4, 9_000).replace(" ", ""), "=-" * 50 + "é漢" * 20_000, "x" * 97, "ab" * 48, "see " + "QUJD/9+" * 3_000 + " end"]
+    began = time.perf_counter()
+    got = machine.encode(texts)
+    assert time.perf_counter() - began < 30
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert machine.decode(ids) == text
