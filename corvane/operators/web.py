@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.graph import checkpointed
-
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCKS = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "table", "article", "section", "nav", "footer", "header", "main", "aside", "form"}
+from corvane.operators.html_tree import body_of
 
 
 def absolute(base: str, href: str) -> str | None:
@@ -33,57 +31,12 @@ def resolved(base: str, href: str) -> str | None:
     return url and quote(url, safe="%/:=&?~#+!$,;'@()*[]|-._")
 
 
-class _Tree(HTMLParser):
-    """Nested [tag, attributes, children] lists; strings are text. Unclosed paragraphs and items are closed as needed."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.top = ["", {}, []]
-        self.open = [self.top]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS and self.open[-1][0] == "p":
-            self.open.pop()
-        if tag == "li" and any(n[0] == "li" for n in self.open):
-            inner = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in ("li", "ul", "ol"))
-            if self.open[inner][0] == "li":
-                del self.open[inner:]
-        node = [tag, dict(attrs), []]
-        self.open[-1][2].append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1][2].append([tag, dict(attrs), []])
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1][2].append(data)
-
-
-def _find(node, tag):
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if n[0] == tag:
-            return n
-        stack += [c for c in reversed(n[2]) if not isinstance(c, str)]
-    return None
-
-
 def html_to_markdown(html: str, base: str) -> str:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    body = _find(tree.top, "body") or tree.top
+    """Markdown of a page's body, the tree of which is built as browsers do (html_tree.py); a head's text is never in it."""
+    body = body_of(html or "")
     out: list[str] = []
     # (node, list depth) to render, or text to append; a stack, so that deep pages don't exhaust recursion
-    work: list = [(c, 0) for c in reversed(body[2])]
+    work: list = [(c, 0) for c in reversed(body.children)]
     while work:
         item = work.pop()
         if isinstance(item, str):
@@ -94,7 +47,7 @@ def html_to_markdown(html: str, base: str) -> str:
             if text := node.strip():
                 out.append(text + " ")
             continue
-        tag, attrs, children = node
+        tag, attrs, children = node.tag, node.attrs, node.children
         inside = lambda d, kids=children: [(c, d) for c in reversed(kids)]
         if tag == "br":
             out.append("\n")
@@ -115,7 +68,7 @@ def html_to_markdown(html: str, base: str) -> str:
                     if isinstance(c, str):
                         words.append(c)
                     else:
-                        stack += list(reversed(c[2]))
+                        stack += list(reversed(c.children))
                 out.append(f"[{''.join(words).strip() or url}]({url})")
         elif tag in ("pre", "code"):
             work += ["\n```\n", *inside(depth), "\n```\n"]
@@ -147,7 +100,8 @@ def hrefs(html: str) -> list[str]:
 
 
 def markdown(pages: DataFrame) -> DataFrame:
-    """page_id and markdown for pages (page_id, url, html); parsed in Arrow batches."""
+    """page_id and markdown for pages (page_id, url, html); parsed in Arrow batches. A null page is empty; rows that repeat
+    repeat; other columns are ignored."""
 
     def run(batches):
         for b in batches:
