@@ -598,6 +598,26 @@ def extract_broken(spark, sf_dir):
     return found.select("path", "what", "name", "kind", "qualifier", "start_line", "end_line")
 
 
+#: Ignore files of the corpus as rows: one at the top, one in each folder of a language, one in each folder of a source.
+IGNORE_FILES = """SELECT '.gitignore' AS path, concat('# of all', chr(10), '*.xyz', chr(10), '!doc_1*', chr(10), '/en/**/doc_2?.txt') AS content
+UNION ALL SELECT concat(lang, '/.gitignore'), concat('src1/', chr(10), 'doc_*4.md', chr(10), '!doc_[!0-5]*.xyz  ') FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+UNION ALL SELECT concat(lang, '/', source, '/.gitignore'), concat(chr(10), '!doc_24.md', chr(10), 'doc_', CAST(length(lang || source) AS STRING), '*', chr(10), '.hid_*', chr(10), '!/.hid_0.md')
+ FROM (SELECT DISTINCT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"""
+
+
+@query("ignored_by_rules", f"""SELECT path FROM (SELECT path, lang, source, regexp_extract(path, '([^/]*)$') AS name FROM (SELECT f.path, split_part(f.path, '/', 1) AS lang, split_part(f.path, '/', 2) AS source FROM {V_FILES} f) )
+WHERE source <> 'src1' AND CASE
+ WHEN name = '.hid_0.md' THEN true WHEN name LIKE '.hid%' THEN false WHEN name LIKE 'doc_' || length(lang || source) || '%' THEN false WHEN name = 'doc_24.md' THEN true
+ WHEN regexp_matches(name, '^doc_[^0-5].*[.]xyz$') THEN true WHEN name LIKE 'doc_%4.md' THEN false
+ WHEN lang = 'en' AND regexp_matches(name, '^doc_2.[.]txt$') THEN false WHEN name LIKE 'doc_1%' THEN true WHEN name LIKE '%.xyz' THEN false ELSE true END""")
+def ignored_by_rules(spark, sf_dir):
+    """Files that the ignore files leave."""
+    from corvane.operators import ignores
+
+    ignore = spark.sql(IGNORE_FILES.replace("FROM documents", "FROM {t}"), t=table(spark, sf_dir, "documents"))
+    return ignores.kept(files(spark, sf_dir).select("path"), ignore)
+
+
 @query("token_counts", f"SELECT path, CAST(coalesce(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM {V_FILES}")
 def token_counts(spark, sf_dir):
     from corvane.operators import tokens
