@@ -246,3 +246,14 @@ def test_words_of_any_length_are_encoded_in_linear_time():
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
         assert machine.decode(ids) == text
+
+
+# --- language model
+
+
+def test_scores_are_the_same_however_the_input_is_partitioned(spark):
+    from corvane.llm import language_model
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first, second = ({r.doc_id: r.score for r in language_model.score(d).collect()} for d in (docs.coalesce(1), docs.repartition(40)))
+    assert first == second
