@@ -16,8 +16,13 @@ MAX_SIZE, MAX_DEPTH = 10 * 1024 * 1024, 20
 DEFAULT_EXCLUDES = ["**/.git/**", "**/.svn/**", "**/.hg/**", "**/target/**", "**/node_modules/**", "**/dist/**", "**/build/**"]
 # Our own list of source kinds.
 SOURCE_EXTENSIONS, SOURCE_NAMES, INTERPRETERS = (list(dict.fromkeys(x)) for x in (source_kinds.EXTENSIONS, source_kinds.NAMES, source_kinds.INTERPRETERS))
+OWN_KINDS = source_kinds.Kinds(SOURCE_EXTENSIONS, SOURCE_NAMES, INTERPRETERS)
 
 
+def among(value: Column, names: Sequence[str]) -> Column:
+    """Whether value is one of the names: one literal, folded into an array, however many there are."""
+    return F.array_contains(F.split(F.lit("\n".join(names)), "\n"), value) if names else F.lit(False)
+
 
 def glob_regex(pattern: str) -> str:
     """A gitignore-like pattern for whole paths: * stays within a component, ** spans them, and a pattern
@@ -53,23 +58,23 @@ def matches_any(path: Column, patterns: Sequence[str]) -> Column:
     return path.rlike("|".join(glob_regex(p) for p in patterns)) if patterns else F.lit(False)
 
 
-def is_source(path: Column, content: Column | None = None) -> Column:
+def is_source(path: Column, content: Column | None = None, kinds: source_kinds.Kinds = OWN_KINDS) -> Column:
     """By name, else by the extension in lower case, else, also with an unknown extension, by the script's interpreter if
-    content is given."""
-    known = base_name(path).isin(SOURCE_NAMES) | F.lower(extension(path)).isin(SOURCE_EXTENSIONS)
+    content is given. kinds: our own list, or one that source_kinds.load() reads."""
+    known = among(base_name(path), kinds.names) | among(F.lower(extension(path)), kinds.extensions)
     if content is None:
         return known
-    return known | F.coalesce(interpreter(content).isin(INTERPRETERS), F.lit(False))
+    return known | F.coalesce(among(interpreter(content), kinds.interpreters), F.lit(False))
 
 
-def should_process(path: Column, size: Column, content: Column | None = None, *, max_size: int = MAX_SIZE, include: Sequence[str] = (), only_include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+def should_process(path: Column, size: Column, content: Column | None = None, *, max_size: int = MAX_SIZE, include: Sequence[str] = (), only_include: Sequence[str] = (), exclude: Sequence[str] = (), kinds: source_kinds.Kinds = OWN_KINDS) -> Column:
     """Small enough; chosen by only_include instead of, or by include besides, source detection; not excluded."""
     if include and only_include:
         raise ValueError("include and only_include exclude each other")
-    chosen = matches_any(path, only_include) if only_include else is_source(path, content) | matches_any(path, include)
+    chosen = matches_any(path, only_include) if only_include else is_source(path, content, kinds) | matches_any(path, include)
     return (size <= max_size) & chosen & ~matches_any(path, exclude)
 
 
-def indexable(path: Column) -> Column:
+def indexable(path: Column, kinds: source_kinds.Kinds = OWN_KINDS) -> Column:
     """What the code index takes: source files with an extension, of any size and depth."""
-    return (extension(path) != "") & is_source(path)
+    return (extension(path) != "") & is_source(path, kinds=kinds)

@@ -1,4 +1,39 @@
-"""Common source kinds, a list of our own: extensions in lower case, file names and interpreters of scripts."""
+"""Common source kinds, a list of our own: extensions in lower case, file names and interpreters of scripts; and the reader of a
+file that lists others."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Kinds:
+    """Extensions in lower case without their dot, file names, and interpreters of scripts that make a file a source."""
+
+    extensions: list[str]
+    names: list[str]
+    interpreters: list[str]
+
+
+def load(path: str) -> Kinds:
+    """The kinds that a language list names: a YAML file with a mapping for each language, and in it lists of `extensions`,
+    `filenames` and `interpreters`, one item a line. Extensions lose their first dot and count in small letters."""
+    found: dict[str, dict[str, None]] = {"extensions": {}, "filenames": {}, "interpreters": {}}
+    now = None
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if key := re.match(r"\s+([\w-]+):\s*(?:#.*)?$", line):
+                now = found.get(key[1])
+            elif item := re.match(r"\s*-\s+(.*?)\s*$", line):
+                if now is not None:
+                    text = item[1]
+                    text = text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text.split(" #")[0].strip()
+                    now[text.removeprefix(".").lower() if now is found["extensions"] else text] = None
+            elif line.strip() and not line.lstrip().startswith("#"):
+                now = None
+    return Kinds(list(found["extensions"]), list(found["filenames"]), list(found["interpreters"]))
+
 
 EXTENSIONS = """
 rs py js jsx ts tsx mjs cjs go c h cc cpp cxx hpp java kt scala sc rb php swift hs lua nix zig cs sh bash sql html css json toml yaml yml xml md txt
