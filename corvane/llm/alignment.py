@@ -22,7 +22,7 @@ from corvane.llm.common import pieces, release, written
 from corvane.llm.merges import PartIds, Parts, bytes_of, edges, gather
 
 #: Stripe of an id of the second vocabulary: its remainder. Bytes of text in a slice, slices to a share, lanes of first sums.
-STRIPES, SLICE_TEXT, SLICES = 256, 8_000_000, 4
+STRIPES, SLICE_TEXT, SLICES = 256, 5_000_000, 6
 LANE_ROWS = 2_000
 _SIDE = 16
 

@@ -24,6 +24,8 @@ MOST_LISTS, ROUNDS = 4096, 8
 #: Dimensions of a code's part, centroids of a codebook, share of lists opened, candidates reranked in a group.
 PART, CODES, OPEN, RERANK = 4, 256, 0.55, 200
 GROUP_ROWS, QUERY_ROWS = 16_384, 2_048
+#: Queries whose lists are opened at once: what this takes grows with the lists, and their copies go on in small batches.
+OPEN_ROWS = 256
 #: A query opens lists until they hold so many vectors more than it returns; its own rows may be among them.
 SPARE = 100
 
@@ -110,9 +112,7 @@ def _open(sent, group_of: np.ndarray, cut: np.ndarray, sizes: np.ndarray, share:
     def run(batches):
         index = sent.value
         n = max(1, min(len(index.centroids), int(np.ceil(len(index.centroids) * share))))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(lo, OPEN_ROWS) for whole in batches for lo in range(0, whole.num_rows, OPEN_ROWS)):
             q = _matrix(b.column("v"), index.dim)
             ids = b.column("vec_id").to_pylist()
             near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")

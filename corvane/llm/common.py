@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -25,18 +27,36 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own if unset."""
+    """Folder that driver and executors share: the session's spark.checkpoint.dir; in local mode one of our own if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders of this application's tables; they go when the driver ends.
+_own: set[str] = set()
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM is gone already
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    if own not in _own:
+        _own.add(own)
+        atexit.register(_removed, spark, own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # Shuffle files that nothing refers to any more go when the driver's JVM next collects its garbage.
     gc.collect()

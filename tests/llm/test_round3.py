@@ -257,3 +257,33 @@ def test_scores_are_the_same_however_the_input_is_partitioned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     first, second = ({r.doc_id: r.score for r in language_model.score(d).collect()} for d in (docs.coalesce(1), docs.repartition(40)))
     assert first == second
+
+
+# --- nearest neighbours of many lists
+
+
+def test_opening_of_many_lists_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corvane.llm import ann
+
+    r = np.random.default_rng(0)
+    lists, n = 4096, 2048
+    index = ann.Index(r.normal(size=(lists, 16)), [], [0, 16])
+    sent = type("Sent", (), {"value": index})
+    v = r.normal(size=(n, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(list(v), pa.list_(pa.float64()))], names=["vec_id", "v"])
+    group = np.arange(lists, dtype=np.int32) // 64
+    tracemalloc.start()
+    seen = collections.defaultdict(set)
+    for b in ann._open(sent, group, np.ones(lists, np.int32), np.full(lists, 250), 0.55, 120)(iter([batch])):
+        for q, code in zip(b.column("vec_id").to_pylist(), b.column("code").to_pylist(), strict=True):
+            seen[q] |= set(np.frombuffer(code, np.int32).tolist())
+        assert b.num_rows <= ann.OPEN_ROWS * 64
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and set(seen) == set(range(n)) and {len(x) for x in seen.values()} == {int(np.ceil(lists * 0.55))}
+    best = np.argsort(-(v[:5] @ index.centroids.T), axis=1)
+    assert all(set(best[q][: len(seen[q])].tolist()) == seen[q] for q in range(5))
