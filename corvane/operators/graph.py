@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -182,11 +184,13 @@ def transitive(edges: DataFrame, start: DataFrame, reverse: bool = False, keep=N
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut off from its plan, in the folder that spark.checkpoint.dir names; in local mode in one of our own if that is unset."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="corvane-"))
     return df.checkpoint()
 
 
