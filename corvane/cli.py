@@ -5,8 +5,8 @@ from __future__ import annotations
 import argparse
 import hashlib
 import os
+import shutil
 import sys
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,10 +71,8 @@ def scan(spark: SparkSession, roots: list[str], s: config.Settings) -> DataFrame
     return tree.contents(found.where(maybe)).where(filters.should_process(path, size, F.col("content"), **rules))
 
 
-def packed(files: DataFrame, output: str, project: str | None) -> Iterator[str]:
-    pieces = pack.document(files, tree=output != "files", contents=output != "tree", project=project)
-    for row in pieces.orderBy("section", F.split("path", "/"), "ord").select("line").toLocalIterator():
-        yield row["line"]
+def packed(files: DataFrame, output: str, project: str | None) -> DataFrame:
+    return pack.document(files, tree=output != "files", contents=output != "tree", project=project)
 
 
 def show_tokens(files: DataFrame, counter) -> None:
@@ -98,22 +96,24 @@ def run_scan(spark: SparkSession, args: argparse.Namespace) -> None:
     except ValueError as e:
         raise Refused(str(e)) from e
     files = scan(spark, args.paths, s).persist()
-    lines = packed(files, s.output_format, project_name(args.paths) if args.xml else None)
-    if args.pdf:
-        pdf.write(lines, args.pdf)
-    elif args.file:
-        _put(lines, args.file)
+    pieces = packed(files, s.output_format, project_name(args.paths) if args.xml else None)
+    if args.pdf or args.file:
+        _put(spark, pdf.write if args.pdf else pack.write, pieces, args.pdf or args.file)
     else:
-        for line in lines:
-            print(line)
+        for row in pieces.orderBy(*pack.order()).select("line").toLocalIterator():
+            print(row["line"])
     if not args.no_tokens:
         show_tokens(files, tokens.tokenizer_file(args.tokenizer_file) if args.tokenizer_file else tokens.words)
 
 
-def _put(lines: Iterator[str], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        for line in lines:
-            f.write(line + "\n")
+def _put(spark: SparkSession, write, pieces: DataFrame, path: str) -> None:
+    """Tasks write the parts, in a folder beside the file; the file is what they are put together."""
+    folder = f"{os.path.abspath(path)}.parts"
+    try:
+        write(pieces, f"file://{folder}")
+        pdf.put_together(spark, f"file://{folder}", os.path.abspath(path))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
     print(f"Written to {path}", file=sys.stderr)
 
 
@@ -174,12 +174,12 @@ def run_code(spark: SparkSession, args: argparse.Namespace) -> None:
     place = index_place(root)
     build(spark, root, place, hidden=args.hidden, ignore=not args.no_ignore)
     blocks = answer(spark, root, place, args.target, args.callers, args.depth, args.strict)
-    lines = (r["block"] + "\n" for r in blocks.orderBy("depth", "node").toLocalIterator())
     if args.file:
-        _put(lines, args.file)
+        text = blocks.orderBy("depth", "node").select(F.concat("block", F.lit("\n")).alias("line"))
+        _put(spark, lambda lines, folder: lines.write.mode("overwrite").text(folder), text, args.file)
     else:
-        for line in lines:
-            print(line)
+        for row in blocks.orderBy("depth", "node").toLocalIterator():
+            print(row["block"] + "\n")
 
 
 def _several(text: str) -> list[str]:

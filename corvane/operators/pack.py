@@ -46,6 +46,11 @@ def definition_block(file: Column, name: Column, content: Column, start: Column,
     return F.concat(F.lit("## "), file, F.lit(":"), name, F.lit("\n```\n"), F.array_join(lines, "\n"), F.lit("\n```"))
 
 
+def order() -> list[Column]:
+    """Order of a document's pieces: paths by their components."""
+    return [F.col("section"), F.split("path", "/"), F.col("ord")]
+
+
 def document(files: DataFrame, tree: bool = True, contents: bool = True, project: str | None = None) -> DataFrame:
     """section, path, ord, line: the packed document in pieces; ordered by these columns they make the text.
 
@@ -69,3 +74,9 @@ def document(files: DataFrame, tree: bool = True, contents: bool = True, project
     head, tail = ("<summary>", "</summary>\n</context>") if xml else ("Summary:", "")
     line = F.concat(F.lit(f"{head}\nTotal files: "), F.col("n").cast("string"), F.lit("\nTotal size: "), F.col("b").cast("string"), F.lit(f" bytes\n{tail}"))
     return out.unionByName(total.select(F.lit(7).alias("section"), F.lit("").alias("path"), F.lit(0).alias("ord"), line.alias("line")))
+
+
+def write(pieces: DataFrame, folder: str) -> None:
+    """A document in parts (text files of a folder); put together in the order of their names they are its text. Tasks write
+    ranges of the order, and a part is there when its task and the job have committed."""
+    pieces.where("line IS NOT NULL").orderBy(*order()).select("line").write.mode("overwrite").text(folder)

@@ -242,6 +242,19 @@ def packed_document(spark, sf_dir):
     return K.document(files(spark, sf_dir))
 
 
+_PRINTED = "list_sum(list_transform(string_split(replace(replace(line, chr(9), '    '), chr(13) || chr(10), chr(10)), chr(10)), lambda x: greatest(length(x) - 1, 0) // 110 + 1))"
+
+
+@query("document_pages", f"""SELECT section, path, ord, CAST(first_line AS BIGINT) AS first_line, CAST(n AS BIGINT) AS n_lines, CAST(first_line // 63 AS BIGINT) AS first_page, CAST((first_line + greatest(n - 1, 0)) // 63 AS BIGINT) AS last_page
+FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY section, string_split(path, '/'), ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line
+ FROM (SELECT section, path, ord, coalesce({_PRINTED}, 0) AS n FROM ({_packed({1: "Directory Structure:", 3: "", 4: "File Contents:", 6: ""}, _PLAIN_BLOCK, "Summary:", "")})))""")
+def document_pages(spark, sf_dir):
+    """Lines and pages of the packed document's pieces on paper."""
+    from corvane.sources import pdf
+
+    return pdf.pages(K.document(files(spark, sf_dir))).drop("line")
+
+
 @query("summary", f"SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM {V_FILES} WHERE size <= 10485760 AND {SOURCE_SQL}")
 def summary(spark, sf_dir):
     return files(spark, sf_dir).where(S.should_process(F.col("path"), F.col("size"))).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
