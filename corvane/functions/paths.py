@@ -206,3 +206,12 @@ def call_column(line: Column, callee: str) -> Column:
     """Bytes before the first occurrence of callee in its line; 0 if there is none."""
     at = F.instr(line, callee)
     return F.when(at > 0, F.octet_length(F.substring(line, F.lit(1), at - 1))).otherwise(0).cast("int")
+
+
+def shortened(path: Column, width: int) -> Column:
+    """A path that fits a terminal of so many letters beside 25 others (in bytes), or its last two components behind an ellipsis;
+    one of at most two components, of which a leading '/' is one, stays."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    n = F.size(parts) + F.when(F.startswith(path, F.lit("/")), 1).otherwise(0)
+    short = F.concat(F.lit(".../"), F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(""), F.lit("/"), F.element_at(parts, -1))
+    return F.when((F.octet_length(path) <= max(0, width - 25)) | (n <= 2), path).otherwise(short)

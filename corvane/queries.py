@@ -631,6 +631,12 @@ def ignored_by_rules(spark, sf_dir):
     return ignores.kept(files(spark, sf_dir).select("path"), ignore)
 
 
+@query("short_paths", f"""SELECT path, CASE WHEN strlen(path) <= 15 THEN path ELSE '.../' || split_part(path, '/', -2) || '/' || split_part(path, '/', -1) END AS shown FROM {V_FILES} WHERE path IS NOT NULL""")
+def short_paths(spark, sf_dir):
+    """Paths as a terminal of 40 letters shows them."""
+    return files(spark, sf_dir).where("path IS NOT NULL").select("path", P.shortened(F.col("path"), 40).alias("shown"))
+
+
 @query("token_counts", f"SELECT path, CAST(coalesce(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM {V_FILES}")
 def token_counts(spark, sf_dir):
     from corvane.operators import tokens

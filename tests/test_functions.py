@@ -45,3 +45,11 @@ def test_include_rules():
 @pytest.mark.parametrize("path", ["a.vue", "a.dart", "a.pl", "a.R", "a.jl", "a.ex", "a.ps1", "a.proto", "b/go.mod"])
 def test_common_kinds_are_source(spark, path):
     assert one(spark, path, S.is_source) is True
+
+
+@pytest.mark.parametrize(
+    "path, shown",
+    [("a/b/c", "a/b/c"), ("aaaaaaaaaa/b/c.rs", ".../b/c.rs"), ("aaaaaaaaaaaaaaaaaa/c.rs", "aaaaaaaaaaaaaaaaaa/c.rs"), ("/aaaaaaaaaaaaaaaa", "/aaaaaaaaaaaaaaaa"), ("/aaaaaaaaaaaaa/é", ".../aaaaaaaaaaaaa/é"), ("aa//bbbbbbb/./ccc", ".../bbbbbbb/ccc"), (None, None)],
+)
+def test_shortened(spark, path, shown):
+    assert spark.createDataFrame([(path,)], "p string").select(P.shortened(F.col("p"), 36)).first()[0] == shown
