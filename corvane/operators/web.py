@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.graph import checkpointed
@@ -158,3 +158,28 @@ def crawl_order(pages: DataFrame, most: int) -> DataFrame:
         step = step.join(links, F.col("url") == F.col("_from")).select("start", F.concat("steps", F.array("_pos")).alias("steps"), F.col("link").alias("url"))
         out = out.union(step)
     return out
+
+
+def crawl_positions(pages: DataFrame, most: int) -> DataFrame:
+    """start, position, depth, url: the rows of crawl_order(), each with its place in its start's walk, from 0.
+
+    How many pages a walk meets from a page with so many links left is the page and the sums of its links with one left less; a
+    page's place is its parent's and what the links before it meet. So rows carry numbers, not the ways to them, and only
+    (page, links left) and its links are joined. Null URLs lead nowhere but are places; a table without pages has no rows."""
+    links = page_links(pages).groupBy(F.col("url").alias("_from"), "link").agg(F.min("pos").alias("_pos"))
+    urls = pages.select(F.col("url").alias("link")).distinct()
+    links = checkpointed(links.join(urls, "link", "left_semi"))
+    met = urls.select("link", F.lit(1).cast("long").alias("_n"))  # what a walk with no link left meets
+    before = Window.partitionBy("_from").orderBy("_pos", "link").rowsBetween(Window.unboundedPreceding, -1)
+    steps = []
+    for _ in range(most):
+        sized = links.join(met, "link")
+        steps.append(checkpointed(sized.select("_from", "link", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))))
+        below = sized.groupBy(F.col("_from").alias("link")).agg(F.sum("_n").alias("_below"))
+        met = checkpointed(urls.join(below, "link", "left").select("link", (F.coalesce("_below", F.lit(0)) + 1).alias("_n")))
+    step = pages.select(F.col("page_id").alias("start"), F.lit(0).cast("long").alias("position"), "url")
+    out = step.withColumn("depth", F.lit(0))
+    for depth, link in enumerate(reversed(steps), 1):
+        step = step.join(link, F.col("url") == F.col("_from")).select("start", (F.col("position") + 1 + F.col("_before")).alias("position"), F.col("link").alias("url"))
+        out = out.unionByName(step.withColumn("depth", F.lit(depth)))
+    return out.select("start", "position", "depth", "url")

@@ -202,6 +202,15 @@ def crawl_order(spark, sf_dir):
     return W.crawl_order(table(spark, sf_dir, "pages"), 2).select("start", steps.alias("steps"), "url")
 
 
+@query("crawl_positions", f"""WITH RECURSIVE links AS MATERIALIZED (SELECT page_id, link, min(pos) AS pos FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS link, pos FROM ({_LINKS})) GROUP BY page_id, link),
+next AS MATERIALIZED (SELECT p.url, l.link, l.pos FROM pages p JOIN links l ON l.page_id = p.page_id WHERE l.link IN (SELECT url FROM pages)),
+walk AS (SELECT page_id AS start, url, []::INT[] AS steps, 0 AS depth FROM pages UNION ALL SELECT w.start, n.link, list_append(w.steps, n.pos), w.depth + 1 FROM walk w JOIN next n ON n.url = w.url WHERE w.depth < 3)
+SELECT start, row_number() OVER (PARTITION BY start ORDER BY steps) - 1 AS position, depth, url FROM walk""")
+def crawl_positions(spark, sf_dir):
+    """Places of pages in the walks of at most 3 links."""
+    return W.crawl_positions(table(spark, sf_dir, "pages"), 3)
+
+
 @query("html_markdown")
 def html_markdown(spark, sf_dir):
     return W.markdown(table(spark, sf_dir, "pages"))

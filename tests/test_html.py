@@ -61,3 +61,18 @@ def test_long_and_deep_pages_take_linear_time():
     assert web.html_to_markdown("<tr><td>x</td>" * 20_000, "").count("x") == 20_000
     assert web.html_to_markdown("<table>" + "<tr><td><p>x" * 20_000, "").count("x") == 20_000
     assert time.perf_counter() - began < 20
+
+
+def test_places_in_a_walk_equal_its_steps(spark):
+    links = {"a": "bcb", "b": "ad", "c": "cx", "d": "", "e": "abcd"}
+    rows = [(i, f"http://h/{u}", "".join(f'<a href="/{x}">' for x in to)) for i, (u, to) in enumerate(links.items())] + [(9, None, "<a href='http://h/a'>"), (8, "http://h/n", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (0, 1, 4):
+        order = sorted((r.start, list(r.steps), r.url or "") for r in web.crawl_order(pages, most).collect())
+        want, last, at = [], None, 0
+        for start, steps, url in order:
+            at = at + 1 if start == last else 0
+            want.append((start, at, len(steps), url))
+            last = start
+        assert sorted((r.start, r.position, r.depth, r.url or "") for r in web.crawl_positions(pages, most).collect()) == sorted(want)
+    assert web.crawl_positions(pages.where("false"), 2).count() == 0
