@@ -287,3 +287,44 @@ def test_opening_of_many_lists_takes_little_memory():
     assert peak < 400e6 and set(seen) == set(range(n)) and {len(x) for x in seen.values()} == {int(np.ceil(lists * 0.55))}
     best = np.argsort(-(v[:5] @ index.centroids.T), axis=1)
     assert all(set(best[q][: len(seen[q])].tolist()) == seen[q] for q in range(5))
+
+
+# --- quality
+
+
+def plain_statistics(text):
+    import math
+    import re
+
+    t = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w]
+    lines, n = t.split("\n"), len(t)
+    per = lambda a, b: a / b if b else 0.0
+    count = lambda p: len(re.findall(p, t))
+    return {
+        "chars": math.log1p(n), "upper": per(count("[A-Z]"), n), "digit": per(count("[0-9]"), n), "mark": per(count(r"[#$%&*@^~=+_\\/|<>{}\[\]]"), n), "shout": per(count("[!?]"), n),
+        "stop": per(count("[.,;:]"), n), "space": per(count(r"[\x20\x09-\x0D]"), n), "line": per(len(lines), n), "lines_kept": per(len(set(lines)), len(lines)), "words_kept": per(len(set(words)), len(words)),
+        "words": math.log1p(len(words)), "word_chars": per(n, len(words)), "inner": per(count(r"[A-Za-z][^A-Za-z \t\n\x0b\f\r.,'’\-]+(?=[ \t\n\x0b\f\r])"), len(words)), "link": count(r"://|www\.|@[a-z]"),
+    }
+
+
+def test_quality_equals_plain_python_from_the_labels_on(spark):
+    """Statistics, fold, trees' rules, lasso weights and scores of a whole table, in plain Python from the labels on."""
+    import math
+
+    from corvane.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), quality.fit(docs, labels)).collect()}
+    rows = {r.doc_id: plain_statistics(r.text) for r in docs.collect()}
+    learned = sorted((r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in rows), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    y = dict(map(tuple, labels.collect()))
+    x = {k: np.array([rows[i][k] for i in learned], float) for k in next(iter(rows.values()))}
+    target = np.array([y[i] for i in learned], float)
+    rules = quality.tree_rules(x, target)
+    b, w = quality.lasso_logistic(np.column_stack([[all((rows[i][n] > at) == above for n, above, at in r.parts) for i in learned] for r in rules]).astype(float), target)
+    for i, s in rows.items():
+        z = b + sum(v for r, v in zip(rules, w, strict=True) if abs(v) > 1e-4 and all((s[n] > at) == above for n, above, at in r.parts))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    assert any(abs(v) > 1e-4 for v in w)
