@@ -564,7 +564,8 @@ def test_take_keeps_every_column_of_rows_that_differ_in_one(spark, documents):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
