@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest_llm import ODD, words
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import alignment, clustering, merges, packing
@@ -289,6 +290,22 @@ def test_opening_of_many_lists_takes_little_memory():
     assert all(set(best[q][: len(seen[q])].tolist()) == seen[q] for q in range(5))
 
 
+def test_nearest_are_found_in_dense_groups_and_far_from_the_origin(spark):
+    from corvane.llm import ann
+
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for x in (unit(unit(r.normal(size=(4, 32)))[r.integers(0, 4, 4000)] + 0.004 * r.normal(size=(4000, 32))), unit(1 + 0.05 * r.normal(size=(4000, 32))), unit(r.normal(size=(3000, 128)))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.neighbours(df, F.col("vec_id") % 20 == 0).toPandas()
+        hit = 0
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20].tolist()) & set(g.vec_id))
+        assert len(got) == len(x) and hit / len(got) > 0.93
+
+
 # --- quality
 
 
