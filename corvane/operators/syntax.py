@@ -6,7 +6,8 @@ level between the same brackets are siblings. Patterns are rows too: they come f
 can start them by a join on language and first token, and are compared with the next siblings. Whatever brackets are missing,
 the rest of a file still has its tokens, so broken lines cost what stands on them.
 
-Everything after the tokens needs one shuffle, by file; its windows sort the same partitions. Work is linear in a file.
+Files are shuffled by path before they become tokens, in as many partitions as their bytes ask for; tokens never are, and
+windows sort the same partitions. Rules become marks of tokens before these sorts, so that rows stay narrow. Work is linear in a file.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 REGISTRY = str(Path(__file__).with_name("languages.toml"))
 #: Siblings that a pattern can look ahead.
 AHEAD = 9
+#: Bytes of contents in a partition: what a task sorts is a few hundred times as much.
+PART_BYTES = 250_000
 OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
 START, END = "⟨", "⟩"  # what stands for the brackets around siblings
 LANGUAGE = "ext string, language string, lexer string, hole string, comment string, directive string, quotes string, keywords array<string>, chain array<string>, always array<string>, first array<string>, close array<string>"
 ELEMENT = "struct<texts:array<string>,kind:string,form:string,near:boolean>"
 PATTERN = (
     f"language string, anchor string, rank int, what string, kind string, elements array<{ELEMENT}>, name_at int, body string, block_at int, "
-    "after array<string>, not_after array<string>, only_in array<string>, head boolean, in_block boolean, declares boolean"
+    "after array<string>, not_after array<string>, only_in array<string>, head boolean, in_block boolean, declares boolean, directive string"
 )
 FACTS = ["path", "what", "name", "kind", "qualifier", "start_byte", "end_byte", "start_line", "end_line"]
 
@@ -79,14 +82,14 @@ def load(path: str = REGISTRY) -> tuple[list[tuple], list[tuple]]:
         for e in d["extensions"]:
             languages[e] = (e, name, lexer, d.get("holes", ""), f"^(?:{d['comments']})$", f"^(?:{directive})" if directive else "", quotes, d["keywords"], d["chain"], blocks.get("always", []), blocks.get("first", []), blocks.get("close", []))
         if directive:
-            patterns.append((name, "@i", 0, "import", None, [(["@i"], None, None, False)], 0, None, -1, None, None, None, False, False, None))
+            patterns.append((name, "@i", 0, "import", None, [(["@i"], None, None, False)], 0, None, -1, None, None, None, False, False, None, directive))
         for what, key in (("definition", "definitions"), ("call", "calls"), ("import", "imports")):
             for rank, p in enumerate(d.get(key, [])):
                 for elements, name_at in _elements(p["match"]):
                     if p.get("block_at") == 0:  # what follows a word that opens a block stands in it
                         elements[0] = ([START + t for t in elements[0][0]], *elements[0][1:])
                     for anchor in elements[0][0]:
-                        patterns.append((name, anchor, rank, what, p.get("kind"), elements, name_at, p.get("body"), p.get("block_at", -1), p.get("after"), p.get("not_after"), p.get("inside"), p.get("head", False), p.get("inside_block", False), p.get("declares")))
+                        patterns.append((name, anchor, rank, what, p.get("kind"), elements, name_at, p.get("body"), p.get("block_at", -1), p.get("after"), p.get("not_after"), p.get("inside"), p.get("head", False), p.get("inside_block", False), p.get("declares"), directive))
     return list(languages.values()), patterns
 
 
@@ -96,15 +99,16 @@ def languages(spark: SparkSession, path: str = REGISTRY) -> DataFrame:
 
 
 def tokens(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
-    """Tokens of files (path, content) of the registry's languages: path, language, i, text, cls, lo, hi (bytes), line, end_line,
-    indent, first (of its line), and the language's rules. Null contents, and files of other kinds, have none.
+    """Tokens of files (path, content) of the registry's languages: path, language, _p and _q (their order), i, text, cls, lo, hi (bytes),
+    line, end_line, indent, first (of its line), and what the language's rules say of them: opens (a block), opens_first (if it
+    stands first), closes, chains; and the end of the file. Null contents, and files of other kinds, have none.
 
     cls: n name, k keyword, s string, d number, i import directive, p other; comments and white space are left out."""
     spark = files.sparkSession
     table = spark.createDataFrame(load(registry)[0], LANGUAGE)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     # one row a language and extension: as large as the registry file
-    own = files.select("path", "content", ext.alias("ext")).join(F.broadcast(table), "ext")
+    own = dealt(files.where("content IS NOT NULL").select("path", "content", ext.alias("ext")).join(F.broadcast(table.select("ext")), "ext", "left_semi")).join(F.broadcast(table), "ext")
     lex = lambda text: F.regexp_extract_all(text, F.col("lexer"), F.lit(0))
     piece = lambda text, string: F.struct(text.alias("text"), string.alias("string"))
     hole = F.col("hole") != ""
@@ -127,22 +131,32 @@ def tokens(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
     )
     whole = Window.partitionBy("path").orderBy("_p", "_q")
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    placed = flat.select(
-        "path", "language", "directive", "chain", "always", "opens_first", "close", text.alias("text"), cls.alias("cls"), F.row_number().over(whole).cast("long").alias("i"),
-        F.coalesce(F.sum(F.octet_length(text)).over(before), F.lit(0)).cast("long").alias("lo"), (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int").alias("line"),
-        breaks.alias("_breaks"), F.lag(text).over(whole).alias("_before"),
+    breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    marked = flat.select(
+        "path", "language", "_p", "_q", text.alias("text"), cls.alias("cls"), F.array_contains("always", text).alias("opens"), F.array_contains("opens_first", text).alias("opens_first"),
+        F.array_contains("close", text).alias("closes"), F.array_contains("chain", text).alias("chains"),
+    )
+    placed = marked.select(
+        "*", F.row_number().over(whole).cast("long").alias("i"),
+        F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long").alias("lo"), (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int").alias("line"),
+        breaks.alias("_breaks"), F.lag("text").over(whole).alias("_before"),
     )
     space = F.regexp_extract("_before", r"\n([ \t]*)$", 1)
     kept = placed.withColumn("indent", F.when(F.regexp_like("_before", F.lit(r"^\s[\s\S]*$")), F.length(space)).when(F.col("_before").isNull(), 0)).where(~F.col("cls").isin("w", "c"))
-    inner = Window.partitionBy("path").orderBy("i")
     end_line = (F.col("line") + F.col("_breaks")).cast("int")
     kept = kept.select("*", (F.col("lo") + F.octet_length("text")).alias("hi"), end_line.alias("end_line"))
     return kept.select(
-        "*", F.coalesce(F.col("line") > F.lag("end_line").over(inner), F.lit(True)).alias("first"), F.lag("hi").over(inner).alias("prev_hi"), F.lag("end_line").over(inner).alias("prev_line"), F.lag("text").over(inner).alias("prev_text"),
+        "*", F.coalesce(F.col("line") > F.lag("end_line").over(whole), F.lit(True)).alias("first"), F.lag("hi").over(whole).alias("prev_hi"), F.lag("end_line").over(whole).alias("prev_line"), F.lag("text").over(whole).alias("prev_text"),
+        F.max(F.struct("hi", F.col("end_line").alias("line"))).over(Window.partitionBy("path")).alias("file_end"),
     ).drop("_breaks", "_before")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """files (path, content) by path, in as many partitions as their contents have PART_BYTES."""
+    size = files.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+    return files.repartition(size // PART_BYTES + 1, "path")
+
+
 def _marked(t: DataFrame, which: Column, level: str, depth: Column) -> DataFrame:
     """Rows with their level, and with each bracket of `which` also the start or the end of the level within it (mark 1, -1)."""
     opens, closes = which & F.col("_open"), which & F.col("_close")
@@ -155,17 +169,17 @@ def siblings(found: DataFrame) -> DataFrame:
     among its siblings: next (AHEAD of them), prev, stop (the next block, or end of a statement or of the level), the ends of the
     expression, of the statement, of the level and of the declaration, inside and opener (what the level began with), chain_lo
     and the statement's start, and the end of the file."""
-    by_file = Window.partitionBy("path").orderBy("i")
+    by_file = Window.partitionBy("path").orderBy("_p", "_q")
     word = F.col("cls") == "k"
     loose = ~F.coalesce(F.col("prev_text").isin(".", "::", ":", "&."), F.lit(False))
-    starts = F.array_contains("always", F.col("text")) | (F.array_contains("opens_first", F.col("text")) & (F.col("first") | F.col("prev_text").isin("=", "(", "return")))
+    starts = F.col("opens") | (F.col("opens_first") & (F.col("first") | F.col("prev_text").isin("=", "(", "return")))
     bracket = F.col("cls") == "p"
     opens = (bracket & F.col("text").isin(*OPEN)) | (word & loose & starts)
-    closes = (bracket & F.col("text").isin(*CLOSE)) | (word & loose & F.array_contains("close", F.col("text")))
+    closes = (bracket & F.col("text").isin(*CLOSE)) | (word & loose & F.col("closes"))
     strong = word | F.col("text").isin("{", "}")
     t = found.withColumns({"_open": F.coalesce(opens, F.lit(False)), "_close": F.coalesce(closes, F.lit(False))}).withColumn("_strong", strong)
     # Blocks first; brackets are counted within a block, so that what isn't closed there ends with it.
-    t = t.withColumn("_blocks", F.sum(F.when(F.col("_strong"), F.when(F.col("_open"), 1).when(F.col("_close"), -1).otherwise(0)).otherwise(0)).over(by_file))
+    t = t.withColumn("_blocks", F.sum(F.when(F.col("_strong"), F.when(F.col("_open"), 1).when(F.col("_close"), -1).otherwise(0)).otherwise(0)).over(by_file)).drop("_p", "_q", "opens", "opens_first", "closes")
     t = _marked(t, F.col("_strong"), "block_level", F.col("_blocks"))
     in_level = Window.partitionBy("path", "block_level").orderBy("i", "mark").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("block", F.sum(F.when(F.col("mark") == 1, 1).otherwise(0)).over(in_level)).withColumnRenamed("mark", "_mark")
@@ -180,36 +194,40 @@ def siblings(found: DataFrame) -> DataFrame:
         "_opener": F.when(F.col("mark") == 1, F.col("text")),
         "text": F.when(F.col("mark") == 1, started).when(F.col("mark") == -1, END).otherwise(F.col("text")),
         "cls": F.when(F.col("mark") == 0, F.col("cls")).otherwise("p"),
-    })
+        "chains": F.col("chains") & (F.col("mark") == 0),
+    }).drop("prev_text", "_blocks", "_brackets", "_open", "_strong", "_mark")
     group = ["path", "block_level", "block", "level"]
-    forth = Window.partitionBy(*group).orderBy("i", "mark")
-    so_far = forth.rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*group).orderBy(F.desc("i"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, -1)
+    # The way back first, as its rows are narrow; what looks ahead makes them wide, and is sorted no more.
+    from_end = Window.partitionBy(*group).orderBy(F.desc("i"), F.desc("mark"))
+    back = from_end.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_tok", F.struct("text", "cls", "lo", "hi", "line", "end_line", "first"))
-    t = t.withColumns({"next": F.array(*[F.lead("_tok", k).over(forth) for k in range(1, AHEAD + 1)]), "prev": F.lag("_tok").over(forth)})
+    t = t.withColumns({"prev": F.lead("_tok").over(from_end), "_prev_chains": F.coalesce(F.lead("chains").over(from_end), F.lit(False)), "_after": F.lag("_tok").over(from_end)})
     shut = F.col("text").isin(*CLOSE) | (F.col("_close") & (F.col("mark") == 0))
-    after = F.col("next")[0]
+    after = F.col("_after")
     mate = F.when(after["text"].isin(*CLOSE) | (after["cls"] == "k"), F.struct(after["hi"].alias("hi"), after["end_line"].alias("line")))
     at_end = lambda cond: F.last(F.when(cond, F.struct(F.col("prev_hi").alias("hi"), F.col("prev_line").alias("line"))), ignorenulls=True).over(back)
     declares = F.col("first") & F.col("text").isin("def", "class", "fun", "func", "fn", "object", "trait", "interface", "val", "var", "import", "struct", "enum", "protocol", "let", "const", "return", "function")
     goes_on = F.col("text").isin(".", "?.", "{", "(", "|", "||", "&&", "+", "=>", "=", "where") | F.coalesce(F.col("prev.text").isin("=", "=>", "->", ":", "&&", "||", "+", "(", "{"), F.lit(False))
     over = F.col("text").isin(";", END, ",") | (F.col("first") & ~shut & ~goes_on)
     linked = (
-        F.array_contains("chain", F.col("text")) | F.array_contains("chain", F.col("prev.text")) | F.col("text").isin(*CLOSE)
+        F.col("chains") | F.col("_prev_chains") | F.col("text").isin(*CLOSE)
         | (F.col("text").isin("(", "[") & ~F.col("first") & (F.col("prev.cls").isin("n", "s") | F.col("prev.text").isin(")", "]")))
     )
     begun = F.col("prev").isNull() | F.col("prev.text").isin(";", "}", END) | F.startswith(F.col("prev.text"), F.lit(START)) | (F.col("prev.cls") == "i")
     t = t.withColumns({
         "stop": F.last(F.when(F.col("text").isin("{", ";", "}", END) | declares, F.struct("text", mate.alias("mate"))), ignorenulls=True).over(back),
         "expression": at_end(over), "statement": at_end(F.col("text").isin(";", END)), "declaration": at_end(F.col("first") & (F.col("indent") == 0) & (F.col("mark") == 0)),
-        "block": F.last(F.when(F.col("text") == END, F.struct("hi", F.col("end_line").alias("line"))), ignorenulls=True).over(back),
+        "block_end": F.last(F.when(F.col("text") == END, F.struct("hi", F.col("end_line").alias("line"))), ignorenulls=True).over(back),
         "eq_line": F.last(F.when(F.col("text").isin("=", "|"), F.col("line")), ignorenulls=True).over(back),
+    }).drop("_after", "_close", "prev_hi", "prev_line")
+    forth = Window.partitionBy(*group).orderBy("i", "mark")
+    so_far = forth.rowsBetween(Window.unboundedPreceding, 0)
+    return t.withColumns({
         "inside": F.last("_ctx", ignorenulls=True).over(so_far), "opener": F.last("_opener", ignorenulls=True).over(so_far),
         "chain_lo": F.last(F.when(~F.coalesce(linked, F.lit(False)) | F.col("prev").isNull(), F.col("lo")), ignorenulls=True).over(so_far),
         "begin": F.last(F.when(begun, F.struct("lo", "line")), ignorenulls=True).over(so_far),
-        "mate": mate,
+        "next": F.array(*[F.lead("_tok", k).over(forth) for k in range(1, AHEAD + 1)]),
     })
-    return t.withColumn("file_end", F.max(F.struct("hi", F.col("end_line").alias("line"))).over(Window.partitionBy("path")))
 
 
 def _meets(e: Column, t: Column) -> Column:
@@ -255,12 +273,12 @@ def facts(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
     # an expression that is a block ends with it
     end = (
         F.when(F.col("body") == "{", block).when(F.col("body") == "=", F.coalesce("expression", "file_end")).when(F.col("body") == ";", F.coalesce("statement", "file_end"))
-        .when(F.col("body") == "top", F.coalesce("declaration", "file_end")).when((F.col("body") == "end") & (F.col("block_at") == 0), F.coalesce("block", "file_end"))
+        .when(F.col("body") == "top", F.coalesce("declaration", "file_end")).when((F.col("body") == "end") & (F.col("block_at") == 0), F.coalesce("block_end", "file_end"))
         .when(F.col("body") == "end", F.coalesce(F.struct(F.get("next", F.col("block_at"))["hi"].alias("hi"), F.get("next", F.col("block_at"))["end_line"].alias("line")), F.col("file_end")))
     )
     met = met.withColumn("_end", F.when(defined, end)).where(~defined | F.col("_end").isNotNull())
     whole = defined & (F.col("body") == "{") & F.substring("anchor", 1, 1).isin("@", ":")
-    qualified = (F.col("what") == "call") & (F.col("name_at") == 0) & F.coalesce(F.array_contains("chain", F.col("prev.text")), F.lit(False)) & (F.col("chain_lo") < F.col("prev.lo"))
+    qualified = (F.col("what") == "call") & (F.col("name_at") == 0) & F.col("_prev_chains") & (F.col("chain_lo") < F.col("prev.lo"))
     # a directive is one token: the path is its first group, and stands last in it
     directive = F.col("cls") == "i"
     path = F.call_function("regexp_extract", F.col("text"), F.col("directive"), F.lit(1))

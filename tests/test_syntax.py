@@ -80,3 +80,13 @@ def test_a_registry_file_is_loaded_at_run_time(spark, tmp_path):
     syntax.load.cache_clear()
     with pytest.raises(ValueError, match="without a name"):
         syntax.facts(files, str(own))
+
+
+def test_files_are_shuffled_before_they_become_tokens_by_their_bytes(spark):
+    text = "fn f() { g(1); }\n" * 2_000
+    files = spark.createDataFrame([(f"{i}.rs", text) for i in range(40)], "path string, content string")
+    rows = syntax.siblings(syntax.tokens(files))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Generate") < plan.index("Exchange hashpartitioning(path") and plan.count("Exchange hashpartitioning") == 1
+    assert syntax.dealt(files).rdd.getNumPartitions() == 40 * len(text) // syntax.PART_BYTES + 1
+    assert not {"lexer", "quotes", "keywords", "chain", "directive"} & set(rows.columns)
