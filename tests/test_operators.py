@@ -269,3 +269,21 @@ def test_model_tokens_equal_the_library(spark):
     texts = {r["path"]: r["content"] for r in view(spark, SF, "files").collect()}
     got = {r["path"]: r["tokens"] for r in QUERIES["model_tokens"](spark, SF).collect()}
     assert got == {p: len(t.encode(x or "", add_special_tokens=False).ids) for p, x in texts.items()}
+
+
+def test_calls_are_the_same_by_numbers_and_are_shuffled_once_for_their_definitions(spark):
+    from corvane.plans import adapters
+
+    sf = "/root/testdata/sf0.001"
+    calls, defs = (adapters.view(spark, sf, n) for n in ("calls", "defs"))
+    odd = spark.createDataFrame([(1, 41, 5, 1), (10, 41, 5, 1), (10, 41, 5, 1), (1, 41, 5, 3), (1, 41, 5, 6), (1, None, 5, 1), (None, 41, 5, 1), (10, 41, None, 1), (1, 41, None, 2), (1, 41, 5, None)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    for rows in (odd, spark.read.parquet(f"{sf}/lineitem.parquet")):
+        one, other = (spark.sql(q.replace("FROM lineitem", "FROM {t}"), t=rows) for q in (adapters.CALLS, adapters.CALLS_BY_NUMBER))
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and one.count()
+    flat = spark.createDataFrame([("a", 1, "f", None)], "file string, pos long, callee string, qualifier string")
+    plan = graph.enclosing_definition(flat, defs.limit(5).hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "src string, dst string")
+    plan = graph.adjacency(edges)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, plan.collect())) == [("a", 2, 1), ("b", 1, 1), ("c", 0, 1)] and calls.count()
