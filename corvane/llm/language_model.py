@@ -4,16 +4,16 @@ Restaurants of words: one for each frequent word before, one for each class of t
 a text; all share one parent, the restaurant without context. A word is frequent if it makes up SHARE of the training
 tokens, so at most 1 / SHARE are. Classes are learned from the training text: endings (the last two bytes) of words are
 clustered by the endings that follow them. The shared restaurant's base measure is half uniform over the known words and
-one unknown, half a letter model of the known words' spellings (a hierarchy of contexts of three letters, two, one and none,
-seated once and then fixed).
+one unknown, half a letter model of the known words' spellings (a hierarchy of contexts of three letters, two, one and none).
 
-Seating is sampled by Gibbs sweeps. In each of a sweep's ROUNDS a customer of every dish leaves its table and sits down
-again given all others; a table that it leaves empty takes a customer out of the parent restaurant, a table that it opens
-sends one there; then a customer of every word of the parent moves likewise. (Of a word with many contexts a random
-VISITED of its dishes move in a round.) A restaurant's customers are spread over hash buckets of the words: moves see the
-tables of their own bucket as they are, the total numbers of tables as they were after the sweep before. After every sweep
-the strengths and discounts are sampled too, by auxiliary variables. Predictive probabilities are averaged over the
-last sweeps.
+Seating is sampled by blocked Gibbs sweeps: in each sweep all customers of all dishes, of words and of letters, leave and sit
+down again. Given the parent's measure and one gamma variable of each restaurant (whose mean is its tables, plus strength by
+discount), dishes are independent, and a dish of c customers has t tables with probability proportional to weight**t times
+the generalised Stirling number of (c, t): `tables` draws from that law whatever c is. The parent's measure is drawn from
+its own seating (gamma shares of its dishes; of what it leaves to new tables each word has its expected share). New tables
+are the parent's customers; of a word's tables in the shared restaurant a binomial part comes from the letter model and sends
+its letters there, whose restaurants then move likewise. After every sweep the strengths and discounts are sampled, by
+auxiliary variables. Predictive probabilities are averaged over the last sweeps.
 
 Counts stay distributed. A block of documents asks for its distinct (word, context) pairs once; the pairs of all blocks
 meet by bucket, where they are counted, seated and answered; answers return to the block's documents. Buckets hold a
@@ -23,7 +23,7 @@ the table of endings (at most SLOTS squared counts) and the letter counts, which
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import document_crc, dropped, lowered, mixed, prefix_hash, range_hash, release, slices, spans, written
 
-SWEEPS, KEPT, ROUNDS, VISITED = 4, 2, 6, 32
+SWEEPS, KEPT = 4, 2
+#: Customers up to which Stirling numbers stand in a table; dishes and points of the contour of one step above.
+SMALL, AT_ONCE, POINTS = 64, 128, 40
 LETTER_STRENGTH, LETTER_DISCOUNT = 2.0, 0.6
 #: Strength and discount of contexts and of the shared restaurant that sampling starts from.
 START_AT = (5.0, 0.6, 10.0, 0.6)
@@ -51,6 +53,17 @@ BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 12_000_000
 STEP = 1 / 2000
 
 
+def tidied(run):
+    """A task that leaves no memory to the worker's next tasks, nor finds any of its earlier ones."""
+
+    def tidy(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return tidy
+
+
 def pack(x: np.ndarray) -> bytes:
     """Compressed bytes of an array, after their length."""
     raw = np.ascontiguousarray(x).tobytes()
@@ -80,6 +93,95 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.
     return tables
 
 
+def stirling(discount: float, most: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the generalised Stirling numbers [c, t], c, t <= most, and their derivatives by the discount."""
+    n, slope = np.zeros((most + 1, most + 1)), np.zeros((most + 1, most + 1))
+    n[1, 1] = 1
+    t = np.arange(1, most + 1)
+    for c in range(1, most):
+        n[c + 1, 1:] = n[c, :-1] + (c - t * discount) * n[c, 1:]
+        slope[c + 1, 1:] = slope[c, :-1] + (c - t * discount) * slope[c, 1:] - t * n[c, 1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log(n), slope / n
+
+
+def _large(c: np.ndarray, weight: np.ndarray, d: float, rng) -> tuple[np.ndarray, float]:
+    """`tables` of dishes of many customers. weight**t times the Stirling number is c! times the coefficient of z**c in
+    (weight * f)**t / t!, f = (1 - (1 - z)**d) / d. Cauchy's integral gives it for all t that have a probability, on a contour through
+    the saddle point of their sum: a circle around z = 0, or where that comes near the cut y = 1 - z <= 0, a parabola around the cut."""
+    # the saddle, y = 1 / (1 + exp(v)), where weight * (1 - y) * y**(d - 1) = c
+    goal = np.log(c) - np.log(weight)
+    v = np.where(goal > 0, goal / (1 - d), goal)
+    for _ in range(30):
+        high = np.logaddexp(0, v)
+        v = v - (v - high + (1 - d) * high - goal) / (1 - d * np.exp(v - high))
+    v = np.minimum(v, 69)  # no smaller y makes a difference
+    y1, z1 = np.exp(-np.logaddexp(0, v)), np.exp(-np.logaddexp(0, -v))
+    part = -np.expm1(-d * np.logaddexp(0, v))
+    mean = weight * part / d
+    circle = y1 > 0.5
+    y0 = np.maximum(y1, 2 / c)
+    bend = weight * y1 ** (d - 1) / z1 + weight * (1 - d) * y1 ** (d - 2) - weight * d * y1 ** (2 * d - 2) / part
+    fall = np.where(y1 >= 2 / c, np.minimum(c * y0, 2 * bend * y0**2), c * y0)
+    spread = c * np.maximum(1 + (1 - d) * z1 / y1 - z1 * y1 ** (d - 1) * d / part, 0)
+    # as a compound Poisson number of tables, given its total
+    off = 7 * np.sqrt(mean * spread / (spread + c * c / np.maximum(mean, 1e-200)) + 1) + 8
+    low = np.maximum(1, np.floor(mean - off)).astype(np.int64)
+    wide = np.minimum(c, np.ceil(mean + off)).astype(np.int64) - low + 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        reach = np.where(circle, np.minimum(np.pi, 8 / np.sqrt(spread)), np.sqrt(36 / fall))
+    out, slope = np.zeros(len(c), np.int64), 0.0
+    order = np.argsort(wide)
+    for i in range(0, len(c), AT_ONCE):
+        at = order[i : i + AT_ONCE]
+        s, round_ = reach[at, None] * np.linspace(0, 1, POINTS), circle[at, None]
+        turn = np.where(round_, np.exp(1j * s), 1 + 1j * s)
+        z = np.where(round_, z1[at, None] * turn, 1 - y0[at, None] * turn**2)
+        log_y = np.where(round_, np.log1p(-np.where(round_, z, 0)), 2 * np.log(turn) + np.log(y0[at, None]))
+        f = -np.expm1(d * log_y) / d
+        around = -(c[at, None] + 1) * np.log(z)
+        turn[:, 0] /= 2
+        turn[:, -1] /= 2
+        term = lambda t: np.exp((x := t[:, None] * np.log(f) + around) - x[:, :1].real) * turn  # noqa: B023, E731
+        now = term(low[at])
+        p = np.zeros((len(at), wide[at[-1]]))
+        for k in range(p.shape[1]):
+            p[:, k] = now.real.sum(axis=1)
+            now *= weight[at, None] * f / (low[at] + k + 1)[:, None]
+        p[np.arange(p.shape[1]) >= wide[at, None]] = 0
+        upto = np.cumsum(np.maximum(p, 0), axis=1)
+        t = low[at] + (upto <= (rng.random(len(at)) * upto[:, -1])[:, None]).sum(axis=1)
+        out[at] = t
+        now = term(t)
+        by_d = t[:, None] * (-np.exp(d * log_y) * log_y / (d * f) - 1 / d)
+        slope += float(((now * by_d).real.sum(axis=1) / now.real.sum(axis=1)).sum())
+    return out, slope
+
+
+def tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> tuple[np.ndarray, float]:
+    """Tables of dishes after all their customers left and sat down again, t with probability proportional to weight**t times the
+    generalised Stirling number of (customers, t); and the sum of the derivatives of those numbers' logs by the discount."""
+    out, slope = (customers > 0).astype(np.int64), 0.0
+    number, by_d = stirling(discount)
+    weight = np.maximum(weight, 1e-300)
+    few = np.minimum(customers, SMALL + 1)
+    order = np.argsort(few, kind="stable")
+    edge = np.searchsorted(few[order], np.arange(2, SMALL + 2))
+    for c in range(2, SMALL + 1):
+        at = order[edge[c - 2] : edge[c - 1]]
+        if len(at):
+            p = np.log(weight[at])[:, None] * np.arange(1, c + 1) + number[c, 1 : c + 1]
+            upto = np.cumsum(np.exp(p - p.max(axis=1)[:, None]), axis=1)
+            t = 1 + (upto <= (rng.random(len(at)) * upto[:, -1])[:, None]).sum(axis=1)
+            out[at] = t
+            slope += float(by_d[c, t].sum())
+    at = order[edge[-1] :]
+    if len(at):
+        out[at], more = _large(customers[at].astype(np.float64), weight[at], discount, rng)
+        slope += more
+    return out, slope
+
+
 def letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, symbol, context of three) of every letter and end of the words."""
     m = len(offs) - 1
@@ -96,7 +198,7 @@ def letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Spelling:
-    """Predictive probabilities of letters given up to three before them."""
+    """Probabilities of letters given up to three before them."""
 
     p1: np.ndarray  # [letter before, letter]
     key2: np.ndarray
@@ -106,12 +208,18 @@ class Spelling:
     p3: np.ndarray
     ctx3: np.ndarray
     rest3: np.ndarray
+    tables: tuple = ()  # of contexts of three (in the order of ctx3), of two, of one, of none
+    drawn: Spelling | None = None  # the same with measures drawn from the seating, where these are their means
 
     @classmethod
     def uniform(cls) -> Spelling:
         none, real = np.zeros(0, np.int64), np.zeros(0)
         return cls(np.full((ALPHABET, LETTERS), 1 / LETTERS), none, real, np.ones(ALPHABET**2), none, real, none, real)
 
+    def p0(self) -> np.ndarray:
+        """Probabilities of letters without context: those of a letter that nothing followed, END's row."""
+        return self.p1[END]
+
     def _two(self, ctx2, sym):
         p = self.rest2[ctx2] * self.p1[ctx2 % ALPHABET, sym]
         if len(self.key2):
@@ -141,54 +249,57 @@ class Spelling:
 
     @classmethod
     def seated(cls, key3: np.ndarray, count: np.ndarray, before: Spelling, seed: int) -> Spelling:
-        """The next sweep's restaurants: customers of contexts of three, whose tables are the customers of two, and so on."""
+        """The next sweep's restaurants: customers of contexts of three, whose tables are the customers of two, and so on. All leave
+        and sit down again, given the measures drawn from the seating before."""
         if not len(key3):
             return cls.uniform()
         rng = np.random.default_rng(seed)
         d, s = LETTER_DISCOUNT, LETTER_STRENGTH
+        given, shares = before.drawn or before, []
 
-        def level(group, dishes, c, parent):
-            """Tables, and (share of own counts, share of the parent) by group."""
-            types = np.bincount(group, minlength=dishes)
-            t = seat(c, (s + d * types[group]) * parent, d, rng)
-            total, tables = np.bincount(group, c, dishes), np.bincount(group, t, dishes)
-            return t, (c - d * t) / (s + total[group]), (s + d * tables) / (s + total)
+        def level(group, groups, c, parent, tables_before):
+            """Tables; kept for each group: (share of own counts, share of the parent), as means and drawn."""
+            t = tables(c, d * rng.standard_gamma(tables_before + s / d)[group] * parent, d, rng)[0]
+            total, many = np.bincount(group, c, groups), np.bincount(group, t, groups)
+            own, rest = rng.standard_gamma(c - d * t), rng.standard_gamma(s + d * many)
+            all_ = np.bincount(group, own, groups) + rest
+            shares.append((((c - d * t) / (s + total[group]), (s + d * many) / (s + total)), (own / all_[group], rest / all_), many))
+            return t
 
         sym, ctx3 = key3 % LETTERS, key3 // LETTERS
         groups, group = np.unique(ctx3, return_inverse=True)
-        t3, own3, rest3 = level(group, len(groups), count.astype(float), before._two(ctx3 // OLDEST, sym))
         key2, at2 = np.unique(ctx3 // OLDEST * LETTERS + sym, return_inverse=True)
-        c2, ctx2, sym2 = np.bincount(at2, t3), key2 // LETTERS, key2 % LETTERS
-        t2, own2, rest2 = level(ctx2, ALPHABET**2, c2, before.p1[ctx2 % ALPHABET, sym2])
+        ctx2, sym2 = key2 // LETTERS, key2 % LETTERS
         key1, at1 = np.unique(ctx2 % ALPHABET * LETTERS + sym2, return_inverse=True)
-        c1 = np.bincount(at1, t2)
-        t1, own1, rest1 = level(key1 // LETTERS, ALPHABET, c1, np.full(len(key1), 1 / LETTERS))
-        c0 = np.bincount(key1 % LETTERS, t1, LETTERS)
-        t0, own0, rest0 = level(np.zeros(LETTERS, np.int64), 1, c0, np.full(LETTERS, 1 / LETTERS))
-        p0 = own0 + rest0[0] / LETTERS
-        p1 = rest1[:, None] * p0[None, :]
-        p1[key1 // LETTERS, key1 % LETTERS] += own1
-        out = cls(p1, key2, np.zeros(0), rest2, key3, np.zeros(0), groups, rest3)
-        out.p2 = own2 + rest2[ctx2] * p1[ctx2 % ALPHABET, sym2]
-        out.p3 = own3 + rest3[group] * out._two(ctx3 // OLDEST, sym)
-        return out
-
-
-def shared_out(c: np.ndarray, t: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Sizes of t tables of c customers for each dish, to start from: at least one, the rest by random shares."""
-    dish = np.repeat(np.arange(len(t)), t)
-    share = rng.standard_gamma(1 - discount, len(dish))
-    extra = np.floor(share / np.maximum(np.bincount(dish, share, len(t)), 1e-300)[dish] * (c - t)[dish]).astype(np.int64)
-    size = extra + 1
-    some = np.flatnonzero(t)
-    size[(np.cumsum(t) - t)[some]] += (c - t - np.bincount(dish, extra, len(t)).astype(np.int64))[some]
-    return size
+        ctx1, sym1 = key1 // LETTERS, key1 % LETTERS
+        # to start from, a table for each letter of a context; new contexts of three have none
+        many = before.tables or (np.zeros(0), np.bincount(ctx2, minlength=ALPHABET**2), np.bincount(ctx1, minlength=ALPHABET), np.array([len(np.unique(sym1))]))
+        many3 = np.bincount(group).astype(float)
+        if len(before.ctx3):
+            at = np.minimum(np.searchsorted(before.ctx3, groups), len(before.ctx3) - 1)
+            many3 = np.where(before.ctx3[at] == groups, many[0][at], 0)
+        t3 = level(group, len(groups), count.astype(np.int64), given._two(ctx3 // OLDEST, sym), many3)
+        t2 = level(ctx2, ALPHABET**2, np.bincount(at2, t3).astype(np.int64), given.p1[ctx2 % ALPHABET, sym2], many[1])
+        c1 = np.bincount(at1, t2).astype(np.int64)
+        t1 = level(ctx1, ALPHABET, c1, given.p0()[sym1], many[2])
+        level(np.zeros(LETTERS, np.int64), 1, np.bincount(sym1, t1, LETTERS).astype(np.int64), np.full(LETTERS, 1 / LETTERS), many[3])
+
+        def built(kind, drawn=None):
+            (own3, rest3), (own2, rest2), (own1, rest1), (own0, rest0) = (x[kind] for x in shares)
+            p1 = rest1[:, None] * (own0 + rest0[0] / LETTERS)[None, :]
+            p1[ctx1, sym1] += own1
+            out = cls(p1, key2, np.zeros(0), rest2, key3, np.zeros(0), groups, rest3, tuple(x[2] for x in shares), drawn)
+            out.p2 = own2 + rest2[ctx2] * p1[ctx2 % ALPHABET, sym2]
+            out.p3 = own3 + rest3[group] * out._two(ctx3 // OLDEST, sym)
+            return out
+
+        return built(0, built(1))
 
 
 class Seats:
-    """Tables of many dishes and their sizes; at most one customer of a dish moves at a time."""
+    """Tables of many dishes and their sizes; at most one customer of a dish moves at a time. The law of `tables`, one move after another."""
 
-    def __init__(self, tables: np.ndarray, sizes: np.ndarray, spare: int = ROUNDS):
+    def __init__(self, tables: np.ndarray, sizes: np.ndarray, spare: int = 6):
         self.t, self.used, self.spare = tables.astype(np.int64), tables.astype(np.int64), spare
         self.c = np.bincount(np.repeat(np.arange(len(tables)), tables), sizes, len(tables)).astype(np.int64)
         self._lay(sizes)
@@ -258,8 +369,17 @@ class State:
     discount: float
     root_strength: float
     root_discount: float
+    own: float  # what the words' gamma shares of the parent's measure are expected to sum up to
     seed: int
 
+    def weights(self) -> tuple[np.ndarray, float, float]:
+        """The sweep's weights of contexts and of the shared restaurant, and the share that its measure leaves to new tables."""
+        rng = np.random.default_rng([self.seed, 0])
+        s, d = self.root_strength, self.root_discount
+        opens = self.discount * rng.standard_gamma(self.tables + self.strength / self.discount)
+        rest = rng.standard_gamma(s + d * self.root_tables)
+        return opens, d * float(rng.standard_gamma(self.root_tables + s / d)), float(rest)
+
 
 @dataclass
 class Totals:
@@ -270,14 +390,16 @@ class Totals:
     customers: np.ndarray
     spelling: Spelling
 
-    def base(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return 0.5 / (self.types + 1) + 0.5 * np.exp(self.spelling.words(data, offs))
+    def base(self, data: np.ndarray, offs: np.ndarray, drawn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Base measure of the words, and the part of it that is the letter model's."""
+        spelt = 0.5 * np.exp(((drawn and self.spelling.drawn) or self.spelling).words(data, offs))
+        return (all_ := 0.5 / (self.types + 1) + spelt), spelt / all_
 
 
 #: Words' hashes, numbers of pairs of each word, spellings and their lengths, contexts and training counts of the pairs.
 _PARTS = ("a", "b", "c", "d", "e", "f")
-#: Words' base measure; tables of the pairs that occur twice or more, their sizes; tables of words, their sizes.
-_STATE = ("base", "t2", "s2", "t1", "s1")
+#: Words' base measure, summed over the sweeps kept; tables of the pairs that occur twice or more; tables of words.
+_STATE = ("base", "t2", "t1")
 
 
 class Bucket:
@@ -301,42 +423,31 @@ class Bucket:
         out[self.live] = t2
         return out
 
-    def first(self, base: np.ndarray, s: State, all_: Totals, rng) -> tuple[Seats, Seats]:
-        """Customers seated in turn, to start from."""
-        c1 = self.by_word(self.count > 0)
-        p = self.root(c1, (c1 > 0).astype(float), base, s)
-        t2 = seat(self.count[self.live].astype(float), (s.strength + s.discount * s.tables[self.context[self.live]]) * p[self.word[self.live]], s.discount, rng).astype(np.int64)
-        pairs = Seats(t2, shared_out(self.count[self.live], t2, s.discount, rng))
-        c1 = self.by_word(self.pair_tables(t2))
-        t1 = seat(c1, (s.root_strength + s.root_discount * s.root_tables) * base, s.root_discount, rng).astype(np.int64)
-        return pairs, Seats(t1, shared_out(c1.astype(np.int64), t1, s.root_discount, rng))
-
     def root(self, c, t, base, s: State) -> np.ndarray:
         """Predictive probabilities of the words without context."""
         return (np.maximum(c - s.root_discount * t, 0) + (s.root_strength + s.root_discount * s.root_tables) * base) / (s.root_strength + s.root_customers)
 
-    def sweep(self, pairs: Seats, words: Seats, base: np.ndarray, s: State, rng) -> None:
-        """The rounds of a Gibbs sweep."""
-        word = self.word[self.live]
-        chance = VISITED / np.maximum(np.bincount(word, minlength=len(self.hash)), VISITED)[word]
-        opens = s.strength + s.discount * s.tables[self.context[self.live]]
-        weight = (s.root_strength + s.root_discount * s.root_tables) * base
-        for _ in range(ROUNDS):
-            at = np.flatnonzero(rng.random(len(word)) < chance)
-            closed = pairs.leave(at, rng)
-            n = np.bincount(word[at[closed]], minlength=len(self.hash))
-            while len(some := np.flatnonzero(n)):
-                words.leave(some, rng)
-                n[some] -= 1
-            p = self.root(words.c, words.t, base, s)
-            new = pairs.sit(at, opens[at] * p[word[at]], s.discount, rng)
-            n = np.bincount(word[at[new]], minlength=len(self.hash))
-            while len(some := np.flatnonzero(n)):
-                words.sit(some, weight[some], s.root_discount, rng)
-                n[some] -= 1
-            some = np.flatnonzero(words.c > 1)
-            words.leave(some, rng)
-            words.sit(some, weight[some], s.root_discount, rng)
+    def shares(self, t2: np.ndarray, t1: np.ndarray, s: State, seed: int) -> np.ndarray:
+        """Gamma shares of the words in the measure of the shared restaurant, drawn from its seating."""
+        return np.random.default_rng([seed, 1, self.number]).standard_gamma(np.maximum(self.by_word(self.pair_tables(t2)) - s.root_discount * t1, 0))
+
+    def sweep(self, t2: np.ndarray, t1: np.ndarray, all_: Totals, s: State, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+        """A Gibbs sweep: all customers of all dishes leave and sit down again. Tables of pairs, of words, those of them that come
+        from the letter model, and what the discounts are sampled from."""
+        base, spelt = all_.base(self.data, self.offs, drawn=True)
+        opens, root, rest = s.weights()
+        p = (self.shares(t2, t1, s, s.seed) + rest * base) / (s.own + rest)
+        t2, apart = tables(self.count[self.live], opens[self.context[self.live]] * p[self.word[self.live]], s.discount, rng)
+        t1, root_apart = tables(self.by_word(self.pair_tables(t2)).astype(np.int64), root * base, s.root_discount, rng)
+        return t2, t1, rng.binomial(t1, np.clip(spelt, 0, 1)), max(0.0, -(1 - s.discount) * apart), max(0.0, -(1 - s.root_discount) * root_apart)
+
+    def letters(self, n: np.ndarray, total: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Letter counts of n of each word, added to a total."""
+        word, sym, ctx = letters(self.data, self.offs)
+        at = np.flatnonzero(n[word])
+        key, inverse = np.unique(ctx[at] * LETTERS + sym[at], return_inverse=True)
+        u, place = np.unique(np.concatenate((total[0], key)), return_inverse=True)
+        return u, np.bincount(place, np.concatenate((total[1], np.bincount(inverse, n[word[at]], len(key)))), len(u))
 
     def probabilities(self, base: np.ndarray, kept: list[tuple[np.ndarray, np.ndarray]], states: list[State], all_: Totals) -> np.ndarray:
         """Averaged predictive probability of each pair's word in its context."""
@@ -357,15 +468,10 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
 
 
-def seated_apart(sizes: np.ndarray, discount: float) -> float:
-    """Sum over tables and their customers j = 1 .. size - 1 of (1 - discount) / (j - discount)."""
-    sizes, n = np.unique(sizes[sizes > 1], return_counts=True)
-    return float((1 - discount) * (n * (digamma(sizes - discount) - digamma(np.float64(1 - discount)))).sum()) if len(sizes) else 0.0
-
-
 def sampled(customers: np.ndarray, tables: np.ndarray, apart: float, strength: float, discount: float, rng) -> tuple[float, float]:
     """New strength and discount of restaurants that share them, given their tables, by auxiliary variables whose
-    sums over tables are drawn as Poisson numbers of the same means."""
+    sums over tables are drawn as Poisson numbers of the same means; apart is the mean of one of them, summed over all seatings
+    with these tables."""
     some = tables > 0
     c, t = customers[some], tables[some]
     if not len(t):
@@ -455,7 +561,6 @@ def _blocks(buckets: int, class_of: np.ndarray, frequent: np.ndarray):
     as numbers of the block's pairs. Contexts: frequent words, then classes, then the start of a text."""
 
     def run(batches):
-        release()
         part = TaskContext.get().partitionId() << 32
         number = 0
         for batch in batches:
@@ -559,7 +664,6 @@ def _bucket_row(number, parts, state, kept, keys, sums):
 def _merge(batches):
     """One row of a bucket: pairs by (word, context) with counts, and the words' spellings; with the customers of its contexts,
     and as tables the pairs, as if each had one. Rows come sorted by bucket. Last, a row of no bucket with the letter counts."""
-    release()
     now, held, total = None, [], (np.zeros(0, np.int64), np.zeros(0))
 
     def merged():
@@ -580,11 +684,7 @@ def _merge(batches):
         customers, tables = np.bincount(b.context, b.count), np.bincount(b.context, b.count > 0)
         some = np.flatnonzero(customers)
         types = b.by_word(b.count > 0)
-        word, sym, ctx = letters(b.data, b.offs)
-        key, inverse = np.unique(ctx * LETTERS + sym, return_inverse=True)
-        n = np.bincount(inverse, (types > 0)[word], len(key))
-        u, inverse = np.unique(np.concatenate((total[0], key[n > 0])), return_inverse=True)
-        total = (u, np.bincount(inverse, np.concatenate((total[1], n[n > 0])), len(u)))
+        total = b.letters((types > 0).astype(np.int64), total)
         keys = np.concatenate((some, some + _TABLES, _SCALARS + np.arange(2)))
         sums = np.concatenate((customers[some], tables[some], [(types > 0).sum(), types.sum()]))
         return _bucket_row(now, held[0], [None] * len(_STATE), [], keys, sums)
@@ -606,30 +706,32 @@ def _merge(batches):
 
 
 def _sweep(sent, keep: bool):
-    """A Gibbs sweep of every bucket, with its new tables and what they add to the totals."""
+    """A Gibbs sweep of every bucket, with its new tables and what they add to the totals. Last, a row of no bucket with the
+    letter counts of the words' tables that come from the letter model."""
 
     def run(batches):
-        release()
         all_, s = sent.value
+        total = (np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             for k, *x in zip(*[batch.column(c).to_pylist() for c in ("bucket", *_PARTS, *_STATE, "kept")], strict=True):
-                parts, state, kept = x[: len(_PARTS)], x[len(_PARTS) : -1], x[-1]
+                parts, (base, *state), kept = x[: len(_PARTS)], x[len(_PARTS) : -1], x[-1]
                 b = Bucket(k, parts)
-                rng = np.random.default_rng([s.seed, k])
-                if state[0] is None:
-                    base = all_.base(b.data, b.offs)
-                    pairs, words = b.first(base, s, all_, rng)
+                if state[0] is None:  # to start from, everyone has a table
+                    t2, t1 = np.ones(len(b.live), np.int64), (b.by_word(b.count > 0) > 0).astype(np.int64)
                 else:
-                    base, t2, s2, t1, s1 = (unpack(v, kind) for v, kind in zip(state, (np.float64, *[np.int64] * 4), strict=True))
-                    pairs, words = Seats(t2, s2), Seats(t1, s1)
-                b.sweep(pairs, words, base, s, rng)
-                s2, s1 = pairs.sizes(), words.sizes()
-                tables = np.bincount(b.context, b.pair_tables(pairs.t))
-                some = np.flatnonzero(tables)
+                    t2, t1 = (unpack(v, np.int64) for v in state)
+                t2, t1, spelt, apart, root_apart = b.sweep(t2, t1, all_, s, np.random.default_rng([s.seed, 2, k]))
+                total = b.letters(spelt, total)
+                tables_ = np.bincount(b.context, b.pair_tables(t2))
+                some = np.flatnonzero(tables_)
                 keys = np.concatenate((some + _TABLES, _SCALARS + np.arange(4)))
-                sums = np.concatenate((tables[some], [words.t.sum(), words.c.sum(), seated_apart(s2, s.discount), seated_apart(s1, s.root_discount)]))
-                now = [pack(v) for v in (base, pairs.t, s2, words.t, s1)]
-                yield _bucket_row(k, parts, now, [*kept, now[1], now[3]] if keep else [], keys, sums)
+                sums = np.concatenate((tables_[some], [t1.sum(), b.pair_tables(t2).sum(), apart, root_apart]))
+                now = [pack(t2), pack(t1)]
+                if keep:
+                    mean = all_.base(b.data, b.offs)[0] / KEPT
+                    base = pack(mean if base is None else unpack(base, np.float64) + mean)
+                yield _bucket_row(k, parts, [base, *now], [*kept, *now] if keep else [], keys, sums)
+        yield _bucket_row(None, [None] * len(_PARTS), [None] * len(_STATE), [], total[0] + _LETTER_KEYS, total[1])
 
     return run
 
@@ -639,7 +741,6 @@ def _answer(sent):
     bucket's own row comes first."""
 
     def run(batches):
-        release()
         all_, states = sent.value
         b = key = count = logp = None
         for batch in batches:
@@ -665,7 +766,6 @@ def _answer(sent):
 
 def _score(tokens: int, types: int):
     def run(batches):
-        release()
         block, held, base, logp, known = None, [], None, None, None
         for batch in batches:
             for b, kind, a, c, times, docs in zip(*[batch.column(n).to_pylist() for n in ("block", "kind", "a", "b", "c", "d")], strict=True):
@@ -712,7 +812,7 @@ def score(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (document_crc() % modulus == remainder).alias("held_out"))
-    survey = written(rows.select("text", "held_out").mapInArrow(_survey, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("kind <> 1 OR n > 1"), "survey")
+    survey = written(rows.select("text", "held_out").mapInArrow(tidied(_survey), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("kind <> 1 OR n > 1"), "survey")
     tokens, size = (survey.where(f"kind = 2 and key = {k}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (0, 1))
     near = survey.where("kind = 0").select("key", "n").toArrow()
     class_of = ending_classes(near.column("key").to_numpy(), near.column("n").to_numpy())
@@ -721,8 +821,8 @@ def score(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> DataFrame:
     dropped(survey)
     buckets = max(16, -(-int(size) // BUCKET_BYTES))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 16)
-    blocks = written(rows.mapInArrow(_blocks(buckets, class_of, frequent), _SCHEMA), "blocks")
-    merged = blocks.where("kind = 0").select("bucket", *_PARTS).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _BUCKET_SCHEMA)
+    blocks = written(rows.mapInArrow(tidied(_blocks(buckets, class_of, frequent)), _SCHEMA), "blocks")
+    merged = blocks.where("kind = 0").select("bucket", *_PARTS).repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_merge), _BUCKET_SCHEMA)
     now = written(merged, "words")
     key, n = _totals(now)
     contexts = len(frequent) + CLASSES + 1
@@ -733,32 +833,35 @@ def score(docs: DataFrame, remainder: int = 2, modulus: int = 7) -> DataFrame:
         out[key[ok] - lo] = n[ok]
         return out
 
+    def spelling(before, seed):
+        letter = key >= _LETTER_KEYS
+        return Spelling.seated(key[letter] - _LETTER_KEYS, n[letter], before, seed)
+
     types, root_customers = vector(_SCALARS, 2)
-    letter = key >= _LETTER_KEYS
-    spelling = Spelling.seated(key[letter] - _LETTER_KEYS, n[letter], Spelling.uniform(), 100)
     customers = vector(0, contexts)
-    all_ = Totals(int(customers.sum()), int(types), customers, spelling)
-    state = State(vector(_TABLES, contexts), types, root_customers, *START_AT, 200)
+    all_ = Totals(int(customers.sum()), int(types), customers, spelling(Spelling.uniform(), 100))
+    state = State(vector(_TABLES, contexts), types, root_customers, *START_AT, root_customers - START_AT[3] * types, 200)
     rng, kept = np.random.default_rng(1), []
     for k in range(SWEEPS):
         sent = spark.sparkContext.broadcast((all_, state))
-        swept = written(now.where("bucket is not null").mapInArrow(_sweep(sent, k >= SWEEPS - KEPT), _BUCKET_SCHEMA), "sweep")
+        swept = written(now.where("bucket is not null").mapInArrow(tidied(_sweep(sent, k >= SWEEPS - KEPT)), _BUCKET_SCHEMA), "sweep")
         dropped(now)
         now = swept
         key, n = _totals(now)
-        tables, (root_tables, root_customers, apart, root_apart) = vector(_TABLES, contexts), vector(_SCALARS, 4)
-        strength, discount = sampled(customers, tables, apart, state.strength, state.discount, rng)
+        table_totals, (root_tables, root_customers, apart, root_apart) = vector(_TABLES, contexts), vector(_SCALARS, 4)
+        strength, discount = sampled(customers, table_totals, apart, state.strength, state.discount, rng)
         root_strength, root_discount = sampled(np.array([root_customers]), np.array([root_tables]), root_apart, state.root_strength, state.root_discount, rng)
-        state = State(tables, root_tables, root_customers, strength, discount, root_strength, root_discount, 201 + k)
+        state = State(table_totals, root_tables, root_customers, strength, discount, root_strength, root_discount, root_customers - root_discount * root_tables, 201 + k)
+        all_ = replace(all_, spelling=spelling(all_.spelling, 101 + k))
         kept.append(state)
     sent = spark.sparkContext.broadcast((all_, kept[-KEPT:]))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     tell = now.where("bucket is not null").select("bucket", F.lit(-1).alias("kind"), none("long", "block"), *_PARTS, "base", "kept")
     ask = blocks.where("kind = 0").select("bucket", "kind", "block", "a", "b", none("binary", "c"), none("binary", "d"), "e", none("binary", "f"), none("binary", "base"), none("array<binary>", "kept"))
-    answers = tell.unionByName(ask).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(sent), "block long, bucket int, a binary, b binary, c binary")
+    answers = tell.unionByName(ask).repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tidied(_answer(sent)), "block long, bucket int, a binary, b binary, c binary")
     answers = answers.select("block", F.lit(0).alias("kind"), "bucket", "a", "b", "c", none("binary", "d"))
     asking = blocks.where("kind = 1").select("block", "kind", "bucket", "a", "b", "c", "d")
     scored = answers.unionByName(asking).repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(
-        _score(all_.tokens, all_.types), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        tidied(_score(all_.tokens, all_.types)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.withColumn("train_tokens", F.lit(all_.tokens).cast("long"))
