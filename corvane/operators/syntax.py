@@ -1,13 +1,14 @@
 """Definitions, calls and imports by patterns over token tables.
 
-A file becomes a table of tokens by one regular expression of its language, inside the JVM. Window functions over a file's
-tokens give offsets, lines, bracket levels, matching brackets and the chains of names in front of a call; tokens of one
+A file becomes a table of tokens by one regular expression of its language, inside the JVM. From a file's tokens follow
+offsets, lines, bracket levels, matching brackets and the chains of names in front of a call; tokens of one
 level between the same brackets are siblings. Patterns are rows too: they come from a registry file, meet the tokens that
-can start them by a join on language and first token, and are compared with the next siblings. Whatever brackets are missing,
+can start them by language and first token, and are compared with the next siblings. Whatever brackets are missing,
 the rest of a file still has its tokens, so broken lines cost what stands on them.
 
-Files are shuffled by path before they become tokens, in as many partitions as their bytes ask for; tokens never are, and
-windows sort the same partitions. Rules become marks of tokens before these sorts, so that rows stay narrow. Work is linear in a file.
+Files are shuffled by path before they become tokens, in as many partitions as their bytes ask for; tokens never are.
+`facts` sends the tokens of a partition through NumPy columns (matching.py). `tokens`, `siblings` and `matches` are the same rules
+as window functions and joins, for tables of tokens and for the test of `facts`. Work is linear in a file.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from functools import lru_cache
 from itertools import product
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import matching
+
 #: The registry that is used unless another file is named.
 REGISTRY = str(Path(__file__).with_name("languages.toml"))
 #: Siblings that a pattern can look ahead.
 AHEAD = 9
-#: Bytes of contents in a partition: what a task sorts is a few hundred times as much.
-PART_BYTES = 250_000
+#: Bytes of contents in a partition.
+PART_BYTES = 500_000
 OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
 START, END = "⟨", "⟩"  # what stands for the brackets around siblings
 LANGUAGE = "ext string, language string, lexer string, hole string, comment string, directive string, quotes string, keywords array<string>, chain array<string>, always array<string>, first array<string>, close array<string>"
@@ -34,6 +38,7 @@ PATTERN = (
     f"language string, anchor string, rank int, what string, kind string, elements array<{ELEMENT}>, name_at int, body string, block_at int, "
     "after array<string>, not_after array<string>, only_in array<string>, head boolean, in_block boolean, declares boolean, directive string"
 )
+SQL_TYPES = {pa.string(): "string", pa.bool_(): "boolean", pa.int64(): "long", pa.int32(): "int"}
 FACTS = ["path", "what", "name", "kind", "qualifier", "start_byte", "end_byte", "start_line", "end_line"]
 
 
@@ -98,42 +103,55 @@ def languages(spark: SparkSession, path: str = REGISTRY) -> DataFrame:
     return spark.createDataFrame([row[:2] for row in load(path)[0]], "ext string, language string")
 
 
-def tokens(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
-    """Tokens of files (path, content) of the registry's languages: path, language, _p and _q (their order), i, text, cls, lo, hi (bytes),
-    line, end_line, indent, first (of its line), and what the language's rules say of them: opens (a block), opens_first (if it
-    stands first), closes, chains; and the end of the file. Null contents, and files of other kinds, have none.
+def lexed(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
+    """All tokens of files (path, content) of the registry's languages, those of a file in order: path, language, _p and _q (their
+    order), text, cls, and the columns of LANGUAGE. Null contents, and files of other kinds, have none.
 
-    cls: n name, k keyword, s string, d number, i import directive, p other; comments and white space are left out."""
+    cls: n name, k keyword, s string, d number, i import directive, p other, w white space, c comment."""
     spark = files.sparkSession
     table = spark.createDataFrame(load(registry)[0], LANGUAGE)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    # one row a language and extension: as large as the registry file
-    own = dealt(files.where("content IS NOT NULL").select("path", "content", ext.alias("ext")).join(F.broadcast(table.select("ext")), "ext", "left_semi")).join(F.broadcast(table), "ext")
+    # one row a language and extension: as large as the registry file. Files of a language follow each other, as expressions
+    # are compiled when they change: by the functions that keep the last one, which regexp_like doesn't.
+    kept = files.where("content IS NOT NULL").select("path", "content", ext.alias("ext")).join(F.broadcast(table.select("ext")), "ext", "left_semi")
+    own = dealt(kept).sortWithinPartitions("ext").join(F.broadcast(table), "ext")
+    like = lambda text, form: F.regexp_instr(text, form) > 0
     lex = lambda text: F.regexp_extract_all(text, F.col("lexer"), F.lit(0))
     piece = lambda text, string: F.struct(text.alias("text"), string.alias("string"))
     hole = F.col("hole") != ""
     # a string with holes is cut into them and what is between; the holes are code
     parts = lambda t: F.regexp_extract_all(t, F.concat("hole", F.lit(r"|(?s:.)")), F.lit(0))
     within = lambda t: F.flatten(F.transform(parts(t), lambda p: F.when(F.length(p) > 1, F.concat(F.array(piece(F.substring(p, 1, 1), F.lit(True))), F.transform(lex(F.substring(p, 2, 2147483647)), lambda x: piece(x, F.lit(False))))).otherwise(F.array(piece(p, F.lit(True))))))
-    holed = hole & F.substring("_t", 1, 1).isin('"', "`", "'", "$", "<") & F.regexp_like("_t", F.col("quotes")) & F.regexp_like("_t", F.when(hole, F.col("hole")).otherwise(F.lit("^$")))
-    rows = own.select("path", "language", "lexer", "hole", "comment", "directive", "quotes", "keywords", "chain", "always", F.col("first").alias("opens_first"), "close", F.posexplode(lex(F.col("content"))).alias("_p", "_t"))
-    flat = rows.select("*", F.posexplode(F.when(holed, within(F.col("_t"))).otherwise(F.array(piece(F.col("_t"), F.lit(False))))).alias("_q", "_x"))
-    text = F.col("_x.text")
+    holed = hole & F.substring("_t", 1, 1).isin('"', "`", "'", "$", "<") & like(F.col("_t"), F.col("quotes")) & like(F.col("_t"), F.col("hole"))
+    rows = own.select("path", "language", "lexer", "hole", "comment", "directive", "quotes", "keywords", "chain", "always", "first", "close", F.posexplode(lex(F.col("content"))).alias("_p", "_t"))
+    flat = rows.select("*", F.posexplode(F.when(holed, within(F.col("_t"))).otherwise(F.array(piece(F.col("_t"), F.lit(False))))).alias("_q", "_x")).select("*", F.col("_x.text").alias("text"))
+    text = F.col("text")
     words = F.regexp_like(text, F.lit(r"^[\p{L}_$]"))
+    directed = (F.col("directive") != "") & like(text, F.col("directive"))
     cls = (
-        F.when(F.col("_x.string"), "s").when(F.regexp_like(text, F.lit(r"^\s")) & ~((F.col("directive") != "") & F.regexp_like(text, F.col("directive"))), "w")
-        .when(F.regexp_like(text, F.col("comment")), "c")
-        .when((F.col("directive") != "") & F.regexp_like(text, F.col("directive")), "i")
-        .when(~F.regexp_like(text, F.lit(r"^[\p{L}_$]\S*$")) & (F.length(text) > 1) & F.regexp_like(text, F.col("quotes")), "s")
-        .when(words & F.regexp_like(text, F.lit("[\"']")) & F.regexp_like(text, F.col("quotes")), "s")
+        F.when(F.col("_x.string"), "s").when(F.regexp_like(text, F.lit(r"^\s")) & ~directed, "w")
+        .when(like(text, F.col("comment")), "c")
+        .when(directed, "i")
+        .when(~F.regexp_like(text, F.lit(r"^[\p{L}_$]\S*$")) & (F.length(text) > 1) & like(text, F.col("quotes")), "s")
+        .when(words & F.regexp_like(text, F.lit("[\"']")) & like(text, F.col("quotes")), "s")
         .when(words, F.when(F.array_contains("keywords", text), "k").otherwise("n"))
         .when(F.regexp_like(text, F.lit(r"^\d")), "d").otherwise("p")
     )
+    return flat.withColumn("cls", cls).drop("_t", "_x")
+
+
+def tokens(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
+    """Tokens of files (path, content) of the registry's languages: path, language, _p and _q (their order), i, text, cls, lo, hi (bytes),
+    line, end_line, indent, first (of its line), and what the language's rules say of them: opens (a block), opens_first (if it
+    stands first), closes, chains; and the end of the file. Null contents, and files of other kinds, have none.
+
+    cls as in lexed; comments and white space are left out."""
+    flat, text = lexed(files, registry), F.col("text")
     whole = Window.partitionBy("path").orderBy("_p", "_q")
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     marked = flat.select(
-        "path", "language", "_p", "_q", text.alias("text"), cls.alias("cls"), F.array_contains("always", text).alias("opens"), F.array_contains("opens_first", text).alias("opens_first"),
+        "path", "language", "_p", "_q", "text", "cls", F.array_contains("always", text).alias("opens"), F.array_contains("first", text).alias("opens_first"),
         F.array_contains("close", text).alias("closes"), F.array_contains("chain", text).alias("chains"),
     )
     placed = marked.select(
@@ -141,7 +159,7 @@ def tokens(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
         F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long").alias("lo"), (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int").alias("line"),
         breaks.alias("_breaks"), F.lag("text").over(whole).alias("_before"),
     )
-    space = F.regexp_extract("_before", r"\n([ \t]*)$", 1)
+    space = F.regexp_extract("_before", r"\n([ \t]*)\z", 1)
     kept = placed.withColumn("indent", F.when(F.regexp_like("_before", F.lit(r"^\s[\s\S]*$")), F.length(space)).when(F.col("_before").isNull(), 0)).where(~F.col("cls").isin("w", "c"))
     end_line = (F.col("line") + F.col("_breaks")).cast("int")
     kept = kept.select("*", (F.col("lo") + F.octet_length("text")).alias("hi"), end_line.alias("end_line"))
@@ -262,19 +280,38 @@ def facts(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
 
     A definition reaches from the pattern's first word (from the start of the statement if that is the name) to the end of its
     body, to the end of the file if that isn't closed; calls and imports are where their name or path stands. Null contents,
-    and files of kinds that the registry doesn't name, give no rows; a path that is there twice counts as one file, its tokens
-    mixed; other columns are ignored."""
+    and files of kinds that the registry doesn't name, give no rows; a path that is there twice is two files of that name;
+    other columns are ignored."""
+    languages, patterns = load(registry)
+    forms = sorted({(e[2], p[0]) for p in patterns for e in p[5] if e[2] is not None})
+    names = sorted({form for form, _ in forms})
+    matcher = matching.Matcher(languages, patterns, names)
+    starts = (F.col("_p") == 0) & (F.col("_q") == 0)
+    number = F.create_map(*[F.lit(x) for k, n in enumerate(matcher.names) for x in (n, k)])
+    found = lexed(files, registry).select(
+        F.when(starts, F.col("path")).alias("path"), F.when(starts, number[F.col("language")]).alias("language"), "text", (F.instr(F.lit(matching.CLASSES), F.col("cls")) - 1).cast("byte").alias("cls"),
+        F.when(F.col("cls") == "i", F.call_function("regexp_extract", F.col("text"), F.col("directive"), F.lit(1))).alias("way"),
+        *[(F.col("language").isin([n for f, n in forms if f == form]) & F.regexp_like("text", F.lit(form))).alias(f"form{k}") for k, form in enumerate(names)],
+    )
+    out = found.mapInArrow(matcher, ", ".join(f"{f.name} {SQL_TYPES[f.type]}" for f in matching.FACTS))
+    bare = F.regexp_replace("name", "^['\"`<]+|['\"`>]+$", "")
+    return out.withColumn("name", F.when(F.col("bare"), bare).otherwise(F.col("name"))).select(*FACTS)
+
+
+def table_facts(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
+    """What `facts` gives, by windows and joins over tables of tokens, of files with different paths."""
     rows = siblings(tokens(files, registry))
     met = matches(rows, registry)
     here = F.struct("text", "cls", "lo", "hi", "line", "end_line", "first")
     met = met.withColumn("_name", F.when(F.col("name_at") == 0, here).otherwise(F.col("next")[F.col("name_at") - 1]))
     defined = F.col("what") == "definition"
     block = F.when(F.col("stop.text") == "{", F.coalesce("stop.mate", "file_end"))
+    at_block = F.get("next", F.col("block_at"))
     # an expression that is a block ends with it
     end = (
         F.when(F.col("body") == "{", block).when(F.col("body") == "=", F.coalesce("expression", "file_end")).when(F.col("body") == ";", F.coalesce("statement", "file_end"))
         .when(F.col("body") == "top", F.coalesce("declaration", "file_end")).when((F.col("body") == "end") & (F.col("block_at") == 0), F.coalesce("block_end", "file_end"))
-        .when(F.col("body") == "end", F.coalesce(F.struct(F.get("next", F.col("block_at"))["hi"].alias("hi"), F.get("next", F.col("block_at"))["end_line"].alias("line")), F.col("file_end")))
+        .when(F.col("body") == "end", F.coalesce(F.when(at_block.isNotNull(), F.struct(at_block["hi"].alias("hi"), at_block["end_line"].alias("line"))), F.col("file_end")))
     )
     met = met.withColumn("_end", F.when(defined, end)).where(~defined | F.col("_end").isNotNull())
     whole = defined & (F.col("body") == "{") & F.substring("anchor", 1, 1).isin("@", ":")

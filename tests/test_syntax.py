@@ -90,3 +90,28 @@ def test_files_are_shuffled_before_they_become_tokens_by_their_bytes(spark):
     assert plan.rindex("Generate") < plan.index("Exchange hashpartitioning(path") and plan.count("Exchange hashpartitioning") == 1
     assert syntax.dealt(files).rdd.getNumPartitions() == 40 * len(text) // syntax.PART_BYTES + 1
     assert not {"lexer", "quotes", "keywords", "chain", "directive"} & set(rows.columns)
+
+
+def test_facts_are_those_of_windows_and_tokens_are_not_sorted(spark, monkeypatch):
+    from corvane.operators import matching
+
+    rows = [(f"{n}/{p}", t if n == "whole" else t[:i] + t[j:]) for p, (t, _, _) in FILES.items() if t for n, i, j in (("whole", 0, 0), ("cut", len(t) // 2, len(t) // 2 + 9), ("head", 0, 12), ("tail", len(t) - 7, len(t)))]
+    rows += [("many.js", "".join(f"function f{i}() {{ g{i}(`${{h(1)}} k(`); }}\n" for i in range(300))), ("blank.go", " \n\t// é\n"), (None, "fn f() {}")]
+    files = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    want = sorted(map(tuple, syntax.table_facts(files).collect()), key=str)
+    for chunk in (100_000, 1):
+        monkeypatch.setattr(matching, "CHUNK", chunk)
+        assert sorted(map(tuple, syntax.facts(files).collect()), key=str) == want and len(want) > 400
+    plan = syntax.facts(files)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "_p ASC" not in plan
+
+
+def test_what_is_not_closed_ends_with_its_file_and_blank_lines_do_not_indent(spark):
+    texts = {"a.lua": "local q = function() w()\nx(1)", "a.hs": "f x = g x\n  \nh y = g y"}
+    found = syntax.facts(spark.createDataFrame(list(texts.items()), "path string, content string")).where("what = 'definition'")
+    assert sorted((r.name, r.start_byte, r.end_byte, r.end_line) for r in found.collect()) == [("f", 0, 9, 1), ("h", 13, 22, 3), ("q", 6, 29, 2)]
+
+
+def test_a_path_that_is_there_twice_is_two_files(spark):
+    files = spark.createDataFrame([("a.rs", "fn f() { g(1); }"), ("a.rs", "fn h() { k(2);\n}")], "path string, content string")
+    assert sorted((r.name, r.start_byte, r.end_line) for r in syntax.facts(files).collect()) == [("f", 0, 1), ("g", 9, 1), ("h", 0, 2), ("k", 9, 1)]
