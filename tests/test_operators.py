@@ -287,3 +287,21 @@ def test_calls_are_the_same_by_numbers_and_are_shuffled_once_for_their_definitio
     plan = graph.adjacency(edges)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, plan.collect())) == [("a", 2, 1), ("b", 1, 1), ("c", 0, 1)] and calls.count()
+
+
+def test_adjacency_has_the_sets_both_ways_of_all_nodes(spark):
+    edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("a", "b"), ("b", "b"), ("d", "d"), ("b", "a"), ("x", None), (None, "y")], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("alone",), ("alone",), ("d",)], "node string")
+    want = {"a": (["b", "c"], ["b"]), "b": (["a"], ["a"]), "c": ([], ["a"])}
+    got = graph.adjacency_sets(edges, nodes)
+    assert {r["node"]: (r["callees"], r["callers"]) for r in got.collect()} == want | {"alone": ([], []), "d": ([], [])} and got.count() == 5
+    assert {r["node"] for r in graph.adjacency_sets(edges).collect()} == set(want)
+    sf = "/root/testdata/sf0.001"
+    rows = {r["node"]: r for r in QUERIES["adjacency"](spark, sf).collect()}
+    near = {n: (set(), set()) for n in rows}
+    for e in QUERIES["call_edges"](spark, sf).collect():
+        near[e["src"]][0].add(e["dst"])
+        near[e["dst"]][1].add(e["src"])
+    assert near == {n: (set(r["callees"].split(",")) - {""}, set(r["callers"].split(",")) - {""}) for n, r in rows.items()} and any(r["n_callees"] for r in rows.values())
+    assert all((r["n_callees"], r["n_callers"]) == tuple(map(len, near[n])) for n, r in rows.items())
+    assert QUERIES["graph_counts"](spark, sf).first()["n_nodes"] == len(rows)
