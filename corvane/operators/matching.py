@@ -46,7 +46,7 @@ def files_of(batches, columns: int, chunk: int) -> Iterator[list[pa.Array]]:
 def running(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Running sums that begin anew where start says the place of the stretch's first row."""
     total = np.cumsum(values, dtype=np.int64)
-    return total - (total - values)[start]
+    return (total - (total - values)[start]).astype(np.int32)
 
 
 def stretches(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +59,17 @@ def stretches(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             new[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(new)
     which = np.cumsum(new) - 1
-    return first[which], np.append(first[1:], n)[which]
+    return first.astype(np.int32)[which], np.append(first[1:], n).astype(np.int32)[which]
 
 
 def doubled(opens: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows, with those that open or close twice, and their marks: the start (1) or the end (-1) of a level beside the row (0)."""
     closes = closes & ~opens
     times = 1 + (opens | closes)
-    row = np.repeat(np.arange(len(opens)), times)
-    second = np.arange(len(row)) - (np.cumsum(times) - times)[row]
-    return row, np.where(opens[row], second, np.where(closes[row], second - 1, 0))
+    row = np.repeat(np.arange(len(opens), dtype=np.int32), times)
+    second = np.zeros(len(row), np.int8)
+    second[1:] = row[1:] == row[:-1]
+    return row, np.where(opens[row], second, np.where(closes[row], second - np.int8(1), np.int8(0)))
 
 
 class Matcher:
@@ -110,10 +111,10 @@ class Matcher:
 
     def met(self, t: Rows) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the patterns that begin at them."""
-        rows, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rows, which = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         begins = t.mark != -1
         for language in np.unique(t.file_language).tolist():
-            own = np.flatnonzero((t.language == language) & begins)
+            own = np.flatnonzero((t.language == language) & begins).astype(np.int32)
             code, cls = t.code[own], t.cls[own]
             for anchor, patterns in self.by_anchor.get(language, {}).items():
                 if len(anchor) == 2 and anchor[0] == "@" and anchor[1] in CLASSES:
@@ -125,7 +126,7 @@ class Matcher:
                 for k in patterns if len(at) else ():
                     found = self.fitting(t, at, self.patterns[k])
                     rows.append(found)
-                    which.append(np.full(len(found), k))
+                    which.append(np.full(len(found), k, np.int32))
         return np.concatenate(rows), np.concatenate(which)
 
     def fitting(self, t: Rows, at: np.ndarray, pattern: tuple) -> np.ndarray:
@@ -228,7 +229,7 @@ class Matcher:
         kind = self.kind[which]
         columns = [
             t.paths.take(pa.array(t.file[rows])).cast(pa.string()), self.whats.take(pa.array(what)), names, pa.array((what == 2) & ~directive[k]),
-            self.kinds.take(pa.array(np.where(kind < 0, len(self.kinds) - 1, kind))), pa.array(qualifiers, pa.string()), pa.array(start_byte[k]), pa.array(end_byte[k]),
+            self.kinds.take(pa.array(np.where(kind < 0, len(self.kinds) - 1, kind))), pa.array(qualifiers, pa.string()), pa.array(start_byte[k].astype(np.int64)), pa.array(end_byte[k].astype(np.int64)),
             pa.array(start_line[k].astype(np.int32)), pa.array(end_line[k].astype(np.int32)),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=FACTS)
@@ -245,13 +246,14 @@ class Rows:
         n = len(texts)
         bytes_ = np.frombuffer(self.source.buffers()[1], np.int64)[self.source.offset :][: n + 1]
         self.buffer, self.offsets = self.source.buffers()[2], bytes_
-        file = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        file = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, n)))
         coded = self.source.dictionary_encode()
-        self.words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.words, code = coded.dictionary, coded.indices.to_numpy()
         self.size = len(self.words)
         self._numbers: dict[str, int] = {}
-        lo = bytes_[:-1] - bytes_[starts][file]
-        breaks = pc.count_substring(self.words, "\n").to_numpy().astype(np.int64)[code]
+        # a file has fewer than 2**31 bytes, as a text of the JVM; so have its lines, tokens and levels
+        lo = (bytes_[:-1] - bytes_[starts][file]).astype(np.int32)
+        breaks = pc.count_substring(self.words, "\n").to_numpy().astype(np.int32)[code]
         line = running(breaks, starts[file]) - breaks + 1
         cls = classes.to_numpy(zero_copy_only=False).astype(np.int8)
         indent = np.where(np.arange(n) == starts[file], 0, self._indents()[np.roll(code, 1)])
@@ -259,10 +261,10 @@ class Rows:
         # tokens that count
         raw = np.flatnonzero(cls < W)
         file, code, cls, lo, line, indent, breaks = (x[raw] for x in (file, code, cls, lo, line, indent, breaks))
-        hi, end_line = lo + (bytes_[1:] - bytes_[:-1])[raw], line + breaks
+        hi, end_line = (lo + (bytes_[1:] - bytes_[:-1])[raw]).astype(np.int32), line + breaks
         own, after = stretches(file)
         leads = own == np.arange(len(raw))
-        back = lambda x: np.where(leads, -1, np.roll(x, 1))
+        back = lambda x: np.where(leads, np.int32(-1), np.roll(x, 1))
         first = leads | (line > np.roll(end_line, 1))
         self.token_hi, self.token_end_line = hi, end_line
         before = back(code)
@@ -276,17 +278,17 @@ class Rows:
 
         # Blocks first; brackets are counted within a block, so that what isn't closed there ends with it.
         so, sc = strong & opens, strong & closes & ~opens
-        blocks = running(so.astype(np.int64) - sc, own)
+        blocks = running(so.astype(np.int8) - sc.astype(np.int8), own)
         t, mark = doubled(so, sc)
         level = blocks[t] - so[t] + (mark != 0)
         order = self._sorted(file[t], level)
         t, mark, level = t[order], mark[order], level[order]
         group, _ = stretches(file[t], level)
-        block = running((mark == 1).astype(np.int64), group)
+        block = running((mark == 1).astype(np.int8), group)
         group, _ = stretches(file[t], level, block)
         weak = ~strong[t] & (mark == 0)
         wo, wc = weak & opens[t], weak & closes[t] & ~opens[t]
-        depth = np.where(mark == 0, running(wo.astype(np.int64) - wc, group), 0)
+        depth = np.where(mark == 0, running(wo.astype(np.int8) - wc.astype(np.int8), group), 0)
         row, inner = doubled(wo, wc)
         level = depth[row] - wo[row] + (inner != 0)
         mark, t, group = mark[row] + inner, t[row], group[row]
@@ -295,12 +297,12 @@ class Rows:
 
         self.start, self.end = stretches(group, level)
         n = len(t)
-        self.leads = self.start == np.arange(n)
+        self.leads = self.start == np.arange(n, dtype=np.int32)
         end, start = self.size, self.size + 1  # numbers of what stands for the end and for the start of a level; words that start one follow
-        self.code = np.where(self.mark == 0, code[t], np.where(self.mark == -1, end, np.where(word[t], start + 1 + code[t], start)))
-        self.cls = np.where(self.mark == 0, cls[t], P)
+        self.code = np.where(self.mark == 0, code[t], np.where(self.mark == -1, end, np.where(word[t], start + 1 + code[t], start))).astype(np.int32)
+        self.cls = np.where(self.mark == 0, cls[t], np.int8(P))
         self.chains = said(1)[t] & (self.mark == 0)
-        self.file, self.language, self.raw = file[t], language[t], raw[t]
+        self.file, self.language, self.raw = file[t], language[t].astype(np.int32), raw[t].astype(np.int32)
         self.lo, self.hi, self.line, self.end_line, self.first, self.indent = lo[t], hi[t], line[t], end_line[t], first[t], indent[t]
         self.prev_hi, self.prev_line = back(hi)[t], back(end_line)[t]
         self.last_of_file = (after - 1)[t]
@@ -310,7 +312,7 @@ class Rows:
         self.formed = [(self.mark == 0) & ~heads[t] & f.to_numpy(zero_copy_only=False).astype(bool)[self.raw] for f in forms]
         self._said: dict[str, np.ndarray] = {}
 
-        p = np.arange(n) - 1  # the row before: not read where a row leads
+        p = np.arange(-1, n - 1, dtype=np.int32)  # the row before: not read where a row leads
         prev = lambda texts: ~self.leads & self.among(texts, p)
         linked = (
             self.chains | (~self.leads & self.chains[p]) | self.among(CLOSE)
@@ -321,7 +323,7 @@ class Rows:
 
     def _indents(self) -> np.ndarray:
         """For each word the spaces behind its last line break if it is white space, else -1."""
-        found = np.full(self.size + 1, -1, np.int64)
+        found = np.full(self.size + 1, -1, np.int32)
         for k in np.flatnonzero(pc.match_substring_regex(self.words, r"^[ \t\n\x0b\f\r]").to_numpy(zero_copy_only=False)).tolist():
             _, line, tail = self.words[k].as_py().rpartition("\n")
             found[k] = len(tail) if line and not tail.strip(" \t") else 0
@@ -329,7 +331,7 @@ class Rows:
 
     def _sorted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         least = int(b.min()) if len(b) else 0
-        return np.argsort(a * (int(b.max()) - least + 1 if len(b) else 1) + b - least, kind="stable")
+        return np.argsort(a.astype(np.int64) * (int(b.max()) - least + 1 if len(b) else 1) + b - least, kind="stable").astype(np.int32)
 
     def number(self, text: str) -> int:
         """The number of a text, or of what starts a level; -1 if it doesn't occur."""
@@ -375,13 +377,13 @@ class Rows:
 
     def _so_far(self, cond: np.ndarray) -> np.ndarray:
         """The last row of the level up to each row where cond holds, or -1."""
-        at = np.maximum.accumulate(np.where(cond, np.arange(len(cond)), -1))
+        at = np.maximum.accumulate(np.where(cond, np.arange(len(cond), dtype=np.int32), np.int32(-1)))
         return np.where(at >= self.start, at, -1)
 
     def following(self, what: str) -> np.ndarray:
         """The next row of the level after each row that ends something, or -1."""
         if what not in self._said:
-            p = np.arange(len(self.code)) - 1
+            p = np.arange(-1, len(self.code) - 1, dtype=np.int32)
             ends = self.among((";",)) | (self.code == self.size)
             if what == "stop":
                 cond = ends | self.among(("{", "}")) | (self.first & self.among(DECLARING))
@@ -398,9 +400,9 @@ class Rows:
             else:
                 cond = self.among(("=", "|"))
             n = len(cond)
-            at = np.minimum.accumulate(np.where(cond, np.arange(n), n)[::-1])[::-1]
-            at = np.append(at[1:], n)
-            self._said[what] = np.where(at < self.end, at, -1)
+            at = np.minimum.accumulate(np.where(cond, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
+            at = np.append(at[1:], np.int32(n))
+            self._said[what] = np.where(at < self.end, at, np.int32(-1))
         return self._said[what]
 
     def text(self, row: int) -> str:

@@ -110,21 +110,23 @@ def lexed(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
     cls: n name, k keyword, s string, d number, i import directive, p other, w white space, c comment."""
     spark = files.sparkSession
     table = spark.createDataFrame(load(registry)[0], LANGUAGE)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    name = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     # one row a language and extension: as large as the registry file. Files of a language follow each other, as expressions
     # are compiled when they change: by the functions that keep the last one, which regexp_like doesn't.
-    kept = files.where("content IS NOT NULL").select("path", "content", ext.alias("ext")).join(F.broadcast(table.select("ext")), "ext", "left_semi")
-    own = dealt(kept).sortWithinPartitions("ext").join(F.broadcast(table), "ext")
+    kept = files.where("content IS NOT NULL").select("path", "content", name.alias("ext")).join(F.broadcast(table.select("ext")), "ext", "left_semi")
+    own = dealt(kept).sortWithinPartitions("ext").join(F.broadcast(table.select("ext", "lexer", "hole", "quotes")), "ext")
     like = lambda text, form: F.regexp_instr(text, form) > 0
     lex = lambda text: F.regexp_extract_all(text, F.col("lexer"), F.lit(0))
     piece = lambda text, string: F.struct(text.alias("text"), string.alias("string"))
-    hole = F.col("hole") != ""
+    # A file's token rows lie in memory at once: they have no more than they need, and meet their language again later.
+    holed = (F.col("hole") != "") & F.substring("_t", 1, 1).isin('"', "`", "'", "$", "<") & like(F.col("_t"), F.col("quotes")) & like(F.col("_t"), F.col("hole"))
+    rows = own.select("path", "ext", "lexer", "hole", "quotes", F.posexplode(lex(F.col("content"))).alias("_p", "_t"))
+    rows = rows.select("path", "ext", "_p", "_t", F.when(holed, F.struct("lexer", "hole")).alias("_h")).select("path", "ext", "_p", "_t", F.col("_h.lexer").alias("lexer"), F.col("_h.hole").alias("hole"))
     # a string with holes is cut into them and what is between; the holes are code
     parts = lambda t: F.regexp_extract_all(t, F.concat("hole", F.lit(r"|(?s:.)")), F.lit(0))
     within = lambda t: F.flatten(F.transform(parts(t), lambda p: F.when(F.length(p) > 1, F.concat(F.array(piece(F.substring(p, 1, 1), F.lit(True))), F.transform(lex(F.substring(p, 2, 2147483647)), lambda x: piece(x, F.lit(False))))).otherwise(F.array(piece(p, F.lit(True))))))
-    holed = hole & F.substring("_t", 1, 1).isin('"', "`", "'", "$", "<") & like(F.col("_t"), F.col("quotes")) & like(F.col("_t"), F.col("hole"))
-    rows = own.select("path", "language", "lexer", "hole", "comment", "directive", "quotes", "keywords", "chain", "always", "first", "close", F.posexplode(lex(F.col("content"))).alias("_p", "_t"))
-    flat = rows.select("*", F.posexplode(F.when(holed, within(F.col("_t"))).otherwise(F.array(piece(F.col("_t"), F.lit(False))))).alias("_q", "_x")).select("*", F.col("_x.text").alias("text"))
+    flat = rows.select("path", "ext", "_p", F.posexplode(F.when(F.col("hole").isNotNull(), within(F.col("_t"))).otherwise(F.array(piece(F.col("_t"), F.lit(False))))).alias("_q", "_x"))
+    flat = flat.join(F.broadcast(table), "ext").select("*", F.col("_x.text").alias("text"))
     text = F.col("text")
     words = F.regexp_like(text, F.lit(r"^[\p{L}_$]"))
     directed = (F.col("directive") != "") & like(text, F.col("directive"))
@@ -137,7 +139,7 @@ def lexed(files: DataFrame, registry: str = REGISTRY) -> DataFrame:
         .when(words, F.when(F.array_contains("keywords", text), "k").otherwise("n"))
         .when(F.regexp_like(text, F.lit(r"^\d")), "d").otherwise("p")
     )
-    return flat.withColumn("cls", cls).drop("_t", "_x")
+    return flat.withColumn("cls", cls).drop("_x")
 
 
 def tokens(files: DataFrame, registry: str = REGISTRY) -> DataFrame:

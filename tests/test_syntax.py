@@ -115,3 +115,8 @@ def test_what_is_not_closed_ends_with_its_file_and_blank_lines_do_not_indent(spa
 def test_a_path_that_is_there_twice_is_two_files(spark):
     files = spark.createDataFrame([("a.rs", "fn f() { g(1); }"), ("a.rs", "fn h() { k(2);\n}")], "path string, content string")
     assert sorted((r.name, r.start_byte, r.end_line) for r in syntax.facts(files).collect()) == [("f", 0, 1), ("g", 9, 1), ("h", 0, 2), ("k", 9, 1)]
+
+
+def test_signs_of_levels_in_a_source_are_only_text(spark):
+    files = spark.createDataFrame([("a.rb", "module x1 ⟩ ⟨ y end\nz(1)")], "path string, content string")
+    assert [(r.name, r.end_byte) for r in syntax.facts(files).where("what = 'definition'").collect()] == [("x1", 23)]
